@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tarnwick.llm.common import materialize, ranked_within
 
-_FIRST_BITS, _NEXT_BITS, _TOP = 14, 6, 1 << 64
+_FIRST_BITS, _NEXT_BITS, _MOST_CUT, _TOP = 14, 6, 4096, 1 << 64
 
 
 def _unsigned(h: Column) -> Column:
@@ -60,26 +60,24 @@ def _smallest(segments: list[tuple], prefix: list[int], low: int, high: int, sha
 def minimax_cuts(groups: DataFrame, shards: int) -> tuple[list[int], int]:
     """Cut points in the unsigned order of column ``pos`` and the smallest capacity.
 
-    ``groups`` has pos decimal(20,0) and size long, one row per atomic group. Each histogram has
-    at most 2**14 ranges at first, and 64 for each range in which a cut may lie after that.
+    ``groups`` has h long, pos decimal(20,0) (h in unsigned order) and size long, one row per atomic group. Each histogram has
+    at most 2**14 ranges at first, and then 64 for each of the 4096 largest ranges in which a cut
+    may still lie, until the bounds meet.
     """
 
-    def histogram(where: list[tuple[int, int]], width: int) -> list[tuple]:
-        some = groups
-        if where != [(0, _TOP)]:
-            spans = [F.col("pos").between(F.lit(Decimal(a)), F.lit(Decimal(b - 1))) for a, b in where]
-            either = spans[0]
-            for s in spans[1:]:
-                either = either | s
-            some = groups.where(either)
-        cell = F.col("pos")
-        if width > 1:
-            cell = F.shiftrightunsigned(F.col("h").bitwiseXOR(F.lit(-(1 << 63))), width.bit_length() - 1)
-        rows = some.groupBy(cell.alias("c")).agg(F.sum("size").alias("s"), F.count(F.lit(1)).alias("n")).collect()
+    def cell(width: int) -> Column:
+        if width == 1:
+            return F.col("pos")
+        return F.shiftrightunsigned(F.col("h").bitwiseXOR(F.lit(-(1 << 63))), width.bit_length() - 1)
+
+    def histogram(width: int, inside: list[int] | None = None, wider: int = 0) -> list[tuple]:
+        """Ranges of ``width``, of all groups or of those in the given ranges of ``wider``."""
+        some = groups if inside is None else groups.where(cell(wider).isin(inside))
+        rows = some.groupBy(cell(width).alias("c")).agg(F.sum("size").alias("s"), F.count(F.lit(1)).alias("n")).collect()
         return sorted((int(r["c"]) * width, (int(r["c"]) + 1) * width, int(r["s"]), int(r["n"])) for r in rows)
 
     width = _TOP >> _FIRST_BITS
-    segments = histogram([(0, _TOP)], width)
+    segments = histogram(width)
     total = sum(s[2] for s in segments)
     while segments:
         prefix = [0, *accumulate(s[2] for s in segments)]
@@ -100,15 +98,12 @@ def minimax_cuts(groups: DataFrame, shards: int) -> tuple[list[int], int]:
         cut = [k for k in sorted(spans) if segments[k][3] > 1]
         if not cut:
             cut = [k for k, s in enumerate(segments) if s[3] > 1]
-        by_width: dict[int, list[tuple[int, int]]] = {}
+        cut = sorted(cut, key=lambda k: -segments[k][2])[:_MOST_CUT]
+        by_width: dict[int, list[int]] = {}
         for k in cut:
             a, b = segments[k][:2]
-            spans_of = by_width.setdefault(b - a, [])
-            if spans_of and spans_of[-1][1] == a:
-                spans_of[-1] = (spans_of[-1][0], b)
-            else:
-                spans_of.append((a, b))
-        fine = [x for w, where in by_width.items() for x in histogram(where, max(1, w >> _NEXT_BITS))]
+            by_width.setdefault(b - a, []).append(a // (b - a))
+        fine = [x for w, inside in by_width.items() for x in histogram(max(1, w >> _NEXT_BITS), inside, w)]
         gone = set(cut)
         segments = sorted([s for k, s in enumerate(segments) if k not in gone] + fine)
     return [], 0
