@@ -2,7 +2,7 @@
 
 Equal texts form one group; the groups lie in the order of their 64-bit text hash. The smallest
 shard capacity for which the groups, taken in order, fit into the shards is found by binary
-search, with a greedy check per probe. The groups themselves never reach the driver: it sees a
+search, with a greedy check per probe; a group beyond it gets a shard of its own. The groups themselves never reach the driver: it sees a
 histogram of hash ranges, gets from it a lower and an upper bound of the answer, and asks for a
 finer histogram of just those ranges in which a cut may lie, until the bounds meet.
 """
@@ -30,7 +30,8 @@ def _greedy(segments: list[tuple], prefix: list[int], capacity: int, shards: int
     """Cut positions (indices of segments that begin a shard) or None if ``shards`` don't do.
 
     A segment is (low, high, size, groups) and ``prefix`` has the sizes before each. If ``fluid``,
-    a segment of several groups may be cut anywhere.
+    a segment of several groups may be cut anywhere. A single group beyond the capacity has a
+    shard of its own, so that one large group doesn't set the size of all other shards.
     """
     cuts, x = [], 0
     while x + capacity < prefix[-1]:
@@ -38,8 +39,13 @@ def _greedy(segments: list[tuple], prefix: list[int], capacity: int, shards: int
         k = bisect_right(prefix, y) - 1
         if not (fluid and segments[k][3] > 1):
             y = prefix[k]
-        if y <= x:
-            return None
+            if y <= x:
+                if segments[k][3] > 1:
+                    return None
+                k += 1
+                y = prefix[k]
+                if k == len(segments):
+                    break
         cuts.append(k)
         x = y
         if len(cuts) >= shards:
@@ -58,7 +64,7 @@ def _smallest(segments: list[tuple], prefix: list[int], low: int, high: int, sha
 
 
 def minimax_cuts(groups: DataFrame, shards: int) -> tuple[list[int], int]:
-    """Cut points in the unsigned order of column ``pos`` and the smallest capacity.
+    """Cut points in the unsigned order of column ``pos`` and the smallest capacity that does.
 
     ``groups`` has h long, pos decimal(20,0) (h in unsigned order) and size long, one row per atomic group. Each histogram has
     at most 2**14 ranges at first, and then 64 for each of the 4096 largest ranges in which a cut
@@ -81,10 +87,8 @@ def minimax_cuts(groups: DataFrame, shards: int) -> tuple[list[int], int]:
     total = sum(s[2] for s in segments)
     while segments:
         prefix = [0, *accumulate(s[2] for s in segments)]
-        widest = max([0, *(s[2] for s in segments if s[3] == 1)])
-        low = _smallest(segments, prefix, max(1, widest, -(-total // shards)), max(1, total), shards, True)
-        whole = max([low, *(s[2] for s in segments)])
-        high = _smallest(segments, prefix, low if whole <= low else whole, max(1, total), shards, False)
+        low = _smallest(segments, prefix, 1, max(1, total), shards, True)
+        high = _smallest(segments, prefix, low, max(1, total), shards, False)
         first, last = _greedy(segments, prefix, low, shards, True), _greedy(segments, prefix, high, shards, False)
         if low == high and _greedy(segments, prefix, low, shards, False) is not None:
             return [segments[k][0] for k in _greedy(segments, prefix, low, shards, False)], low
