@@ -302,7 +302,7 @@ def closed_loop(t: Tables) -> DataFrame:
     return g.select("p_brand", six(d).alias("contrast"), S.label([((F.col("n") < 2) | d.isNull(), "insufficient"), (d > 5, "up"), (d < -5, "down")], "flat").alias("signal"))
 
 
-@query("with g as (select p_brand, count(*) filter (p_size > 20 and p_retailprice > 950) as hit, count(*) filter (p_size > 20) as called, count(*) filter (p_retailprice > 950) as truth from part group by 1) select p_brand, round(hit / called::double, 6) as precision, round(hit / truth::double, 6) as recall, case when hit / called::double >= 0.75 then 'good' when hit / called::double >= 0.5 then 'fair' else 'poor' end as verdict from g")
+@query("with g as (select p_brand, count(*) filter (p_size > 20 and p_retailprice > 950) as hit, count(*) filter (p_size > 20) as called, count(*) filter (p_retailprice > 950) as truth from part group by 1) select p_brand, round(hit / nullif(called, 0)::double, 6) as precision, round(hit / nullif(truth, 0)::double, 6) as recall, case when hit / nullif(called, 0)::double >= 0.75 then 'good' when hit / nullif(called, 0)::double >= 0.5 then 'fair' else 'poor' end as verdict from g")
 def precision_recall(t: Tables) -> DataFrame:
     called, truth = F.col("p_size") > 20, F.col("p_retailprice") > 950
     g = t.part.groupBy("p_brand").agg(F.count_if(called & truth).alias("hit"), F.count_if(called).alias("called"), F.count_if(truth).alias("truth"))

@@ -11,16 +11,23 @@ def read_events(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(path)
 
 
+def _timed(events: DataFrame, late: str | None) -> DataFrame:
+    """Streams need instants for their event time, and a watermark to end windows."""
+    if not (late and events.isStreaming):
+        return events
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+
+
 def tumbling(events: DataFrame, every: str, late: str | None = None) -> DataFrame:
     """Counts and sums per type and window; a stream drops what is later than ``late``."""
-    rows = events.withWatermark("ts", late) if late and events.isStreaming else events
+    rows = _timed(events, late)
     g = rows.groupBy(F.window("ts", every).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
     return g.select(F.col("w.start").alias("start"), "event_type", "n", "total")
 
 
 def sessions(events: DataFrame, gap: str, late: str | None = None) -> DataFrame:
     """Sessions of a user, ended by a pause of ``gap``."""
-    rows = events.withWatermark("ts", late) if late and events.isStreaming else events
+    rows = _timed(events, late)
     g = rows.groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count(F.lit(1)).alias("n"))
     return g.select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
