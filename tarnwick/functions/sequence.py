@@ -16,6 +16,12 @@ HYDROPATHY = {
     "A": 1.8, "R": -4.5, "N": -3.5, "D": -3.5, "C": 2.5, "Q": -3.5, "E": -3.5, "G": -0.4, "H": -3.2, "I": 4.5,
     "L": 3.8, "K": -3.9, "M": 1.9, "F": 2.8, "P": -1.6, "S": -0.8, "T": -0.7, "W": -0.9, "Y": -1.3, "V": 4.2,
 }
+#: Monoisotopic masses of residues, and of water. Fixed values.
+MASS = {
+    "G": 57.02146, "A": 71.03711, "S": 87.03203, "P": 97.05276, "V": 99.06841, "T": 101.04768, "C": 103.00919, "L": 113.08406, "I": 113.08406, "N": 114.04293,
+    "D": 115.02694, "Q": 128.05858, "K": 128.09496, "E": 129.04259, "M": 131.04049, "H": 137.05891, "F": 147.06841, "R": 156.10111, "Y": 163.06333, "W": 186.07931,
+}
+WATER = 18.01056
 
 
 def count_of(c: Column, letters: str) -> Column:
@@ -67,6 +73,11 @@ def clean_peptide(c: Column) -> Column:
     return F.substring_index(c, "*", 1)
 
 
+def monoisotopic_mass(c: Column) -> Column:
+    """Mass of a peptide; other letters weigh nothing."""
+    return sum((count_of(c, a) * m for a, m in MASS.items()), F.lit(WATER))
+
+
 def aliphatic_index(c: Column) -> Column:
     """A + 2.9 V + 3.9 (I + L) in percent of the length, a hundredfold, to three digits."""
     n = F.length(c)
