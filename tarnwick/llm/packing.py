@@ -197,31 +197,31 @@ def plan_packing(histogram: dict[int, int], capacity: int = 4096, rounds: int =
 
     size_worth = lengths / capacity * (1 + 0.1 * lengths / capacity)
     where = {int(k): i for i, k in enumerate(lengths)}
-    if counts.sum() > tail:
-        covered, fraction = np.zeros(len(lengths)), {}
-        for _ in range(rounds):
-            weight = size_worth * np.exp(-rate * covered)
-            some = choice(np.maximum(1, counts))
-            config = _priced(lengths[some], counts[some], weight[some], capacity)
-            step = min(counts[where[k]] / a for k, a in config.items()) / 2
-            key = tuple(sorted(config.items()))
-            fraction[key] = fraction.get(key, 0.0) + step
-            for k, a in config.items():
-                covered[where[k]] += a * step / counts[where[k]]
-        scale = 1 / max(1.0, covered.max())
-        for key, x in fraction.items():
-            copies = min([int(x * scale), *(counts[where[k]] // a for k, a in key)])
-            if copies > 0:
-                plan.append((copies, list(key)))
-                for k, a in key:
-                    counts[where[k]] -= copies * a
-        while counts.sum() > tail:
-            some = choice(counts)
-            config = _priced(lengths[some], counts[some], size_worth[some], capacity)
-            copies = max(1, min(counts[where[k]] // a for k, a in config.items()))
-            plan.append((int(copies), list(config.items())))
-            for k, a in config.items():
+    covered, fraction = np.zeros(len(lengths)), {}
+    for _ in range(rounds):
+        weight = size_worth * np.exp(-rate * covered)
+        some = choice(counts)
+        config = _priced(lengths[some], counts[some], weight[some], capacity)
+        step = min(counts[where[k]] / a for k, a in config.items()) / 2
+        key = tuple(sorted(config.items()))
+        fraction[key] = fraction.get(key, 0.0) + step
+        for k, a in config.items():
+            covered[where[k]] += a * step / counts[where[k]]
+    scale = 1 / max(1.0, covered.max())
+    for key, x in fraction.items():
+        copies = min([int(x * scale), *(counts[where[k]] // a for k, a in key)])
+        if copies > 0:
+            plan.append((copies, list(key)))
+            for k, a in key:
                 counts[where[k]] -= copies * a
+    rest = min(tail, counts.sum() // 10)
+    while counts.sum() > rest:
+        some = choice(counts)
+        config = _priced(lengths[some], counts[some], size_worth[some], capacity)
+        copies = max(1, min(counts[where[k]] // a for k, a in config.items()))
+        plan.append((int(copies), list(config.items())))
+        for k, a in config.items():
+            counts[where[k]] -= copies * a
     return plan + _best_fit(lengths, counts, plan, capacity)
 
 
