@@ -16,6 +16,7 @@ import zlib
 from array import array
 from bisect import bisect_left, insort
 from collections import Counter
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -108,6 +109,12 @@ class ChunkEncoder:
         return b"".join(ids)
 
 
+@cache
+def _encoder(path: str) -> ChunkEncoder:
+    """One encoder per worker process, so that its memory outlives a task."""
+    return ChunkEncoder(path)
+
+
 def token_pieces(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id",
                  text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32 and, if asked for, the ids.
@@ -119,7 +126,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = 4096, end_id: int =
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def cut(batches):
-        encoder = ChunkEncoder(path)
+        encoder = _encoder(path)
         for batch in batches:
             out: list[list] = [[] for _ in range(6)]
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
