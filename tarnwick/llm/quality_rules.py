@@ -29,7 +29,8 @@ def _repeat_words(ws: Column, width: int = 5) -> Column:
     """Words that lie in windows of ``width`` words found twice or more in the same text.
 
     Windows are compared by a 64-bit hash of their words' 64-bit hashes. Texts whose windows all
-    differ, nearly all texts, stop after one hash-set pass.
+    differ, nearly all texts, stop after one hash-set pass; the others sort their windows once, so
+    that a text of nothing but repeats costs n log n as well.
     """
     windows = F.size(ws) - (width - 1)
     hashed = F.transform(ws, lambda w: F.xxhash64(w))
@@ -38,22 +39,23 @@ def _repeat_words(ws: Column, width: int = 5) -> Column:
         return F.transform(F.sequence(F.lit(0), F.size(hw) - width), lambda i: F.xxhash64(*[F.get(hw, i + k) for k in range(width)]))
 
     def of_hashes(h: Column) -> Column:
-        def twice(s: Column) -> Column:
-            return F.array_distinct(F.filter(s, lambda x, i: (i > 0) & (x == F.get(s, i - 1))))
+        def repeated(s: Column) -> Column:
+            def twin(x: Column, i: Column) -> Column:
+                return ((i > 0) & (F.get(s, i - 1)["h"] == x["h"])) | F.coalesce(F.get(s, i + 1)["h"] == x["h"], F.lit(False))
 
-        def covered(found: Column) -> Column:
-            hit = F.transform(h, lambda x: F.array_contains(found, x))
-            start = F.named_struct(F.lit("n"), F.lit(0).cast("long"), F.lit("run"), F.lit(0))
+            return F.sort_array(F.transform(F.filter(s, twin), lambda x: x["i"]))
+
+        def covered(starts: Column) -> Column:
+            zero = F.named_struct(F.lit("n"), F.lit(0).cast("long"), F.lit("last"), F.lit(-width))
             return F.aggregate(
-                hit,
-                start,
-                lambda a, x: F.when(x, F.named_struct(F.lit("n"), a["n"] + width - a["run"], F.lit("run"), F.lit(width - 1))).otherwise(
-                    F.named_struct(F.lit("n"), a["n"], F.lit("run"), F.greatest(a["run"] - 1, F.lit(0)))
-                ),
+                starts,
+                zero,
+                lambda a, i: F.named_struct(F.lit("n"), a["n"] + F.least(F.lit(width), i - a["last"]), F.lit("last"), i),
                 lambda a: a["n"],
             )
 
-        many = let(let(F.sort_array(h), twice), covered)
+        placed = F.sort_array(F.transform(h, lambda x, i: F.named_struct(F.lit("h"), x, F.lit("i"), i)))
+        many = let(let(placed, repeated), covered)
         return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(many)
 
     counted = let(let(hashed, of_windows), of_hashes)

@@ -104,3 +104,11 @@ def test_apply_mix(spark, odd_docs, no_docs):
         assert len(out.get(i, [])) == (1 if r.size == 0 else -(-r.taken // r.size))
     assert mixing.apply_mix(docs).columns == docs.columns
     assert mixing.apply_mix(no_docs).count() == 0
+
+
+def test_a_long_text_of_repeats_is_counted_in_full(spark):
+    phrase = "one two three four five six "
+    fresh = " ".join(f"w{i}" for i in range(50))
+    docs = spark.createDataFrame([(1, phrase * 40_000), (2, phrase * 2 + fresh), (3, fresh + " " + phrase + fresh[::-1] + " " + phrase)], "doc_id long, text string")
+    got = {r.doc_id: r.n_repeat_words for r in quality_rules.judge(docs).collect()}
+    assert got == {1: 240_000, 2: 12, 3: 12}
