@@ -90,10 +90,10 @@ def nearest(table: DataFrame, k: int = 20, every: int = 20, shard_rows: int = 81
 
     Returns query_id, rank (from 1), vec_id and score, ties to the smaller id; fewer rows than
     ``k`` where there are fewer candidates. Null, zero and non-finite vectors take no part, nor
-    do rows without an id; vectors of another length than the most frequent one raise. Of rows
-    with the same vector only the ``k + 1`` of smallest id can be among anyone's nearest, so the
-    others are left out of the trees; they still ask as queries. Rows that share an id are
-    candidates only of other ids.
+    do rows without an id; vectors of different lengths raise. Equal vectors stand in a tree once,
+    with the ``k + 1`` smallest ids that have them: no others can be among anyone's nearest, and
+    ties between copies go to the smaller id whatever the rounding. All still ask as queries.
+    Rows that share an id are candidates only of other ids; repeated rows count once.
 
     Shards hold about ``shard_rows`` rows by hash and meet the queries in blocks of about
     ``query_rows``; one task sees one shard and one block, so memory does not grow with the table.
@@ -105,25 +105,25 @@ def nearest(table: DataFrame, k: int = 20, every: int = 20, shard_rows: int = 81
     longest, shards, blocks = stats["m"] or 1.0, max(1, -(-(stats["n"] or 0) // shard_rows)), max(1, -(-(stats["q"] or 0) // query_rows))
     salt = F.pmod(F.xxhash64("vec_id", F.lit("salt")), F.lit(64))
     order = Window.partitionBy("same", "same2", TMP + "salt").orderBy("vec_id")
-    ids = rows.select("vec_id", "same", "same2", salt.alias(TMP + "salt")).withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1)
+    ids = rows.select("vec_id", "same", "same2", salt.alias(TMP + "salt")).distinct().withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1)
     ids = ids.withColumn("r", F.row_number().over(Window.partitionBy("same", "same2").orderBy("vec_id"))).where(F.col("r") <= k + 1)
-    needed = ids.select("vec_id", "same", "same2").distinct()
-    candidates = rows.join(needed, ["vec_id", "same", "same2"], "left_semi")
+    needed = ids.groupBy("same", "same2").agg(F.min("vec_id").alias("vec_id"), F.sort_array(F.collect_set("vec_id")).alias("ids"))
+    candidates = rows.join(needed, ["vec_id", "same", "same2"]).dropDuplicates(["vec_id", "same", "same2"])
     shard = F.pmod(F.xxhash64("vec_id", F.lit("shard")), F.lit(shards)).cast("int")
     block = F.pmod(F.xxhash64("vec_id", F.lit("block")), F.lit(blocks)).cast("int")
     every_block = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     every_shard = F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))
-    left = candidates.select(shard.alias("s"), every_block.alias("b"), "vec_id", "v", F.lit(False).alias("ask"))
-    asked = rows.where(F.col("vec_id") % every == 0).select(every_shard.alias("s"), block.alias("b"), "vec_id", "v", F.lit(True).alias("ask"))
+    left = candidates.select(shard.alias("s"), every_block.alias("b"), "vec_id", "v", "ids", F.lit(False).alias("ask"))
+    asked = rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "same", "same2"]).select(every_shard.alias("s"), block.alias("b"), "vec_id", "v", F.array().cast("array<long>").alias("ids"), F.lit(True).alias("ask"))
 
     def meet(part: pa.Table) -> pa.Table:
         ask = part.column("ask").to_numpy()
         flat = part.column("v").combine_chunks()
         v = flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1)
-        ids = part.column("vec_id").to_numpy()
-        order = np.lexsort((np.arange(len(ids)), ids))
-        ask, v, ids = ask[order], v[order], ids[order]
-        q, q_ids, x, x_ids = v[ask], ids[ask], v[~ask], ids[~ask]
+        ids, names = part.column("vec_id").to_numpy(), part.column("ids").combine_chunks()
+        many, names = np.diff(names.offsets.to_numpy()), names.flatten().to_numpy()
+        starts = np.cumsum(many) - many
+        q, q_ids, x, first, many = v[ask], ids[ask], v[~ask], starts[~ask], many[~ask]
         empty = pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
         if not len(q) or not len(x):
             return empty
@@ -132,12 +132,18 @@ def nearest(table: DataFrame, k: int = 20, every: int = 20, shard_rows: int = 81
         found, _ = VantageTree(lifted).search(np.c_[q * scale[:, None], np.zeros(len(q))], min(k + 1, len(x)), relax)
         row, col = np.nonzero(found >= 0)
         c = found[row, col]
-        other = q_ids[row] != x_ids[c]
-        row, c = row[other], c[other]
         score = np.zeros(len(row))
         for d in range(x.shape[1]):
             score += q[row, d] * x[c, d]
-        return pa.table({"query_id": q_ids[row], "vec_id": x_ids[c], "score": score})
+        copies = many[c]
+        nth = np.arange(copies.sum()) - np.repeat(np.cumsum(copies) - copies, copies)
+        who, row, score = names[np.repeat(first[c], copies) + nth], np.repeat(row, copies), np.repeat(score, copies)
+        other = np.flatnonzero(q_ids[row] != who)
+        other = other[np.lexsort((who[other], -score[other], row[other]))]
+        opens = np.r_[True, np.diff(row[other]) != 0][: len(other)]
+        place = np.arange(len(other)) - np.maximum.accumulate(np.where(opens, np.arange(len(other)), 0)) if len(other) else other
+        best = other[place < k]
+        return pa.table({"query_id": q_ids[row[best]], "vec_id": who[best], "score": score[best]})
 
     found = left.unionByName(asked).groupBy("s", "b").applyInArrow(meet, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")

@@ -161,3 +161,19 @@ def test_recall_of_the_production_setting(spark):
         s[q] = -np.inf
         hits.append(len(found[rows[q].vec_id] & {rows[j].vec_id for j in np.argsort(-s)[:20]}) / 20)
     assert np.mean(hits) >= 0.9
+
+
+def test_nearest_ties_go_to_smaller_ids(spark):
+    """Thirty copies each of seven vectors: a cut inside a group of copies keeps its smaller ids."""
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(7, 16))
+    rows = [(i, [float(x) for x in base[i % 7] * (1 if i % 14 < 7 else 0.5)]) for i in rng.permutation(420).tolist()]
+    table = spark.createDataFrame(rows + rows[:50], "vec_id long, embedding array<double>")
+    got: dict[int, list] = {}
+    for r in vptree.nearest(table, relax=1.0, shard_rows=90, query_rows=10).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    vectors = dict(rows)
+    for q in range(0, 420, 20):
+        score = {i: sum(a * b for a, b in zip(vectors[q], v, strict=True)) for i, v in vectors.items() if i != q}
+        want = sorted(score, key=lambda i: (-score[i], i))[:20]
+        assert [v for _, v in sorted(got[q])] == want
