@@ -22,6 +22,16 @@ MASS = {
     "D": 115.02694, "Q": 128.05858, "K": 128.09496, "E": 129.04259, "M": 131.04049, "H": 137.05891, "F": 147.06841, "R": 156.10111, "Y": 163.06333, "W": 186.07931,
 }
 WATER = 18.01056
+#: Normalised flexibility of residues, and the weights within a window of nine. Fixed values.
+FLEXIBILITY = {
+    "A": 0.984, "C": 0.906, "D": 1.068, "E": 1.094, "F": 0.915, "G": 1.031, "H": 0.950, "I": 0.927, "K": 1.102, "L": 0.935,
+    "M": 0.952, "N": 1.048, "P": 1.049, "Q": 1.037, "R": 1.008, "S": 1.046, "T": 0.997, "V": 0.931, "W": 0.904, "Y": 0.929,
+}
+WINDOW = (0.25, 0.4375, 0.625, 0.8125, 0.0, 1.8125, 0.625, 0.4375, 0.25)
+#: Dissociation constants of side chains and of end residues that differ from 7.5 and 3.55. Fixed values.
+PKA = {"+": {"K": 10.0, "R": 12.0, "H": 5.98}, "-": {"D": 4.05, "E": 4.45, "C": 9.0, "Y": 10.0}}
+PKA_FIRST = {"A": 7.59, "M": 7.0, "S": 6.93, "P": 8.36, "T": 6.82, "V": 7.44, "E": 7.7}
+PKA_LAST = {"D": 4.55, "E": 4.75}
 
 
 def count_of(c: Column, letters: str) -> Column:
@@ -124,3 +134,59 @@ def plddt_measures(df: DataFrame, key: str, value: str) -> DataFrame:
     x, mean, std = F.col(value), F.avg(value), F.stddev_pop(value)
     return df.groupBy(key).agg(F.bround(mean, 3).alias("mean"), F.bround(std, 3).alias("std"), F.bround(F.try_divide(std, mean), 3).alias("cv"),
                                F.bround(F.count_if(x < 50) / F.count(x), 3).alias("disorder"))
+
+
+def _letter_values(c: Column, values: dict[str, float]) -> Column:
+    table = F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
+    return F.transform(F.filter(F.split(c, ""), lambda a: a != ""), lambda a: F.coalesce(F.try_element_at(table, a), F.lit(0.0)))
+
+
+def flexibility(c: Column) -> Column:
+    """Mean weighted flexibility of the windows of nine residues; null for nine residues or fewer.
+
+    The last window is left out and the sixth residue has the middle's full weight besides its own,
+    as the method's common implementation does it; the fifth has none.
+    """
+    def summed(v: Column) -> Column:
+        n = F.size(v) - len(WINDOW)
+        parts = [w * F.aggregate(F.slice(v, k + 1, n), F.lit(0.0), lambda a, x: a + x) for k, w in enumerate(WINDOW) if w]
+        return F.when(n > 0, sum(parts[1:], parts[0]) / (5.25 * n))
+
+    return F.get(F.transform(F.array(_letter_values(clean_peptide(F.upper(c)), FLEXIBILITY)), summed), F.lit(0))
+
+
+def instability(c: Column, weights: dict[str, float], otherwise: float = 1.0) -> Column:
+    """Ten times the mean dipeptide weight per residue; ``weights`` maps pairs of letters, others weigh ``otherwise``.
+
+    The published table of 400 weights is a parameter and not part of the library.
+    """
+    p = clean_peptide(F.upper(c))
+    table = F.create_map(*[F.lit(x) for pair in weights.items() for x in pair]) if weights else None
+    places = F.when(F.length(p) > 1, F.sequence(F.lit(1), F.length(p) - 1)).otherwise(F.array().cast("array<int>"))
+    weight = lambda i: F.lit(otherwise) if table is None else F.coalesce(F.try_element_at(table, F.substr(p, i, F.lit(2))), F.lit(otherwise))
+    return F.try_divide(10.0 * F.aggregate(F.transform(places, weight), F.lit(0.0), lambda a, x: a + x), F.length(p))
+
+
+def charge_at(c: Column, ph: Column) -> Column:
+    """Net charge of a peptide at a pH, by the dissociation constants in PKA."""
+    p = clean_peptide(F.upper(c))
+    first, last = (F.create_map(*[F.lit(x) for pair in t.items() for x in pair]) for t in (PKA_FIRST, PKA_LAST))
+    up = lambda pk: 1 / (1 + F.pow(F.lit(10.0), ph - pk))
+    down = lambda pk: 1 / (1 + F.pow(F.lit(10.0), pk - ph))
+    start = F.coalesce(F.try_element_at(first, F.substring(p, 1, 1)), F.lit(7.5))
+    end = F.coalesce(F.try_element_at(last, F.substring(p, -1, 1)), F.lit(3.55))
+    plus = sum((count_of(p, a) * up(k) for a, k in PKA["+"].items()), up(start))
+    minus = sum((count_of(p, a) * down(k) for a, k in PKA["-"].items()), down(end))
+    return F.when(F.length(p) > 0, plus - minus)
+
+
+def isoelectric_point(c: Column, steps: int = 24) -> Column:
+    """The pH from 0 to 14 at which the net charge vanishes, by bisection."""
+    start = F.named_struct(F.lit("low"), F.lit(0.0), F.lit("high"), F.lit(14.0))
+
+    def half(a: Column, _: Column) -> Column:
+        middle = (a["low"] + a["high"]) / 2
+        above = charge_at(c, middle) > 0
+        return F.named_struct(F.lit("low"), F.when(above, middle).otherwise(a["low"]), F.lit("high"), F.when(above, a["high"]).otherwise(middle))
+
+    return F.when(F.length(clean_peptide(c)) > 0, F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, half, lambda a: (a["low"] + a["high"]) / 2))

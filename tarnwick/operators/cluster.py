@@ -140,3 +140,27 @@ def k_sweep(df: DataFrame, key: str, ks: range, tries: int = 3) -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def manual_merge(df: DataFrame, groups: dict[int, int], raw: str = "raw", wt: int | None = None) -> DataFrame:
+    """Merge raw clusters by a given map and renumber; a raw id without a group, or a group without rows, raises."""
+    found = {r[0] for r in df.where(F.col(raw).isNotNull()).select(raw).distinct().limit(len(groups) + 1).collect()}
+    if found != set(groups):
+        raise ValueError(f"raw clusters {sorted(found)} but groups for {sorted(groups)}")
+    table = F.create_map(*[F.lit(x) for pair in groups.items() for x in pair])
+    return renumber(df.withColumn("merged", F.try_element_at(table, F.col(raw))), "merged", groups=len(set(groups.values())), wt=wt)
+
+
+def score_labels(df: DataFrame, key: str, by: str, x: str = "x", y: str = "y") -> DataFrame:
+    """silhouette, Calinski-Harabasz, Davies-Bouldin and the number of labels as one row."""
+    n = df.agg(F.countDistinct(by).alias("n_labels"))
+    return silhouette(df, key, by, x, y).join(ch_db(df, by, x, y), how="cross").join(n, how="cross")
+
+
+def compare_variants(variants: dict[str, DataFrame], key: str, by: str, x: str = "x", y: str = "y") -> DataFrame:
+    """The scores of several labellings, one row each."""
+    rows = [score_labels(df, key, by, x, y).select(F.lit(name).alias("variant"), "*") for name, df in variants.items()]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out

@@ -149,3 +149,12 @@ def attribution(df: DataFrame) -> DataFrame:
     from tarnwick.functions.semantics import label
 
     return df.withColumn("cause", label([(F.col("reason") == "split", "split"), (F.col("shared_fraction") >= 0.5, "shared"), (F.col("covered") < 3, "data_limited")], "intrinsic"))
+
+
+def permutation_by_kind(df: DataFrame, backgrounds: dict[str, DataFrame], kind: str, group: str, key: str, x: str = "x", y: str = "y", times: int = 1000) -> DataFrame:
+    """``permutation_test`` for the groups of each kind against the background of that kind."""
+    parts = [permutation_test(df.where(F.col(kind) == name), background, group, key, x, y, times).withColumn(kind, F.lit(name)) for name, background in backgrounds.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

@@ -92,3 +92,41 @@ def to_gaf(df: DataFrame, gene: Column, term: Column, date: Column, source: str,
     given = {"DB": F.lit(source), "DB_Object_ID": gene, "DB_Object_Symbol": gene, "GO_ID": term, "Evidence": F.lit(evidence), "Aspect": F.lit(aspect),
              "DB_Object_Type": F.lit("gene"), "Date": F.regexp_replace(date, "-", ""), "Assigned_By": F.lit(source)}
     return df.select(*[given.get(c, F.lit("")).alias(c) for c in GAF])
+
+
+#: Namespaces of the web service and their names, in the order of the report. Fixed values.
+WEB_NAMESPACES = {
+    "Process": "Biological Process (Gene Ontology)",
+    "Component": "Cellular Component (Gene Ontology)",
+    "Function": "Molecular Function (Gene Ontology)",
+    "PMID": "Reference Publications (PubMed)",
+    "NetworkNeighborAL": "Local Network Cluster (STRING)",
+    "KEGG": "KEGG Pathways",
+    "RCTM": "Reactome Pathways",
+    "COMPARTMENTS": "Subcellular Localization (COMPARTMENTS)",
+    "Keyword": "Annotated Keywords (UniProt)",
+    "InterPro": "Protein Domains and Features (InterPro)",
+    "SMART": "Protein Domains and Features (SMART)",
+}
+
+
+def web_enrichment(df: DataFrame, study_n: int, pop_n: int) -> DataFrame:
+    """A web response in the columns of ``enrich``: ratios, named namespaces (unknown: null, last), their order."""
+    k, m = F.col("number_of_genes"), F.col("number_of_genes_in_background")
+    order = F.array_position(F.array(*[F.lit(x) for x in WEB_NAMESPACES]), F.col("category"))
+    named_as = F.try_element_at(F.create_map(*[F.lit(x) for pair in WEB_NAMESPACES.items() for x in pair]), F.col("category"))
+    rows = df.orderBy(F.when(order > 0, order).asc_nulls_last(), "p_value", "term")
+    return rows.select(
+        F.col("term").alias("term_id"), named_as.alias("namespace"), F.col("description").alias("term"), F.col("p_value").alias("p_uncorrected"), F.col("fdr").alias("p_fdr"),
+        F.bround(k / study_n, 2).alias("gene_ratio"), F.bround(F.try_divide(k, m), 2).alias("term_coverage"), k.alias("study_count"), F.lit(study_n).alias("study_n"),
+        m.alias("pop_count"), F.lit(pop_n).alias("pop_n"), F.concat_ws("/", k, F.lit(study_n)).alias("ratio_in_study"), F.concat_ws("/", m, F.lit(pop_n)).alias("ratio_in_pop"),
+        F.col("preferredNames").alias("study_items"),
+    )
+
+
+def redundancy(df: DataFrame, responses: dict[float, DataFrame], key: tuple[str, ...] = ("Cluster", "namespace", "term_id")) -> DataFrame:
+    """Dispensability, Eliminated and Representative per cutoff, suffixed by it, joined on cluster, namespace and term."""
+    for cutoff, table in responses.items():
+        some = table.select(*key, *[F.col(c).alias(f"{c}_{cutoff}") for c in ("Dispensability", "Eliminated", "Representative")])
+        df = df.join(some, list(key), "left")
+    return df

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tarnwick.functions.strings import any_keyword
+
 LEGACY = {"um": "DR", "lam": "DL"}
 
 
@@ -133,3 +135,24 @@ def quartiles(df: DataFrame, key: list[str], value: str) -> DataFrame:
     q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
     return df.groupBy(*key).agg(q.alias("q"), F.avg(value).alias("mean"), F.count(value).alias("n")).select(
         *key, F.col("q")[0].alias("q25"), F.col("q")[1].alias("q50"), F.col("q")[2].alias("q75"), "mean", "n")
+
+
+def require_unique(df: DataFrame, key: list[str]) -> DataFrame:
+    """``df`` itself, or an error if a key occurs twice."""
+    if twice := df.groupBy(*key).count().where("count > 1").limit(1).collect():
+        raise ValueError(f"repeated key {tuple(twice[0])[:-1]}")
+    return df
+
+
+def keyword_groups(df: DataFrame, text: str, groups: list[tuple[str, list[str], list[str]]], out: str = "module") -> DataFrame:
+    """One row per row and group (name, include, exclude) whose words its text has and has not, whatever the case."""
+    low = F.lower(text)
+    hits = [F.when(any_keyword(low, [w.lower() for w in yes]) & ~(any_keyword(low, [w.lower() for w in no]) if no else F.lit(False)), F.lit(name)) for name, yes, no in groups]
+    return df.withColumn(out, F.explode(F.array_compact(F.array(*hits))))
+
+
+def bucketed(df: DataFrame, column: str, order: list[str], missing: str = "Not verified") -> DataFrame:
+    """Rows in ordered buckets of a label: missing ones first, labels outside the order vanish."""
+    name = F.coalesce(F.col(column), F.lit(missing))
+    place = F.array_position(F.array(*[F.lit(x) for x in [missing, *order]]), name)
+    return df.withColumn("bucket", name).withColumn("bucket_no", place.cast("int")).where("bucket_no > 0")

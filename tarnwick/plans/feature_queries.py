@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnwick.functions import sequence as Q
+from tarnwick.operators import cluster, ml, ontology, relational
 from tarnwick.plans import features as L
 from tarnwick.plans.registry import Tables, query, six
 
@@ -123,3 +124,93 @@ def peptide_masses(t: Tables) -> DataFrame:
 def left_lookup(t: Tables) -> DataFrame:
     names = t.nation.where("n_regionkey = 1").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
     return t.customer.select("c_custkey", "c_nationkey").join(names, "c_nationkey", "left").select("c_custkey", "c_nationkey", "n_name")
+
+
+@query("with a as (select p_partkey as k, p_size + (p_partkey % 5) / 2 as m, (p_partkey % 5) / sqrt(2) as s from part where p_partkey % 2 = 0), b as (select s_suppkey as k, s_acctbal from supplier where s_suppkey % 2 = 0) select coalesce(a.k, b.k) as \"Gene_id\", round(m, 3) as mean, round(s, 3) as std, round(s_acctbal, 3) as half_life from a full outer join b on a.k = b.k")
+def rna_level(t: Tables) -> DataFrame:
+    abundance = t.part.select(F.col("p_partkey").alias("Gene_id"), F.col("p_partkey").alias("row_no"), F.col("p_size").alias("r1"), (F.col("p_size") + F.col("p_partkey") % 5).alias("r2"))
+    kinetics = t.supplier.select(F.col("s_suppkey").alias("Gene_id"), F.col("s_suppkey").alias("row_no"), F.col("s_acctbal").alias("half_life"))
+    coding = t.part.where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("Gene_id"))
+    out = L.rna_level(abundance, {"m": ["r1", "r2"]}, kinetics, coding)
+    return out.select("Gene_id", F.col("m_mean").alias("mean"), F.col("m_std").alias("std"), "half_life")
+
+
+@query("with g as (select c_custkey as k, case when c_custkey % 3 = 0 then 'E' else 'V' end as e from customer where c_custkey % 5 <> 0) select k as \"Gene_id\", e as essentiality, case when k % 4 = 0 then case when k % 8 = 0 then 'E' end else e end as revised_essentiality, c_nationkey as viability from g join customer on k = c_custkey where c_custkey % 2 = 0")
+def phenotype_level(t: Tables) -> DataFrame:
+    key = F.col("c_custkey").alias("Gene_id")
+    library = t.customer.where("c_custkey % 5 <> 0").select(key, F.when(F.col("c_custkey") % 3 == 0, "E").otherwise("V").alias("essentiality"))
+    verified = t.customer.where("c_custkey % 4 = 0").select(key, F.when(F.col("c_custkey") % 8 == 0, "E").alias("verified"))
+    viability = t.customer.where("c_custkey % 5 <> 0").select(key, F.col("c_nationkey").alias("viability"))
+    return L.phenotype_level(library, verified, [viability], t.customer.where("c_custkey % 2 = 0").select(key))
+
+
+@query("with h as (select p_partkey, 'hash' as module from part where contains(lower(p_brand), '#1') and not contains(lower(p_brand), '#11') union all select p_partkey, 'even' from part where contains(p_brand, '2') or contains(p_brand, '4')) select module, count(distinct p_partkey) as n, min(p_partkey) as first from h group by 1")
+def keyword_modules(t: Tables) -> DataFrame:
+    found = L.modules(t.part, "p_brand", "p_partkey", [("hash", ["#1"], ["#11"]), ("even", ["2", "4"], [])])
+    return found.select("module", F.col("n").cast("long").alias("n"), F.element_at("genes", 1).alias("first"))
+
+
+@query("select o_orderkey, coalesce(s, 'Not verified') as bucket, case when s is null then 1 when s = 'O' then 2 else 3 end as bucket_no from (select o_orderkey, case when o_orderkey % 7 > 0 then o_orderstatus end as s from orders) where s is null or s in ('O', 'F')")
+def ordered_buckets(t: Tables) -> DataFrame:
+    rows = t.orders.select("o_orderkey", F.when(F.col("o_orderkey") % 7 > 0, F.col("o_orderstatus")).alias("s"))
+    return relational.bucketed(rows, "s", ["O", "F"]).select("o_orderkey", "bucket", "bucket_no")
+
+
+@query("select 't' || p_partkey as term_id, case p_size % 4 when 0 then 'KEGG Pathways' when 1 then 'Biological Process (Gene Ontology)' when 2 then 'Annotated Keywords (UniProt)' end as namespace, round_even(p_size / 60, 2) as gene_ratio, round_even(p_size / (p_size + 7), 2) as term_coverage, p_size || '/60' as ratio_in_study, (p_size + 7) || '/5000' as ratio_in_pop from part")
+def web_enrichment(t: Tables) -> DataFrame:
+    category = F.element_at(F.array(*[F.lit(x) for x in ("KEGG", "Process", "Keyword", "Other")]), F.col("p_size") % 4 + 1)
+    rows = t.part.select(F.concat(F.lit("t"), "p_partkey").alias("term"), category.alias("category"), F.col("p_name").alias("description"), F.lit(0.01).alias("p_value"), F.lit(0.02).alias("fdr"),
+                         F.col("p_size").alias("number_of_genes"), (F.col("p_size") + 7).alias("number_of_genes_in_background"), F.lit("a,b").alias("preferredNames"))
+    return ontology.web_enrichment(rows, 60, 5000).select("term_id", "namespace", "gene_ratio", "term_coverage", "ratio_in_study", "ratio_in_pop")
+
+
+@query("with e as (select p_partkey, p_size from part) select e.*, case when p_size % 2 = 0 then p_size / 100 end as \"Dispensability_0.7\", case when p_size % 3 = 0 then p_size / 100 end as \"Dispensability_0.4\" from e")
+def redundancy_columns(t: Tables) -> DataFrame:
+    def response(n: int) -> DataFrame:
+        return t.part.where(F.col("p_size") % n == 0).select("p_partkey", (F.col("p_size") / 100).alias("Dispensability"), F.lit(False).alias("Eliminated"), F.lit("r").alias("Representative"))
+
+    found = ontology.redundancy(t.part.select("p_partkey", "p_size"), {0.7: response(2), 0.4: response(3)}, ("p_partkey",))
+    return found.select("p_partkey", "p_size", F.col("`Dispensability_0.7`"), F.col("`Dispensability_0.4`"))
+
+
+@query("with p as (select p_partkey, upper(p_name) as s from part) select p_partkey, round(10.0 * list_sum(list_transform(range(1, length(s)), lambda i: case substr(s, i::int, 2) when 'RE' then -6.54 when 'ST' then 20.26 else 1.0 end)) / length(s), 6) as instability from p")
+def instability_index(t: Tables) -> DataFrame:
+    return t.part.select("p_partkey", six(Q.instability(F.col("p_name"), {"RE": -6.54, "ST": 20.26})).alias("instability"))
+
+
+@query()
+def peptide_scales(t: Tables) -> DataFrame:
+    peptide = F.regexp_replace(F.upper("p_name"), "[^ACDEFGHIKLMNPQRSTVWY]", "")
+    return t.part.select("p_partkey", six(Q.flexibility(peptide)).alias("flexibility"), six(Q.isoelectric_point(peptide)).alias("isoelectric_point"), six(Q.charge_at(peptide, F.lit(7.0))).alias("charge"))
+
+
+@query("select p_partkey, round(p_size - 25.0, 6) as back from part")
+def power_round_trip(t: Tables) -> DataFrame:
+    rows = t.part.select("p_partkey", (F.col("p_size") - 25).cast("double").alias("x"))
+    params = ml.fit_power(rows.where("p_partkey % 5 <> 0"), ["x"])
+    return ml.apply_power(rows, params).select("p_partkey", six(ml.invert_power(F.col("x"), params["x"])).alias("back"))
+
+
+@query("select p_partkey, i as time, case i when 0 then p_size else p_retailprice end as observed, case i when 0 then p_size * 2.0 end as fitted from part, unnest([0, 1]) as u(i)")
+def depletion_curves(t: Tables) -> DataFrame:
+    wide = t.part.select("p_partkey", F.col("p_size").cast("double").alias("t0"), F.col("p_retailprice").alias("t1"), (F.col("p_size") * 2.0).alias("t0_fitted"))
+    return L.curves(wide, ["t0", "t1"], "p_partkey")
+
+
+@query("select l_returnflag as cluster, l_linestatus as variant, count(*) as n, count(distinct l_partkey) as terms from lineitem where l_discount < 0.05 group by 1, 2")
+def terms_per_variant(t: Tables) -> DataFrame:
+    rows = t.lineitem.select(F.col("l_returnflag").alias("cluster"), F.col("l_linestatus").alias("variant"), F.col("l_partkey").alias("term"), F.col("l_discount").alias("p"))
+    return L.scored_terms(rows, 0.05, ["cluster", "variant"])
+
+
+@query("select o_orderkey, o_totalprice, c_custkey as \"Gene_id\", c_acctbal from orders join customer on o_custkey = c_custkey and c_custkey % 2 = 0")
+def assay_overlay(t: Tables) -> DataFrame:
+    assay = t.orders.select(F.col("o_custkey").alias("alias"), "o_orderkey", "o_totalprice")
+    alias = t.customer.where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("alias"), F.col("c_custkey").alias("Gene_id"))
+    return L.assay_overlay(assay, alias, t.customer.select(F.col("c_custkey").alias("Gene_id"), "c_acctbal")).drop("alias")
+
+
+@query()
+def variant_scores(t: Tables) -> DataFrame:
+    rows = t.supplier.select("s_suppkey", (F.col("s_acctbal") / 1000).alias("x"), F.col("s_nationkey").cast("double").alias("y"), (F.col("s_acctbal") > 4000).cast("int").alias("a"), (F.col("s_nationkey") % 3).alias("b"))
+    return cluster.compare_variants({"a": rows.withColumn("raw", F.col("a")), "b": rows.withColumn("raw", F.col("b"))}, "s_suppkey", "raw")

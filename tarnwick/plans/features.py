@@ -100,3 +100,54 @@ def extremes(df: DataFrame, by: list[str], order: Column, n: int) -> DataFrame:
     """The first ``n`` rows per group."""
     k = F.row_number().over(Window.partitionBy(*by).orderBy(order))
     return df.withColumn("__k", k).where(F.col("__k") <= n).drop("__k")
+
+
+def rna_level(abundance: DataFrame, conditions: dict[str, list[str]], kinetics: DataFrame, coding: DataFrame, order: str = "row_no", key: str = "Gene_id") -> DataFrame:
+    """Replicate statistics per condition and transcript kinetics of coding genes, outer-joined.
+
+    Both tables keep complete rows only, rounded half-even to three digits, the first row per gene
+    in the order of ``order``.
+    """
+    wide = replicates(abundance.withColumn("__id", F.struct(key, order)), "__id", conditions).select("__id.*", *[f"{c}_{m}" for c in conditions for m in ("mean", "std", "cv")])
+    genes = coding.select(key).distinct()
+    out = []
+    for table in (wide, kinetics):
+        values = [c for c in table.columns if c not in (key, order)]
+        full = table.join(genes, key, "left_semi").na.drop(subset=values)
+        first = relational.keep_first(full, [key], [F.col(order)])
+        out.append(first.select(key, *[F.bround(F.col(c).cast("double"), 3).alias(c) for c in values]))
+    return relational.merge_outer(out, [key])
+
+
+def phenotype_level(library: DataFrame, verified: DataFrame, others: list[DataFrame], coding: DataFrame, essentiality: str = "essentiality", key: str = "Gene_id") -> DataFrame:
+    """Library columns with the revised essentiality beside the old, and further tables, of coding genes.
+
+    A gene that ``verified`` lists takes its value even if that is missing. Every table has a gene
+    once; a repeated gene raises.
+    """
+    revised = relational.override(library.withColumn("revised_" + essentiality, F.col(essentiality)), verified, [key], "revised_" + essentiality, "verified")
+    tables = [relational.require_unique(t, [key]) for t in (revised, *others)]
+    return relational.merge_outer(tables, [key]).join(coding.select(key).distinct(), key, "left_semi")
+
+
+def curves(points: DataFrame, times: list[str], key: str = "Gene_id") -> DataFrame:
+    """Long (key, time, observed, fitted) of wide columns t and t_fitted; of a repeated key the row of the least values stays."""
+    one = relational.keep_first(points, [key], [F.col(t) for t in times])
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("time"), F.col(t).alias("observed"), (F.col(t + "_fitted") if t + "_fitted" in points.columns else F.lit(None)).cast("double").alias("fitted")) for i, t in enumerate(times)]))
+    return one.select(key, each.alias("p")).select(key, "p.*")
+
+
+def modules(df: DataFrame, text: str, gene: str, groups: list[tuple[str, list[str], list[str]]]) -> DataFrame:
+    """Genes of each module of terms, as a sorted list and its length."""
+    rows = relational.keyword_groups(df, text, groups).groupBy("module").agg(F.array_sort(F.collect_set(gene)).alias("genes"))
+    return rows.withColumn("n", F.size("genes"))
+
+
+def scored_terms(df: DataFrame, alpha: float, by: list[str]) -> DataFrame:
+    """Significant terms per variant and cluster, and how many different ones."""
+    return df.where(F.col("p") < alpha).groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("term").alias("terms"))
+
+
+def assay_overlay(assay: DataFrame, alias: DataFrame, wide: DataFrame, key: str = "Gene_id") -> DataFrame:
+    """An external assay (alias, generation, value) with the wide table's values, by an alias table."""
+    return assay.join(alias, "alias").join(wide, key)

@@ -136,3 +136,48 @@ def cached(spark: SparkSession, cache_dir: str, parts: list[str], fetch=None, sc
             return None
         spark.createDataFrame(rows, schema).coalesce(1).write.csv(path, sep="\t", header=True)
     return read_table(spark, path, schema)
+
+
+def read_sheet(spark: SparkSession, path: str, sheet: str | int = 0, skip: int = 0, comment: str | None = None, drop: int = 0) -> DataFrame:
+    """One sheet of a workbook on the driver's disk, as text; ``drop`` rows after the header go.
+
+    Workbooks are read by pandas, which needs an engine for them; without one this raises its error.
+    """
+    import pandas as pd
+
+    rows = pd.read_excel(path, sheet_name=sheet, skiprows=skip, comment=comment, dtype=str).iloc[drop:]
+    return spark.createDataFrame(rows.astype(object).where(rows.notna(), None), ", ".join(f"`{c}` string" for c in rows.columns))
+
+
+def read_cif_confidence(spark: SparkSession, path: str, glob: str = "*.cif*") -> DataFrame:
+    """(protein, residue, confidence) of the alpha carbons of mmCIF files, columns found by their names."""
+    files = spark.read.option("pathGlobFilter", glob).text(path, wholetext=True).select("value", F.input_file_name().alias("file"))
+    lines = F.split("value", "\n")
+    named = F.transform(F.filter(lines, lambda x: x.startswith("_atom_site.")), lambda x: F.trim(F.substring_index(x, ".", -1)))
+    rows = files.select("file", named.alias("n"), F.explode(F.filter(lines, lambda x: x.startswith("ATOM"))).alias("a"))
+    rows = rows.select("file", "n", F.split(F.trim("a"), " +").alias("a"))
+
+    def column(name: str) -> Column:
+        return F.get("a", (F.array_position("n", name) - 1).cast("int"))
+
+    atoms = rows.where(F.regexp_replace(column("label_atom_id"), "\"", "") == "CA")
+    return atoms.select(F.regexp_extract("file", "AF-(.+?)-F1-", 1).alias("protein"), column("label_comp_id").alias("residue"), column("B_iso_or_equiv").cast("double").alias("confidence"))
+
+
+#: Three letters of a residue to one. Fixed values.
+RESIDUES = {
+    "ALA": "A", "ARG": "R", "ASN": "N", "ASP": "D", "CYS": "C", "GLN": "Q", "GLU": "E", "GLY": "G", "HIS": "H", "ILE": "I",
+    "LEU": "L", "LYS": "K", "MET": "M", "PHE": "F", "PRO": "P", "SER": "S", "THR": "T", "TRP": "W", "TYR": "Y", "VAL": "V",
+}
+
+
+def read_pdb_sequence(spark: SparkSession, path: str, glob: str = "*.pdb*") -> DataFrame:
+    """(protein, sequence) of the first chain of each structure, residues in the order of their numbers."""
+    rows = spark.read.option("pathGlobFilter", glob).text(path).select("value", F.input_file_name().alias("file"))
+    atoms = rows.where("value like 'ATOM%' and trim(substring(value, 13, 4)) = 'CA'")
+    letters = F.create_map(*[F.lit(x) for pair in RESIDUES.items() for x in pair])
+    place = F.struct(F.trim(F.substring("value", 23, 4)).cast("int").alias("no"), F.substring("value", 27, 1).alias("extra"))
+    each = atoms.select("file", F.substring("value", 22, 1).alias("chain"), place.alias("at"), F.coalesce(F.try_element_at(letters, F.substring("value", 18, 3)), F.lit("X")).alias("a"))
+    chains = each.groupBy("file", "chain").agg(F.array_join(F.transform(F.array_sort(F.collect_set(F.struct("at", "a"))), lambda x: x["a"]), "").alias("sequence"))
+    first = chains.groupBy("file").agg(F.min_by("sequence", "chain").alias("sequence"))
+    return first.select(F.regexp_extract("file", "AF-(.+?)-F1-", 1).alias("protein"), "sequence")

@@ -204,3 +204,60 @@ def test_pipeline_builds_what_is_missing(spark, tmp_path):
 
     p = stages.Pipeline(str(tmp_path)).add("first", [], first).add("second", ["first"], lambda df: df.where("id > 0"))
     assert p.table(spark, "second").count() == 2 and p.table(spark, "second").count() == 2 and calls == ["first"]
+
+
+def test_peptide_scales_against_plain_sums(spark):
+    peptide = "MKKLWDERGHACDYSTPNQVIF" * 3
+    value = [Q.FLEXIBILITY[a] for a in peptide]
+    pairs = [(0, 0.25), (1, 0.4375), (2, 0.625), (3, 0.8125)]
+    windows = [sum((value[i + j] + value[i + 8 - j]) * w for j, w in pairs) + value[i + 5] for i in range(len(peptide) - 9)]
+    assert one(spark, Q.flexibility(F.col("p")), p=peptide) == pytest.approx(sum(windows) / len(windows) / 5.25)
+    assert one(spark, Q.flexibility(F.col("p")), p=peptide[:9]) is None
+    assert one(spark, Q.instability(F.col("p"), {"AC": 3.0, "CA": -1.0}), p="ACAA*C") == pytest.approx(10 * (3 - 1 + 1) / 4)
+    assert one(spark, Q.instability(F.col("p"), {}), p="") is None
+    point = one(spark, Q.isoelectric_point(F.col("p")), p=peptide)
+    assert abs(one(spark, Q.charge_at(F.col("p"), F.lit(point)), p=peptide)) < 1e-3
+    assert one(spark, Q.isoelectric_point(F.col("p")), p="KKKKK") > 9 > 5 > one(spark, Q.isoelectric_point(F.col("p")), p="DDDDD")
+
+
+@pytest.mark.parametrize("lam", [0.0, 0.5, 1.0, 2.0, 2.7])
+def test_inverse_power(spark, lam):
+    for x in (-3.0, -0.4, 0.0, 2.5):
+        assert one(spark, ml.inverse_yeo_johnson(ml.yeo_johnson(F.col("x"), lam), lam), x=x) == pytest.approx(x, abs=1e-9)
+
+
+def test_manual_merge_and_unique_keys(spark):
+    df = spark.createDataFrame([(0, 0.1, 1.0), (1, 0.9, 1.0), (2, 0.8, 2.0), (None, 0.5, 1.0)], "raw int, DR double, DL double")
+    got = {r.raw: r.cluster for r in cluster.manual_merge(df, {0: 7, 1: 5, 2: 5}).collect()}
+    assert got == {0: 2, 1: 1, 2: 1, None: None}
+    with pytest.raises(ValueError):
+        cluster.manual_merge(df, {0: 7, 1: 5})
+    assert relational.require_unique(df, ["raw"]) is df
+    with pytest.raises(ValueError):
+        relational.require_unique(df.union(df), ["raw"])
+
+
+def test_keyword_groups_and_buckets(spark):
+    df = spark.createDataFrame([(1, "Kinase complex"), (2, "kinase INHIBITOR"), (3, None)], "id int, t string")
+    rows = relational.keyword_groups(df, "t", [("k", ["kinase"], ["inhibitor"]), ("any", ["complex", "inhib"], [])]).collect()
+    assert sorted((r.id, r.module) for r in rows) == [(1, "any"), (1, "k"), (2, "any")]
+    labels = spark.createDataFrame([(1, "E"), (2, None), (3, "other"), (4, "V")], "id int, v string")
+    assert sorted((r.bucket_no, r.id) for r in relational.bucketed(labels, "v", ["V", "E"]).collect()) == [(1, 2), (2, 4), (3, 1)]
+
+
+def test_levels_keep_first_complete_rows(spark):
+    from tarnwick.plans import features
+
+    a = spark.createDataFrame([("g1", 1, 1.0, 3.0), ("g1", 2, 9.0, 9.0), ("g2", 3, 1.0, None), ("x", 4, 1.0, 1.0)], "Gene_id string, row_no int, a1 double, a2 double")
+    k = spark.createDataFrame([("g2", 1, 0.12345)], "Gene_id string, row_no int, half double")
+    coding = spark.createDataFrame([("g1",), ("g2",), ("g3",)], "Gene_id string")
+    got = {r.Gene_id: (r.c_mean, r.c_std, r.half) for r in features.rna_level(a, {"c": ["a1", "a2"]}, k, coding).collect()}
+    assert got == {"g1": (2.0, 1.414, None), "g2": (None, None, 0.123)}
+
+
+def test_coherence_by_kind(spark):
+    rng = np.random.default_rng(0)
+    back = spark.createDataFrame([(i, *map(float, rng.normal(size=2))) for i in range(60)], "id long, x double, y double")
+    df = back.where("id < 12").withColumn("grp", F.col("id") % 2).withColumn("kind", F.when(F.col("id") % 2 == 0, "a").otherwise("b"))
+    got = coherence.permutation_by_kind(df, {"a": back, "b": back}, "kind", "grp", "id", times=50).collect()
+    assert sorted((r.kind, r.grp) for r in got) == [("a", 0), ("b", 1)]

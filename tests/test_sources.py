@@ -76,3 +76,24 @@ def test_stream_equals_batch(spark, tmp_path):
     got = {(r.start, r.event_type): r.n for r in spark.read.parquet(f"{tmp_path}/out").select(start, "event_type", "n").collect()}
     want = {(r.start, r.event_type): r.n for r in events.tumbling(batch, "1 hour").select(start, "event_type", "n").collect()}
     assert got and all(want[k] == n for k, n in got.items())
+
+
+def test_structures(spark, tmp_path):
+    line = "ATOM  {:>5}  {:<3} {} {}{:>4}    {:>8}{:>8}{:>8}{:>6}{:>6}\n"
+    body = "".join(line.format(i, atom, res, chain, no, "1.000", "1.000", "1.000", "1.00", conf) for i, (atom, res, chain, no, conf) in enumerate(
+        [("N", "MET", "A", 1, "80.00"), ("CA", "MET", "A", 1, "87.50"), ("CA", "LYS", "A", 2, "40.00"), ("CA", "GLY", "B", 1, "50.00")]))
+    (tmp_path / "AF-P1-F1-model.pdb").write_text(body)
+    assert tuple(R.read_pdb_sequence(spark, str(tmp_path)).first()) == ("P1", "MK")
+    names = ("group_PDB", "id", "label_atom_id", "label_comp_id", "B_iso_or_equiv")
+    rows = "ATOM 1 N MET 80.0\nATOM 2 CA MET 87.5\nATOM 3 CA LYS 40.0\n"
+    (tmp_path / "AF-P2-F1-model.cif").write_text("data_x\nloop_\n" + "".join(f"_atom_site.{n}\n" for n in names) + rows + "#\n")
+    got = R.read_cif_confidence(spark, str(tmp_path)).collect()
+    assert sorted((r.protein, r.residue, r.confidence) for r in got) == [("P2", "LYS", 40.0), ("P2", "MET", 87.5)]
+
+
+def test_sheet_without_an_engine(spark, tmp_path):
+    pytest.importorskip("openpyxl")
+    import pandas as pd
+
+    pd.DataFrame({"a": ["unit", "1"], "b": [None, "x"]}).to_excel(tmp_path / "x.xlsx", index=False)
+    assert [tuple(r) for r in R.read_sheet(spark, str(tmp_path / "x.xlsx"), drop=1).collect()] == [("1", "x")]
