@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import json
+from functools import cache
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarnwick.llm.common import let
+
 #: Spellings that count as equal, first to second, replaced in this order. Fixed values.
 SPELLINGS = (
     ("licence", "license"), ("sub-license", "sublicense"), ("sub license", "sublicense"), ("non-commercial", "noncommercial"),
@@ -14,6 +20,11 @@ SPELLINGS = (
 )
 #: Whole lines that only say who holds the copyright.
 COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n(]*(?:copyright|\(c\))[ \t]*(?:\(c\)|copyright|[0-9<\[{])[^\n]*$"
+#: The same with a plain name behind the word; not before words that follow it in licence texts, however these are wrapped.
+NAMED_LINE = (
+    r"(?m)^[^\p{L}\p{N}\n(]*copyright[ \t]+(?:by[ \t]+)?(?!(?:holders?|notices?|owners?|ownership|and|or|laws?|disclaimers?|interests?|the|permissions?|on|in|to|by|is|as|"
+    r"license[sd]?|statements?|treaty|treaties|if|are|of|including|doctrines?|for|with|from|that|which|may|shall|claims?|infringements?|protection|act|status|works?|rights?|under|lines?)\b)\p{L}[^\n]{0,120}$"
+)
 RIGHTS_LINE = r"(?m)^[^\p{L}\p{N}\n]*all rights reserved[^\p{L}\p{N}\n]*$"
 BETWEEN = r"[^\p{L}\p{N}]+"
 
@@ -56,7 +67,7 @@ _BSD_END = (
     "HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) "
     "ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
 )
-#: Entire licence texts and whole-line notices by SPDX name. Fixed values.
+#: Entire licence texts and whole-line notices by SPDX name. Fixed values; the SQL knows these only.
 TEXTS = (
     ("MIT", _PERMIT + _AS_IS), ("MIT", "MIT License\n\n" + _PERMIT + _AS_IS), ("MIT", "The MIT License (MIT)\n\n" + _PERMIT + _AS_IS),
     ("ISC", _ISC), ("ISC", "ISC License\n\n" + _ISC),
@@ -75,11 +86,91 @@ NOTICES = (
 NOTICE_MARK = "licen"
 
 
+#: Full texts, one file each, named by licence; a second dot tells versions of one text apart.
+FOLDER = Path(__file__).parent / "license_texts"
+#: Where the licence proper ends and advice on its use begins.
+APPENDICES = ("\n   APPENDIX: How to apply", "How to Apply These Terms to Your New", "How to Apply These Terms to Your New Libraries", "ADDENDUM: How to use this License", "Exhibit A - Source Code Form")
+#: The same line of the Free Software Foundation's texts over the years.
+ADDRESSES = (
+    "", "51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA", "51 Franklin St, Fifth Floor, Boston, MA 02110-1301 USA",
+    "59 Temple Place, Suite 330, Boston, MA 02111-1307 USA", "675 Mass Ave, Cambridge, MA 02139, USA",
+)
+#: Names that notices call a licence by, by SPDX name.
+_GNU = {"GPL": ("GNU General Public License", "GNU GPL", "GPL"), "LGPL": ("GNU Lesser General Public License", "GNU LGPL", "LGPL"), "AGPL": ("GNU Affero General Public License", "GNU AGPL", "AGPL")}
+_CC = {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-NC": "Attribution-NonCommercial", "BY-ND": "Attribution-NoDerivatives",
+       "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}
+NAMES = {
+    "Apache-2.0": ("Apache License, Version 2.0", "Apache License Version 2.0", "Apache License 2.0", "Apache 2.0 License", "Apache-2.0 License", "Apache 2.0", "Apache License, Version 2.0 (the \"License\")"),
+    "MIT": ("MIT License", "MIT", "MIT/X11 License", "Expat License"), "ISC": ("ISC License", "ISC"), "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD License"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "2-Clause BSD License", "Simplified BSD License", "BSD-2-Clause License", "FreeBSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "3-Clause BSD License", "New BSD License", "Modified BSD License", "BSD-3-Clause License", "Revised BSD License"),
+    "MPL-1.1": ("Mozilla Public License, Version 1.1", "Mozilla Public License 1.1", "MPL 1.1"), "MPL-2.0": ("Mozilla Public License, Version 2.0", "Mozilla Public License, v. 2.0", "Mozilla Public License 2.0", "MPL 2.0"),
+    "Unlicense": ("Unlicense",), "Zlib": ("zlib License", "zlib/libpng License"), "BSL-1.0": ("Boost Software License, Version 1.0", "Boost Software License 1.0"),
+    "EPL-1.0": ("Eclipse Public License 1.0", "Eclipse Public License v1.0", "Eclipse Public License, Version 1.0"), "EPL-2.0": ("Eclipse Public License 2.0", "Eclipse Public License v2.0", "Eclipse Public License, Version 2.0"),
+    "CC0-1.0": ("CC0", "CC0 1.0", "CC0 1.0 Universal", "Creative Commons Zero License"), "OFL-1.1": ("SIL Open Font License, Version 1.1", "SIL Open Font License 1.1"), "NCSA": ("University of Illinois/NCSA Open Source License",),
+    "Artistic-2.0": ("Artistic License 2.0",), "PSF-2.0": ("Python Software Foundation License Version 2", "PSF License"), "WTFPL": ("WTFPL",),
+    **{f"{g}-{v}": tuple(f"{n}{m}" for n in names for m in (f", version {v}", f" version {v}", f" v{v}", f", v{v}", f" {v}", f"v{v}", *((f", version {v[0]}", f" version {v[0]}", f" v{v[0]}", f"v{v[0]}", f" {v[0]}") if v.endswith(".0") else ())))
+       for g, names in _GNU.items() for v in {"GPL": ("1.0", "2.0", "3.0"), "LGPL": ("2.0", "2.1", "3.0"), "AGPL": ("3.0",)}[g]},
+    **{f"CC-{k}-{v}": (f"CC {k} {v}", f"CC-{k}-{v}", f"CC-{k} {v}", *(f"Creative Commons {n} {v}{m}" for n in {full, full.replace("NoDerivatives", "NoDerivs")} for m in (" International License", " International", " Unported License", " License", " Generic License")))
+       for k, full in _CC.items() for v in ("2.0", "2.5", "3.0", "4.0")},
+}
+#: How a canonical line that names a licence begins; all such beginnings count as equal.
+PHRASE = (
+    r"^(?:license )?(?:(?:this|the|it|all|our)(?: [\p{L}\p{N}]+){0,5}? (?:is|are) )?(?:also )?(?:(?:free )?software )?"
+    r"(?:licensed|released|distributed|published|provided|(?:made )?available) (?:to you )?under (?:the terms of )?(?:the |an? )?"
+)
+PLAIN = ("License: {}", "Licensed {}")
+#: Notices of several lines; each is looked for in two lines that follow each other.
+HEADERS = (
+    *((f"{name}{later}", f"{start} under the terms of the {full} as published by the Free Software Foundation; {either} {v}{of} of the License{tail}")
+      for start in ("it", "modify it", "This program is free software; you can redistribute it and/or modify it")
+      for g, full in (("GPL", "GNU General Public License"), ("LGPL", "GNU Lesser General Public License"), ("LGPL", "GNU Library General Public License"), ("AGPL", "GNU Affero General Public License"))
+      for v, name in (("1", f"{g}-1.0"), ("2", f"{g}-2.0"), ("2.1", f"{g}-2.1"), ("3", f"{g}-3.0")) if (g, v) in {("GPL", "1"), ("GPL", "2"), ("GPL", "3"), ("LGPL", "2"), ("LGPL", "2.1"), ("LGPL", "3"), ("AGPL", "3")}
+      for later, either, of, tail in (("-or-later", "either version", "", ", or"), ("-or-later", "either version", "", ", or (at your option)"), ("-or-later", "either version", "", ", or (at your option) any later version."), ("", "version", "", "."), ("", "version", "", ""))),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this"),
+    ("MPL-1.1", "The contents of this file are subject to the Mozilla Public License Version 1.1 (the \"License\"); you may not use this file except in compliance with"),
+    ("MIT", "Use of this source code is governed by an MIT-style license that can be found in the LICENSE file."),
+    ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at"),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0."),
+)
+
+
+@cache
+def all_texts() -> tuple[tuple[str, str], ...]:
+    """TEXTS and the files, these also without their appendices and with any of the addresses."""
+    out = list(TEXTS)
+    for path in sorted(FOLDER.glob("*.txt")):
+        name, whole = path.stem.removesuffix(".spdx"), path.read_text("utf-8")
+        forms = {whole, *(whole[: whole.index(mark)] for mark in APPENDICES if mark in whole)}
+        for form in sorted(forms):
+            lines = form.split("\n")
+            at = [i for i, x in enumerate(lines[:12]) if "Boston, MA" in x or "Cambridge, MA" in x]
+            out += [(name, "\n".join([*lines[: at[0]], a, *lines[at[0] + 1 :]])) for a in ADDRESSES] if at else [(name, form)]
+            out.append((name, form))
+    return tuple(dict.fromkeys(out))
+
+
+@cache
+def all_notices() -> tuple[tuple[str, str], ...]:
+    """NOTICES, every name in a phrase, headers and an SPDX line for every SPDX name.
+
+    "or later" licences keep that name; "only" is the licence itself.
+    """
+    ids = (FOLDER / "SPDX_IDS").read_text("utf-8").split()
+    out = [(name.removesuffix("-only"), "SPDX-License-Identifier: " + name) for name in ids]
+    out += [(name, p.format(called)) for name, names in NAMES.items() for called in names for p in ("Licensed under {}", *PLAIN)]
+    out += [(f"{name}-or-later", f"Licensed under {called} or {x}") for name, names in NAMES.items() if name.split("-")[0] in _GNU for called in names for x in ("later", "any later version")]
+    return (*NOTICES, *HEADERS, *out)
+
+
 def canonical(text: Column) -> Column:
     """Lower case, no copyright lines, one spelling, single spaces instead of punctuation."""
     t = F.lower(text)
     for old, new in SPELLINGS:
         t = F.replace(t, F.lit(old), F.lit(new))
+    t = F.regexp_replace(t, NAMED_LINE, "")
     return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(t, COPYRIGHT_LINE, ""), RIGHTS_LINE, ""), BETWEEN, " "))
 
 
@@ -87,28 +178,41 @@ def digest(text: Column) -> Column:
     return F.sha2(canonical(text), 256)
 
 
-def known_digests(spark: SparkSession, texts=TEXTS) -> DataFrame:
+def notice_digest(line: Column) -> Column:
+    return F.sha2(F.regexp_replace(canonical(line), PHRASE, "under "), 256)
+
+
+def known_digests(spark: SparkSession, texts=TEXTS, digest=digest) -> DataFrame:
     """(known, license_id), one row per digest; a digest of two names keeps the lesser."""
     rows = spark.createDataFrame([(t, n) for n, t in texts], "text string, license_id string")
     return rows.groupBy(digest(F.col("text")).alias("known")).agg(F.min("license_id").alias("license_id"))
 
 
-def scan_licenses(docs: DataFrame, texts=TEXTS, notices=NOTICES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan_licenses(docs: DataFrame, texts=None, notices=None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, digest, license_id and notices for every row of ``docs``.
 
     digest is of the canonical entire text (null for a null text; an empty text has the digest of
     no bytes) and license_id the known licence that it equals, else null. notices lists, without
-    repeats and in order, the licences whose notice some whole line of the text equals. The known
-    tables are constants of a few rows and are broadcast. Repeated rows get equal answers.
+    repeats and in order, the licences whose notice some whole line of the text, or two lines that
+    follow each other, equal. The known tables (``all_texts`` and ``all_notices`` unless given) are
+    constants and are broadcast. Repeated rows get equal answers.
     """
     spark = docs.sparkSession
-    known = known_digests(spark, texts).withColumnRenamed("known", "digest")
-    lines = {r["known"]: r["license_id"] for r in known_digests(spark, notices).collect()}
-    marked = F.filter(F.split(F.col(text_col), "\n"), lambda x: F.lower(x).contains(NOTICE_MARK))
-    names = F.create_map(*[F.lit(x) for pair in sorted(lines.items()) for x in pair])
-    named = F.transform(marked, lambda x: F.try_element_at(names, digest(x)))
+    known = known_digests(spark, texts or all_texts()).withColumnRenamed("known", "digest")
+    lines = {r["known"]: r["license_id"] for r in known_digests(spark, notices or all_notices(), notice_digest).collect()}
+
+    def marked(x: Column) -> Column:
+        return F.lower(x).contains(NOTICE_MARK)
+
+    def joined(x: Column) -> Column:
+        return F.concat(x, F.zip_with(F.slice(x, 1, F.size(x) - 1), F.slice(x, 2, F.size(x)), lambda a, b: F.concat_ws(" ", a, b)))
+
+    text = F.col(text_col)
+    split = F.filter(let(F.split(F.when(marked(text), text), "\n"), joined), lambda x: marked(x))
+    names = F.from_json(F.lit(json.dumps(dict(sorted(lines.items())))), "map<string,string>")
+    named = F.transform(split, lambda x: F.try_element_at(names, notice_digest(x)))
     found = F.array_sort(F.array_distinct(F.filter(named, lambda x: x.isNotNull())))
-    scanned = docs.select(F.col(id_col).alias("doc_id"), digest(F.col(text_col)).alias("digest"), F.coalesce(found, F.array().cast("array<string>")).alias("notices"))
+    scanned = docs.select(F.col(id_col).alias("doc_id"), digest(text).alias("digest"), F.coalesce(found, F.array().cast("array<string>")).alias("notices"))
     return scanned.join(F.broadcast(known), "digest", "left").select("doc_id", "digest", "license_id", "notices")
 
 
