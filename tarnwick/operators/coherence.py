@@ -61,15 +61,25 @@ def geometric_median(df: DataFrame, group: str, x: str = "x", y: str = "y") -> D
     return df.select(group, x, y).groupBy(group).applyInPandas(run, f"{group} {kind}, centroid_x double, centroid_y double, mean_distance double, median_distance double, max_distance double, covered long")
 
 
-def mean_pairwise(p: np.ndarray) -> float:
-    d = np.sqrt(((p[:, None, :] - p[None, :, :]) ** 2).sum(axis=2))
-    return float(d[np.triu_indices(len(p), 1)].mean()) if len(p) > 1 else 0.0
+def mean_pairwise(p: np.ndarray, block: int = 64) -> float:
+    """Mean distance of all pairs, from blocks of ``block`` rows against the rows from theirs on."""
+    n, total = len(p), 0.0
+    x, y = (np.ascontiguousarray(p[:, k]) for k in (0, 1))
+    for lo in range(0, n, block):
+        hi = min(n, lo + block)
+        dx, dy = x[lo:hi, None] - x[None, lo:], y[lo:hi, None] - y[None, lo:]
+        np.multiply(dx, dx, out=dx)
+        np.multiply(dy, dy, out=dy)
+        d = np.sqrt(np.add(dx, dy, out=dx), out=dx)
+        total += d[:, : hi - lo].sum() / 2 + d[:, hi - lo :].sum()
+    return float(total / (n * (n - 1) / 2)) if n > 1 else 0.0
 
 
 def permutation_test(df: DataFrame, background: DataFrame, group: str, key: str, x: str = "x", y: str = "y", times: int = 1000, seed: int = 42, most: int = 20_000) -> DataFrame:
     """z and p of each group's mean pairwise distance against random sets of its size.
 
-    The null distribution is drawn once per distinct size, in parallel over sizes. The background
+    The null distribution is drawn once per distinct size, in parallel over sizes and over parts of
+    the draws; every part replays the same random numbers, so parts do not change it. The background
     in the order of its key goes to every task; over ``most`` rows raise, as its size is the bound
     of that broadcast. z uses the population deviation; a lone member or a flat null gives (0, 1).
     """
@@ -78,15 +88,20 @@ def permutation_test(df: DataFrame, background: DataFrame, group: str, key: str,
         raise ValueError(f"a background of over {most} rows")
     cloud = rows[[x, y]].to_numpy(dtype=float)
     sized = df.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(group)))
-    sizes = sized.select("n").distinct()
+    parts = max(1, min(times, 16))
+    sizes = sized.select("n").distinct().select("n", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
 
     def null(pdf: pd.DataFrame) -> pd.DataFrame:
-        n = int(pdf["n"].iloc[0])
-        rng = np.random.default_rng(seed)
-        draws = [mean_pairwise(cloud[rng.choice(len(cloud), n, replace=False)]) for _ in range(times)] if 1 < n <= len(cloud) else []
+        n, part = int(pdf["n"].iloc[0]), int(pdf["part"].iloc[0])
+        rng, draws = np.random.default_rng(seed), []
+        for k in range(times if 1 < n <= len(cloud) else 0):
+            chosen = rng.choice(len(cloud), n, replace=False)
+            if k % parts == part:
+                draws.append(mean_pairwise(cloud[chosen]))
         return pd.DataFrame({"n": [n], "draws": [draws]})
 
-    nulls = sizes.groupBy("n").applyInPandas(null, "n long, draws array<double>")
+    nulls = sizes.groupBy("n", "part").applyInPandas(null, "n long, draws array<double>")
+    nulls = nulls.groupBy("n").agg(F.flatten(F.sort_array(F.collect_list("draws"))).alias("draws"))
     observed = pairwise(df, group, key, x, y).select(group, F.col("mean").alias("observed"))
     out = sized.select(group, "n").distinct().join(observed, group, "left").join(nulls, "n")
     mean = F.expr("aggregate(draws, 0D, (a, d) -> a + d) / size(draws)")
