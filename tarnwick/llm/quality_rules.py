@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnwick.llm.common import TMP, let, materialize
+from tarnwick.llm.common import TMP, join_on, let, materialize
 
 SPLIT = "[ \\x09-\\x0D]+"
 #: Frequent function words of a few languages. Fixed values.
@@ -171,17 +171,19 @@ def fit_votes(patterns: dict[tuple[int, ...], int], rules: tuple[Rule, ...] = RU
     return model
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES, threshold: float = 0.5, label: str = "rules") -> DataFrame:
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES, threshold: float = 0.5, label: str = "rules", keep: tuple[Column, ...] = ()) -> DataFrame:
     """Base counts, votes, posterior and verdict of every row of ``docs``.
 
     Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
     kept, posterior and one vote_<rule> per rule (null: none). base_failed holds for fewer than 10
     words or over 20 % repeated words; such rows are never kept, and their votes take part in the
     estimate like all others. Null, empty and wordless texts have all counts zero and fail.
-    Repeated rows count as often as they occur; an empty table gives an empty table.
+    Repeated rows count as often as they occur; an empty table gives an empty table. Named columns
+    in ``keep`` go along and come last.
     """
-    measures = materialize(docs.select(F.col(id_col).alias("doc_id"), base_measures(F.col(text_col)).alias("m")), label)
-    counts = measures.select("doc_id", "m.w.*", "m.l.*", *["m." + c for c in ("n_symbols", "n_upper", "n_marks", "n_digits")])
+    measures = materialize(docs.select(F.col(id_col).alias("doc_id"), base_measures(F.col(text_col)).alias("m"), *keep), label)
+    along = measures.columns[2:]
+    counts = measures.select("doc_id", *along, "m.w.*", "m.l.*", *["m." + c for c in ("n_symbols", "n_upper", "n_marks", "n_digits")])
     votes = [F.when(F.expr("n_words = 0"), 2).when(F.expr(r.unfit), 0).when(F.expr(r.fit), 1).otherwise(2).alias("v_" + r.name) for r in rules]
     voted = counts.select("*", *votes)
     names = ["v_" + r.name for r in rules]
@@ -195,14 +197,14 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules
     posterior = 1 / (1 + F.exp(-odds))
     return voted.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
                         (~failed & (posterior >= threshold)).alias("kept"), posterior.alias("posterior"),
-                        *[F.when(F.col(n) < 2, F.col(n)).alias(n.replace("v_", "vote_", 1)) for n in names])
+                        *[F.when(F.col(n) < 2, F.col(n)).alias(n.replace("v_", "vote_", 1)) for n in names], *along)
 
 
 def keep_fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose document is kept by ``judge``; all columns stay.
 
-    Rows are matched by id, so of rows that share an id all stay or go with the best of them;
-    rows without an id go.
+    A verdict goes to its own text: rows are matched by id, null included, and a hash of the text.
     """
-    kept = judge(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias(TMP + "id")).distinct()
-    return docs.join(kept, docs[id_col] == kept[TMP + "id"], "left_semi")
+    digest = F.xxhash64(text_col).alias(TMP + "hash")
+    kept = judge(docs, id_col, text_col, keep=(digest,)).where("kept").select(F.col("doc_id").alias(id_col), TMP + "hash").distinct()
+    return join_on(docs.select("*", digest), kept, [id_col, TMP + "hash"]).drop(TMP + "hash")
