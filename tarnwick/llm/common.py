@@ -32,14 +32,36 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir().rstrip("/")
 
 
+def _hadoop(spark: SparkSession, path: str):
+    """(file system, path) of a folder."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and return a frame that reads it back."""
+    """Write ``df`` to the shared folder and return a frame that reads it back.
+
+    All tables of one application lie in a folder of its own, which goes when its driver ends.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tarnwick/{label}-{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark)}/tarnwick/{spark.sparkContext.applicationId}"
+    fs, at = _hadoop(spark, folder)
+    fs.mkdirs(at)
+    fs.deleteOnExit(at)
+    path = f"{folder}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the files of a table of ``materialize`` that nothing will read again."""
+    spark = df.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if f"/tarnwick/{spark.sparkContext.applicationId}/" in folder:
+            fs, at = _hadoop(spark, folder)
+            fs.delete(at, True)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
