@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,22 @@ _PLAIN = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "
 FEATURES = ("fixed_rate", "fixed_hits", "learned_rate", "learned_hits", "learned_top", "near_second_person", "second_person", "capitals", "punctuation", "obfuscated", "obfuscated_hits", "log_words")
 _STEMS = (4, 5)
 _WORD = re.compile(r"[^\W\d_]+")
-_MIXED = re.compile(r"(?<!\S)(?=\S*[a-z])(?=\S*[0-9@$*!._-]\S*[a-z])[a-z0-9@$*!._-]{3,24}(?!\S)")
+#: Words of letters and stand-ins with a letter right behind one of these; possessive, so linear in a word of any length.
+_MIXED = re.compile(r"(?<!\S)[a-z]*+[0-9@$*!._-]++[a-z][a-z0-9@$*!._-]*+(?=[,;:?\"')\]]*+(?!\S))")
+_CAPITALS = bytes(range(65, 91))
+
+
+@cache
+def _capital_points() -> np.ndarray:
+    """True for the code points that are upper case."""
+    return np.fromiter((chr(cp).isupper() for cp in range(0x110000)), dtype=bool, count=0x110000)
+
+
+def capitals(text: str) -> int:
+    """Upper-case characters, of any script; of ASCII texts these are the letters A-Z."""
+    if text.isascii():
+        return len(text) - len(text.encode().translate(None, _CAPITALS))
+    return int(_capital_points()[np.frombuffer(text.encode("utf-32-le", "replace"), dtype="<u4")].sum())
 
 
 def keys_of(word: str) -> list[str]:
@@ -76,14 +92,13 @@ def features(text: str | None, learned: dict[str, float]) -> list[float]:
             k = int(np.searchsorted(at, i))
             gap = min(abs(int(at[j]) - i) for j in (k - 1, k) if 0 <= j < len(at))
             near += 1 / (1 + gap)
-    masked = _MIXED.findall(low) if any(c in low for c in "013457@$*!_") else []
+    masked = [m for m in _MIXED.findall(low) if len(m) > 2]
     plain = [m.strip("!.-_*").translate(_PLAIN) for m in masked]
     bad = sum(m in LEXICON or any(k in learned for k in keys_of(m)) for m in plain if m)
     letters = max(1, sum(map(len, ws)))
-    upper = sum(map(str.isupper, text)) if len(text) < 2000 else len(re.findall("[A-ZÀ-ÖØ-Þ]", text))
     return [
         1000 * len(fixed) / n, math.log1p(len(fixed)), 1000 * sum(weights[ws[i]] for i in hits) / n, math.log1p(len(hits)), max(weights.values(), default=0.0),
-        near, 1000 * len(second) / n, upper / letters, (len(re.findall("[!?.,;:]", text))) / n, 1000 * len(masked) / n, math.log1p(bad), math.log1p(len(ws)),
+        near, 1000 * len(second) / n, capitals(text) / letters, sum(map(text.count, "!?.,;:")) / n, 1000 * len(masked) / n, math.log1p(bad), math.log1p(len(ws)),
     ]
 
 
@@ -97,9 +112,7 @@ class ToxicityModel:
         x = np.array([features(t, self.learned) for t in texts], dtype=np.float64).reshape(-1, len(FEATURES))
         if self.trees is None:
             return np.full(len(x), self.prior)
-        raw = self.trees.raw(x)
-        # A trace of the raw score keeps the order within a pool of equal calibrated scores.
-        return 0.99 * self.calibrate(raw) + 0.01 / (1 + np.exp(-raw))
+        return self.calibrate(self.trees.raw(x))
 
 
 def fit_trees(x: np.ndarray, y: np.ndarray, fold: np.ndarray, learned: dict[str, float], folds: int = 4) -> ToxicityModel:
@@ -117,7 +130,12 @@ def fit_trees(x: np.ndarray, y: np.ndarray, fold: np.ndarray, learned: dict[str,
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = 10_000, folds: int = 5, held_out: int = 0,
                  id_col: str = "doc_id", text_col: str = "text") -> ToxicityModel:
-    """Fit on at most ``per_class`` labelled rows of each class outside the held-out fold."""
+    """Fit on at most ``per_class`` labelled rows of each class outside the held-out fold.
+
+    Null texts count as empty, rows without an id or a label of 0 or 1 teach nothing, a repeated
+    row teaches as often as it occurs, and ties in the sample's order go to the smaller id.
+    Without labels, or with one class only, the model is that share of toxic rows.
+    """
     sample = labelled_sample(docs, labels, label, per_class, folds, held_out, id_col, text_col)
 
     def count(batches):
