@@ -16,11 +16,12 @@ from tarnwick.llm.statistics import NAMES, describe
 
 @dataclass
 class Gaussian:
-    """A class density with its cached Cholesky factor."""
+    """A class density with its cached Cholesky factor, and that factor's inverse to solve by."""
 
     mean: np.ndarray
     factor: np.ndarray
     log_prior: float
+    inverse: np.ndarray
 
     @classmethod
     def of(cls, rows: np.ndarray, pooled: np.ndarray, share: float, to_pooled: float, to_diagonal: float) -> Gaussian:
@@ -30,11 +31,12 @@ class Gaussian:
         lean = max(to_pooled, len(mean) / (len(mean) + len(rows)))
         cov = (1 - lean) * own + lean * pooled
         cov = (1 - to_diagonal) * cov + to_diagonal * np.diag(np.diag(cov)) + 1e-4 * np.eye(len(mean))
-        return cls(mean, np.linalg.cholesky(cov), float(np.log(share)))
+        factor = np.linalg.cholesky(cov)
+        return cls(mean, factor, float(np.log(share)), np.tril(np.linalg.solve(factor, np.eye(len(mean)))))
 
     def log_density(self, rows: np.ndarray) -> np.ndarray:
         """Log density and prior without constants, from the Mahalanobis distance."""
-        z = np.linalg.solve(self.factor, (rows - self.mean).T)
+        z = self.inverse @ (rows - self.mean).T
         return self.log_prior - 0.5 * (z * z).sum(axis=0) - np.log(np.diag(self.factor)).sum()
 
 
@@ -71,7 +73,12 @@ def fit_discriminant(rows: np.ndarray, y: np.ndarray, to_pooled: float = 0.05, t
 
 def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = 10_000, folds: int = 5, held_out: int = 0,
                 id_col: str = "doc_id", text_col: str = "text") -> QualityModel:
-    """Fit on at most ``per_class`` labelled rows of each class outside the held-out fold."""
+    """Fit on at most ``per_class`` labelled rows of each class outside the held-out fold.
+
+    Null texts count as empty, rows without an id or a label of 0 or 1 teach nothing, a repeated
+    row teaches as often as it occurs, and ties in the sample's order go to the smaller id.
+    Without labels, or with one class only, the model is that share of good rows.
+    """
     sample = labelled_sample(docs, labels, label, per_class, folds, held_out, id_col, text_col)
     stats = _statistics()
     got = sample.select("y", "doc_id", stats("text").alias("x")).orderBy("doc_id").toArrow()
@@ -105,7 +112,12 @@ def score_quality(docs: DataFrame, model: QualityModel, threshold: float = 0.3,
 
 
 def keep_good(docs: DataFrame, model: QualityModel, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that the model does not reject; all columns stay."""
+    """The rows of ``docs`` that the model does not reject; all columns stay.
+
+    A verdict depends on the text alone: repeated rows stay or go together, rows without an id are
+    judged like all others, null texts as empty ones, and an empty table gives an empty table. A
+    score that equals ``threshold`` stays.
+    """
 
     @F.arrow_udf("boolean")
     def good(texts: pa.Array) -> pa.Array:

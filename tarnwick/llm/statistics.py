@@ -15,10 +15,16 @@ _LOWER, _UPPER, _DIGIT, _SPACE, _LINE, _SYMBOL, _MARK, _OTHER = range(8)
 @cache
 def _classes() -> np.ndarray:
     table = np.full(0x110000, _OTHER, dtype=np.uint8)
-    for cp in range(0x3000):
+    for cp in range(0x110000):
         ch = chr(cp)
-        table[cp] = (_UPPER if ch.isupper() else _LOWER) if ch.isalpha() else _DIGIT if ch.isdigit() else _LINE if ch == "\n" else _SPACE if ch.isspace() else _SYMBOL if ch in "#*$%&|<>" else _MARK if ch in "!?" else _OTHER
-    table[0x3040:0xD800] = _LOWER
+        if ch.isalpha():
+            table[cp] = _UPPER if ch.isupper() else _LOWER
+        elif ch.isdigit():
+            table[cp] = _DIGIT
+        elif ch.isspace():
+            table[cp] = _LINE if ch == "\n" else _SPACE
+    table[[ord(ch) for ch in "#*$%&|<>"]] = _SYMBOL
+    table[[ord(ch) for ch in "!?"]] = _MARK
     return table
 
 
