@@ -1,11 +1,10 @@
 """Best-fit packing of token sequences by a configuration linear program.
 
 Only the histogram of lengths reaches the driver (at most one row per length up to the
-capacity). There a covering program over configurations (multisets of lengths that fit one
-sequence) is solved by multiplicative weights, priced by a knapsack dynamic program, and rounded
-down. What the rounding leaves is priced on, and the last few thousand pieces go by best fit into
-the gaps. The plan, a list of configurations with multiplicities, is then laid over the pieces by
-their rank within their length.
+capacity). There the program over configurations (multisets of lengths that fit one sequence) is
+solved by multiplicative weights, priced by a knapsack dynamic program, and rounded to whole
+sequences; the last tenth of the pieces goes by best fit into the gaps. The plan, a list of
+configurations with multiplicities, is then laid over the pieces by their rank within their length.
 """
 
 from __future__ import annotations
@@ -16,6 +15,7 @@ import zlib
 from array import array
 from bisect import bisect_left, insort
 from collections import Counter
+from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
@@ -48,8 +48,9 @@ class ChunkEncoder:
 
     The vocabulary file never joins characters across white space, nor letters with punctuation,
     and lower-cases all, so a text of plain Latin letters is the concatenation of its lower-cased
-    chunks' ids, each taken from the library's model when it is first met. All other texts, and
-    all texts where the file has other rules, are encoded by the library in one piece. The memory
+    chunks' ids, each taken from the library's model when it is first met. All other texts, texts
+    that hold an added token of the file such as ``<|endoftext|>`` (which the library gives its own
+    id), and all texts where the file has other rules, are encoded by the library in one piece. The memory
     has two generations of ``remember`` chunks each; chunks in use move to the younger one.
     """
 
@@ -57,13 +58,13 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         named = [x.get("type") for x in (spec.get("normalizer") or {}).get("normalizers", [])]
         cuts = [x.get("pattern", {}).get("Regex") for x in (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])]
         self.by_chunk = named == ["NFC", "Replace", "Lowercase"] and cuts == [PRETOKEN, None]
-        self.odd = re.compile(PLAIN).search
+        added = [re.escape(x["content"]) for x in spec.get("added_tokens", [])]
+        self.odd = re.compile("|".join([PLAIN, *(f"(?i:{x})" for x in added)])).search
         self.ended = re.compile(r"([^\W\d_]+)([^\w\s']+)").fullmatch
         self.letters = _byte_letters()
         self.model = self.tokenizer.model
@@ -120,7 +121,8 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = 4096, end_id: int =
     """One row per piece: doc_id, piece, start, length, ids_crc32 and, if asked for, the ids.
 
     A document is its text's ids and then ``end_id``; null and empty texts are just ``end_id``.
-    Documents longer than ``capacity`` are cut at its multiples.
+    Documents longer than ``capacity`` are cut at its multiples. Every row is cut by itself, so
+    repeated rows and ids give repeated pieces; an empty table gives none.
     """
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids array<long>" if with_ids else "")
     end = np.array([end_id], dtype="<u4").tobytes()
@@ -148,125 +150,144 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = 4096, end_id: int =
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(cut, schema)
 
 
-def _priced(lengths: np.ndarray, left: np.ndarray, worth: np.ndarray, capacity: int) -> Counter:
-    """The multiset of lengths of greatest worth that fits, by a knapsack dynamic program.
+def _priced(sizes: np.ndarray, worth: np.ndarray, capacity: int) -> np.ndarray:
+    """The greatest worth of lengths (ascending, each as often as wanted) that fit, for every room up to ``capacity``."""
+    best = np.zeros(capacity + 1)
+    fits = np.searchsorted(sizes, np.arange(capacity + 1), side="right")
+    for room in range(1, capacity + 1):
+        m = fits[room]
+        best[room] = max(best[room - 1], (worth[:m] + best[room - sizes[:m]]).max()) if m else best[room - 1]
+    return best
+
+
+def _column(sizes: np.ndarray, worth: np.ndarray, best: np.ndarray, quota: np.ndarray, slack: float, rng: np.random.Generator) -> dict[int, int] | None:
+    """A random configuration {place in sizes: times} within its quota and at most ``slack`` below the best worth."""
+    room, found, spare = len(best) - 1, {}, quota.copy()
+    while room and (m := int(np.searchsorted(sizes, room, side="right"))):
+        loss = np.maximum(best[room] - worth[:m] - best[room - sizes[:m]], 0)
+        odds = np.cumsum(np.where(loss <= slack + 1e-12, spare[:m] * sizes[:m], 0))
+        if odds[-1] <= 0:
+            break
+        j = int(np.searchsorted(odds, rng.random() * odds[-1], side="right"))
+        slack -= loss[j]
+        found[j] = found.get(j, 0) + 1
+        spare[j] -= 1
+        room -= int(sizes[j])
+    return found if found and best[room] <= slack + 1e-12 else None
+
+
+@dataclass
+class Program:
+    """A solution: configurations with copies, the pieces that no column covers, and a bound.
+
+    ``bound`` is the greatest dual value met: no packing has fewer sequences.
+    """
+
+    columns: dict[tuple[tuple[int, int], ...], int]
+    left: dict[int, int]
+    bound: float
+    rounds: int
+
+
+def solve_program(histogram: dict[int, int], capacity: int, rounds: int = 600, width: float = 0.5, rate: float = 0.01, within: float = 0.002, rest: float = 0.1, misses: int = 100, seed: int = 7) -> Program:
+    """The configuration program by multiplicative weights, all lengths priced in every round.
 
-    Multiples of a length enter as powers of two, so no length is used more often than it is left.
+    A length's weight is its size, the dual of an unconstrained packing, times exp(rate * the share
+    that is not covered yet). One knapsack program prices all lengths; then columns are drawn among
+    the configurations within ``within`` of the best worth (relaxed by a quarter after a round that
+    places less than 0.2 %), each for as many copies as keep every length's cover of this round
+    within ``width`` of its count: the bounded width of the method. Copies are rounded down to whole
+    sequences as they are taken, at least one, so the solution is whole and covers nothing twice.
+    It ends when at most ``rest`` of the pieces are left. Columns number at most a few per length.
     """
-    items = []
-    for k, (size, n) in enumerate(zip(lengths.tolist(), left.tolist(), strict=True)):
-        most, many = min(n, capacity // size), 1
-        while most > 0:
-            many = min(many, most)
-            items.append((k, many, size * many))
-            most -= many
-            many *= 2
-    best = np.zeros((len(items) + 1, capacity + 1))
-    for row, (k, many, size) in enumerate(items):
-        best[row + 1, :size] = best[row, :size]
-        np.maximum(best[row, size:], best[row, : capacity + 1 - size] + worth[k] * many, out=best[row + 1, size:])
-    room, chosen = capacity, Counter()
-    for row in range(len(items), 0, -1):
-        if best[row, room] > best[row - 1, room]:
-            k, many, size = items[row - 1]
-            chosen[int(lengths[k])] += many
-            room -= size
-    return chosen
-
-
-def plan_packing(histogram: dict[int, int], capacity: int = 4096, rounds: int = 240, priced_types: int = 96,
-                 rate: float = 0.5, tail: int = 20_000, seed: int = 7) -> list[tuple[int, list[tuple[int, int]]]]:
+    sizes = np.array(sorted(k for k, n in histogram.items() if n > 0), dtype=np.int64)
+    counts = np.array([histogram[int(k)] for k in sizes], dtype=np.int64)
+    left, total, rng = counts.copy(), int(counts.sum()), np.random.default_rng(seed)
+    base = sizes / capacity * (1 + 0.1 * sizes / capacity)
+    columns: Counter = Counter()
+    bound, done = -(-sum(int(k) * n for k, n in zip(sizes, counts.tolist(), strict=True)) // capacity), 0
+    while left.sum() > rest * total and done < rounds:
+        done += 1
+        live = np.flatnonzero(left)
+        here, share = sizes[live], left[live] / counts[live]
+        worth = base[live] * np.exp(rate * (share - share.mean()))
+        best = _priced(here, worth, capacity)
+        if len(live) == len(sizes):
+            bound = max(bound, float(counts @ worth) / best[-1])
+        quota = np.minimum(left[live], np.maximum(1, counts[live] * width).astype(np.int64))
+        before, missed = left.sum(), 0
+        while missed < misses and quota.any():
+            found = _column(here, worth, best, quota, within * best[-1], rng)
+            if found is None:
+                missed += 1
+                continue
+            copies = int(min(quota[j] // a for j, a in found.items()))
+            for j, a in found.items():
+                quota[j] -= a * copies
+                left[live[j]] -= a * copies
+            columns[tuple(sorted((int(here[j]), a) for j, a in found.items()))] += copies
+        if before - left.sum() < 0.002 * total:
+            within *= 1.25
+    return Program(dict(columns), {int(k): int(n) for k, n in zip(sizes, left, strict=True) if n}, bound, done)
+
+
+def plan_packing(histogram: dict[int, int], capacity: int = 4096, rest: float = 0.1) -> list[tuple[int, list[tuple[int, int]]]]:
     """Configurations [(copies, [(length, times), ...]), ...] that use the histogram up exactly.
 
-    ``rounds`` of multiplicative weights build a fractional solution; each round prices a random
-    choice of ``priced_types`` lengths (all, if there are no more), drawn by the tokens that they
-    still have to cover. The solution is scaled to fit and rounded down. Pricing then goes on with
-    whole multiplicities until at most ``tail`` pieces are left, and those go by best fit,
-    longest first. The plan has at most about one configuration per round and length and ``tail``
-    more, whatever the number of pieces.
+    Pieces of the whole capacity stand alone, the configuration program places all but ``rest`` of
+    the others, and these go by best fit, longest first, into the gaps and into new sequences.
+    """
+    histogram = {int(k): int(n) for k, n in histogram.items() if n > 0}
+    whole = histogram.pop(capacity, 0)
+    plan = [(whole, [(capacity, 1)])] if whole else []
+    program = solve_program(histogram, capacity, rest=rest)
+    return plan + best_fit(program.left, [(n, items) for items, n in program.columns.items()], capacity)
+
+
+def best_fit(left: dict[int, int], bins, capacity: int) -> list[tuple[int, list[tuple[int, int]]]]:
+    """Best fit of {length: n}, longest first, into ``bins`` [(copies, items), ...] and new ones.
+
+    Equal bins are one entry with their number: a length fills the tightest entry's bins one after
+    another, as best fit does, which makes at most three entries of one. So time and memory go by
+    the numbers of configurations and lengths, not by the number of pieces.
     """
-    left = Counter({int(k): int(n) for k, n in histogram.items() if n > 0})
-    plan: list[tuple[int, list[tuple[int, int]]]] = []
-    if left.pop(capacity, 0):
-        plan.append((int(histogram[capacity]), [(capacity, 1)]))
-    if not left:
-        return plan
-    rng = np.random.default_rng(seed)
-    lengths = np.array(sorted(left, reverse=True), dtype=np.int64)
-    counts = np.array([left[int(k)] for k in lengths], dtype=np.int64)
-
-    def choice(remaining: np.ndarray) -> np.ndarray:
-        alive = np.flatnonzero(remaining)
-        if len(alive) <= priced_types:
-            return alive
-        p = (remaining[alive] * lengths[alive]).astype(float)
-        return np.sort(rng.choice(alive, priced_types, replace=False, p=p / p.sum()))
-
-    size_worth = lengths / capacity * (1 + 0.1 * lengths / capacity)
-    where = {int(k): i for i, k in enumerate(lengths)}
-    covered, fraction = np.zeros(len(lengths)), {}
-    for _ in range(rounds):
-        weight = size_worth * np.exp(-rate * covered)
-        some = choice(counts)
-        config = _priced(lengths[some], counts[some], weight[some], capacity)
-        step = min(counts[where[k]] / a for k, a in config.items()) / 2
-        key = tuple(sorted(config.items()))
-        fraction[key] = fraction.get(key, 0.0) + step
-        for k, a in config.items():
-            covered[where[k]] += a * step / counts[where[k]]
-    scale = 1 / max(1.0, covered.max())
-    for key, x in fraction.items():
-        copies = min([int(x * scale), *(counts[where[k]] // a for k, a in key)])
-        if copies > 0:
-            plan.append((copies, list(key)))
-            for k, a in key:
-                counts[where[k]] -= copies * a
-    rest = min(tail, counts.sum() // 10)
-    while counts.sum() > rest:
-        some = choice(counts)
-        config = _priced(lengths[some], counts[some], size_worth[some], capacity)
-        copies = max(1, min(counts[where[k]] // a for k, a in config.items()))
-        plan.append((int(copies), list(config.items())))
-        for k, a in config.items():
-            counts[where[k]] -= copies * a
-    return plan + _best_fit(lengths, counts, plan, capacity)
-
-
-def _best_fit(lengths, counts, plan, capacity) -> list[tuple[int, list[tuple[int, int]]]]:
-    """Best fit, longest first, of what is left; gaps of earlier configurations come first."""
-    gaps: list[tuple[int, int]] = []
-    bins: list[Counter] = []
-    donors: dict[int, list[int]] = {}
-    need = int(counts.sum())
-    for p, (copies, items) in enumerate(plan):
-        room = capacity - sum(k * a for k, a in items)
-        if room:
-            donors[p] = []
-            for _ in range(min(copies, need)):
-                gaps.append((room, len(bins)))
-                donors[p].append(len(bins))
-                bins.append(Counter(dict(items)))
-    owned = len(bins)
-    gaps.sort()
-    for size, n in zip(lengths.tolist(), counts.tolist(), strict=True):
-        for _ in range(n):
-            at = bisect_left(gaps, (size, -1))
-            if at < len(gaps):
-                room, b = gaps.pop(at)
+    rooms: list[int] = []
+    open_bins: dict[int, list[tuple[int, tuple[tuple[int, int], ...]]]] = {}
+    out: list[tuple[int, list[tuple[int, int]]]] = []
+
+    def put(room: int, copies: int, items: tuple[tuple[int, int], ...]) -> None:
+        if copies and room:
+            if room not in open_bins:
+                insort(rooms, room)
+                open_bins[room] = []
+            open_bins[room].append((copies, items))
+        elif copies:
+            out.append((copies, list(items)))
+
+    for copies, items in bins:
+        put(capacity - sum(k * a for k, a in items), copies, tuple(items))
+    for size, n in sorted(left.items(), reverse=True):
+        while n:
+            at = bisect_left(rooms, size)
+            if at < len(rooms):
+                room = rooms[at]
+                copies, items = open_bins[room].pop()
+                if not open_bins[room]:
+                    del open_bins[room], rooms[at]
             else:
-                room, b = capacity, len(bins)
-                bins.append(Counter())
-            bins[b][size] += 1
-            if room > size:
-                insort(gaps, (room - size, b))
-    grown: list[tuple[int, list[tuple[int, int]]]] = []
-    for p, taken in donors.items():
-        copies, items = plan[p]
-        changed = [b for b in taken if bins[b] != Counter(dict(items))]
-        plan[p] = (copies - len(changed), items)
-        grown += [(1, list(bins[b].items())) for b in changed]
-    plan[:] = [x for x in plan if x[0] > 0]
-    return grown + [(1, list(b.items())) for b in bins[owned:]]
+                room, copies, items = capacity, n, ()
+            each = room // size
+            full = min(copies, n // each)
+            put(room - each * size, full, (*items, (size, each)))
+            copies, n = copies - full, n - full * each
+            if copies and n:
+                put(room - n * size, 1, (*items, (size, n)))
+                copies, n = copies - 1, 0
+            if items:
+                put(room, copies, items)
+    for room in rooms:
+        out += [(copies, list(items)) for copies, items in open_bins[room]]
+    return out
 
 
 def pack(docs: DataFrame, path: str | None = None, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id",
@@ -275,7 +296,8 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = 4096, end_id:
 
     Returns per piece doc_id, piece, start, length, ids_crc32, sequence_id and offset; the pieces
     of a sequence lie without gaps from 0. Null and empty texts are one end token. Repeated rows
-    are packed once each. An empty table gives an empty table.
+    are packed once each; which of several pieces of equal doc_id, number and length gets which
+    place is open. An empty table gives an empty table.
     """
     pieces = materialize(token_pieces(docs, path or tokenizer_path(), capacity, end_id, id_col, text_col), "pieces")
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
