@@ -177,3 +177,41 @@ def test_nearest_ties_go_to_smaller_ids(spark):
         score = {i: sum(a * b for a, b in zip(vectors[q], v, strict=True)) for i, v in vectors.items() if i != q}
         want = sorted(score, key=lambda i: (-score[i], i))[:20]
         assert [v for _, v in sorted(got[q])] == want
+
+
+def test_nearest_ties_between_different_vectors(spark):
+    """All inner products of one-hot vectors are zero: the smaller ids are nearest, as factor one is exact."""
+    rows = [(i, [float(i == d) for d in range(64)]) for i in range(64)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    for shard_rows in (8192, 16):
+        got: dict[int, list] = {}
+        for r in vptree.nearest(table, relax=1.0, shard_rows=shard_rows, query_rows=2).collect():
+            got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+        assert set(got) == {0, 20, 40, 60}
+        for q, found in got.items():
+            assert [(v, s) for _, v, s in sorted(found)] == [(i, 0.0) for i in range(64) if i != q][:20]
+
+
+def test_nearest_of_repeated_ids_and_huge_vectors(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (0, [0.0, 1.0]), (1, [2.0, 1.0]), (2, [1.0, 3.0]), (2, [3.0, 1.0]), (3, [1e200, -1e200])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in vptree.nearest(table, k=3, relax=1.0).collect())
+    assert got == sorted([(0, 1, 3, 1e200), (0, 2, 2, 3.0), (0, 3, 1, 2.0), (0, 1, 2, 3.0), (0, 2, 1, 1.0), (0, 3, 2, 1.0)])
+
+
+@pytest.mark.parametrize("kind", ["clustered", "uniform"])
+def test_recall_on_clustered_and_uniform_vectors(spark, kind):
+    rng = np.random.default_rng(12)
+    centres = rng.normal(size=(40, 16)) * 3
+    x = (centres[rng.integers(0, 40, 4000)] if kind == "clustered" else 0) + rng.normal(size=(4000, 16))
+    x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found: dict[int, set] = {}
+    for r in vptree.nearest(table, shard_rows=250).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = []
+    for q in range(0, 4000, 20):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hits.append(len(found[q] & set(np.argsort(-s)[:20].tolist())) / 20)
+    assert len(found) == 200 and np.mean(hits) >= 0.95
