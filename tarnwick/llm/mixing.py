@@ -8,6 +8,7 @@ the documents are range-sorted by position.
 
 from __future__ import annotations
 
+import math
 from itertools import pairwise
 
 from pyspark.sql import Column, DataFrame
@@ -76,72 +77,83 @@ def source_targets(sizes: DataFrame, share: float = 1.5, most: float = 2.0, weig
     return table.select("source", "rows", "source_size", "weight_no", target.cast("double").alias("target"))
 
 
-def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights=WEIGHTS, schedules=SCHEDULES,
-        id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
-    """What the mix takes of every row of ``docs``, in training order.
+def _decide(rows: DataFrame, slim: DataFrame, share: float, most: float, weights, schedules) -> DataFrame:
+    """Add source_size, target and ``taken_1``, ``position_1``, ``taken_2``, ... to rows of (doc_id, source, size, ...).
 
-    Returns doc_id, size (words; null text: 0), source, source_size, target, taken (words taken,
-    repeats counted, at most ``most`` times the size) and position (0 to 1; null if nothing is
-    taken), range-sorted by position. Within a source documents come in the order of a hash of
-    their id, round after round, until the target is met; the last one may be taken in part, so
-    that every source meets its target to within a word. Null sources form one source. The same
-    table gives the same mix on every run; repeated rows each count; an empty table gives an
-    empty table.
+    ``slim`` is a written table of the same (doc_id, source, size). A source's rows come in the
+    order of a hash of their id, dealt into cells of that order; sums of the cells give each cell
+    its start and a window inside the cell the rest, so no source is gathered in one task. Pass e
+    of a document stands at (e - 1) times the source and what comes before it.
     """
-    spark = docs.sparkSession
-    if len(schedules) != len(weights):
-        raise ValueError("each weight needs a schedule")
-    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), *keep)
-    slim = materialize(slim, "words")
+    spark = rows.sparkSession
     targets = materialize(source_targets(slim, share, most, weights), "targets")
     order, cell, parts, run = (TMP + x for x in ("order", "cell", "parts", "run"))
     cells = 4 * shuffle_partitions(spark)
     total = targets.agg(F.sum("rows")).first()[0] or 1
     per = F.greatest(F.lit(1), F.ceil(F.col("rows") * cells / F.lit(float(total)))).cast("long")
-    info = targets.select("source", "source_size", "target", "weight_no", per.alias(parts))
-    rows = join_on(slim, info, ["source"])
+    info = targets.select("source", "source_size", "target", F.col("weight_no").alias(TMP + "no"), per.alias(parts))
     hashed = F.shiftrightunsigned(F.xxhash64(F.col("doc_id"), F.lit("mix")), 32)
-    rows = rows.withColumn(order, hashed).withColumn(cell, F.shiftrightunsigned(F.col(order) * F.col(parts), 32))
-    sums = rows.groupBy("source", cell).agg(F.sum("size").alias(run))
+
+    def dealt(df: DataFrame) -> DataFrame:
+        df = join_on(df, info, ["source"])
+        return df.withColumn(order, hashed).withColumn(cell, F.shiftrightunsigned(F.col(order) * F.col(parts), 32))
+
+    sums = dealt(slim).groupBy("source", cell).agg(F.sum("size").alias(run))
     before = Window.partitionBy("source").orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("source", cell, F.coalesce(F.sum(run).over(before), F.lit(0)).alias(run))
     inside = Window.partitionBy("source", cell).orderBy(order, "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn(TMP + "in", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    rows = dealt(rows).withColumn(TMP + "in", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     rows = join_on(rows, sums, ["source", cell])
-    start = F.col(TMP + "in") + F.col(run)
-    words = F.round(F.col("target")).cast("long")
-    taken, epoch = F.lit(0).cast("long"), 0
-    while epoch < most:
-        left = words - epoch * F.col("source_size") - start
-        taken = taken + F.greatest(F.lit(0), F.least(F.col("size"), left)).cast("long")
-        epoch += 1
-    rows = rows.withColumn("taken", F.least(taken, F.floor(most * F.col("size")).cast("long")))
-    share_before = start / F.when(F.col("target") > 0, F.col("target"))
-    position = F.lit(None).cast("double")
-    for k, schedule in enumerate(schedules):
-        position = F.when(F.col("weight_no") == k, inverse_demand(share_before, schedule)).otherwise(position)
-    rows = rows.withColumn("position", F.when(F.col("taken") > 0, position))
-    out = rows.select("doc_id", "size", "source", "source_size", "target", "taken", "position", *keep)
+    start, words = F.col(TMP + "in") + F.col(run), F.round(F.col("target")).cast("long")
+    for e in range(1, math.ceil(most) + 1):
+        begins = (e - 1) * F.col("source_size") + start
+        size = F.least(F.col("size"), F.floor((most - e + 1) * F.col("size")).cast("long"))
+        taken = F.greatest(F.lit(0), F.least(size, words - begins)).cast("long")
+        position = F.lit(None).cast("double")
+        for k, schedule in enumerate(schedules):
+            position = F.when(F.col(TMP + "no") == k, inverse_demand(begins / F.when(F.col("target") > 0, F.col("target")), schedule)).otherwise(position)
+        rows = rows.withColumn(f"taken_{e}", taken).withColumn(f"position_{e}", F.when(F.col(f"taken_{e}") > 0, position))
+    return rows.drop(order, cell, parts, run, TMP + "in", TMP + "no")
+
+
+def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights=WEIGHTS, schedules=SCHEDULES,
+        id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """What the mix takes of every row of ``docs``, in training order.
+
+    Returns doc_id, size (words; null text: 0), source, source_size, target, taken (words taken,
+    repeats counted, at most ``most`` times the size), position (0 to 1; where the first pass over
+    the document stands in training; null if nothing is taken) and position_2, ... for the further
+    passes, range-sorted by position. Within a source documents come in the order of a hash of
+    their id, pass after pass, until the target is met; the last one may be taken in part, so
+    that every source meets its target to within a word, and what a source gives up to any time
+    is its integrated schedule to within a document. Null sources form one source. The same
+    table gives the same mix on every run; repeated rows each count, ties in the hash go by id and
+    size; an empty table gives an empty table.
+    """
+    if len(schedules) != len(weights):
+        raise ValueError("each weight needs a schedule")
+    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
+    slim = materialize(slim, "words")
+    rows = _decide(slim, slim, share, most, weights, schedules)
+    passes = range(1, math.ceil(most) + 1)
+    taken = sum((F.col(f"taken_{e}") for e in passes), F.lit(0).cast("long"))
+    out = rows.select("doc_id", "size", "source", "source_size", "target", taken.alias("taken"), F.col("position_1").alias("position"), *[f"position_{e}" for e in passes if e > 1])
     return out.repartitionByRange(F.col("position").asc_nulls_last(), F.xxhash64("doc_id")).sortWithinPartitions(F.col("position").asc_nulls_last(), "doc_id")
 
 
-def apply_mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The rows of ``docs`` as often as the mix takes them, all columns kept.
+def apply_mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights=WEIGHTS, schedules=SCHEDULES, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The rows of ``docs`` as often as the mix takes them, in training order, all columns kept.
 
-    A document taken beyond its size comes again; one taken in part comes with its first words
-    only, cut at white space. A document without words, which no mix can take, comes once.
-    Rows that share an id are taken alike.
+    A document comes once for each pass over it, at that pass's position. Texts stay whole: a pass
+    of which less than half is taken is left out, one of which half or more is comes whole, so a
+    source misses its target by at most half a document. A document without words, which no mix
+    can take, comes once and last. Rows are decided one by one, also where they share an id, have
+    none or are equal; an empty table gives an empty table.
     """
-    decided = mix(docs, share, most, id_col=id_col, text_col=text_col, source_col=source_col)
-    d = decided.groupBy(F.col("doc_id").alias(TMP + "id"), F.col("size").alias(TMP + "size")).agg(F.max("taken").alias(TMP + "taken"))
-    size = word_count(F.col(text_col))
-    joined = docs.withColumn(TMP + "s", size)
-    joined = joined.join(d, joined[id_col].eqNullSafe(d[TMP + "id"]) & (joined[TMP + "s"] == d[TMP + "size"]))
-    whole, rest = F.floor(F.col(TMP + "taken") / F.col(TMP + "s")), F.col(TMP + "taken") % F.col(TMP + "s")
-    wanted = F.when(F.col(TMP + "s") == 0, F.array(F.lit(0).cast("long"))).otherwise(
-        F.filter(F.concat(F.array_repeat(F.col(TMP + "s"), whole.cast("int")), F.array(rest)), lambda x: x > 0)
-    )
-    taken = joined.withColumn(TMP + "n", F.explode(wanted))
-    cut = F.array_join(F.slice(F.split(F.trim(F.regexp_replace(text_col, "[ \\x09-\\x0D]+", " ")), " "), 1, F.col(TMP + "n").cast("int")), " ")
-    text = F.when(F.col(TMP + "n") < F.col(TMP + "s"), cut).otherwise(F.col(text_col))
-    return taken.withColumn(text_col, text).select(*docs.columns)
+    slim = materialize(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")), "words")
+    whole = docs.select(F.struct(*docs.columns).alias(TMP + "row"), F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
+    rows = _decide(whole, slim, share, most, weights, schedules)
+    passes = F.array(*[F.when(2 * F.col(f"taken_{e}") >= F.col("size"), F.col(f"position_{e}")) for e in range(1, math.ceil(most) + 1)])
+    wanted = F.when(F.col("size") == 0, F.array(F.lit(2.0))).otherwise(F.filter(passes, lambda x: x.isNotNull()))
+    taken = rows.select(TMP + "row", F.explode(wanted).alias("position"), F.xxhash64("doc_id").alias("tie"))
+    return taken.repartitionByRange("position", "tie").sortWithinPartitions("position", "tie").select(TMP + "row.*")
