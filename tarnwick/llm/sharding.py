@@ -66,6 +66,9 @@ def _smallest(segments: list[tuple], prefix: list[int], low: int, high: int, sha
 def minimax_cuts(groups: DataFrame, shards: int) -> tuple[list[int], int]:
     """Cut points in the unsigned order of column ``pos`` and the smallest capacity that does.
 
+    What is minimised is the largest sum over the shards of two or more groups: a single group
+    beyond the capacity has a shard of its own and does not count.
+
     ``groups`` has h long, pos decimal(20,0) (h in unsigned order) and size long, one row per atomic group. Each histogram has
     at most 2**14 ranges at first, and then 64 for each of the 4096 largest ranges in which a cut
     may still lie, until the bounds meet.

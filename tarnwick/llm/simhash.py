@@ -218,18 +218,3 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(classes, prints["fingerprint"] == classes[TMP + "f"]).drop(TMP + "f").select(
         "doc_id", "fingerprint", "component_id"
     )
-
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each near-duplicate group: the row whose id is the group's smallest.
-
-    All columns stay. Of several rows with that same id one stays; rows without an id stay.
-    """
-    from pyspark.sql.window import Window
-
-    found = near_duplicates(docs.where(F.col(id_col).isNotNull()), id_col, text_col)
-    keep = found.where("doc_id = component_id").select(F.col("doc_id").alias(TMP + "id")).distinct()
-    kept = docs.join(keep, docs[id_col] == keep[TMP + "id"], "left_semi")
-    first = F.row_number().over(Window.partitionBy(id_col).orderBy(id_col))
-    kept = kept.withColumn(TMP + "n", first).where(F.col(TMP + "n") == 1).drop(TMP + "n")
-    return kept.unionByName(docs.where(F.col(id_col).isNull()))
