@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnwick.llm.common import TMP, join_on, let, materialize
+from tarnwick.llm.common import TMP, let, materialize
 
 SPLIT = "[ \\x09-\\x0D]+"
 #: Frequent function words of a few languages. Fixed values.
@@ -95,7 +95,7 @@ def base_measures(text: Column) -> Column:
 class Rule:
     """A vote for a document: fit where ``fit`` holds, unfit where ``unfit`` holds, else none.
 
-    ``false_alarms`` bounds the share of fit documents that it calls unfit.
+    ``false_alarms`` is the share of fit documents that it is expected to call unfit.
     """
 
     name: str
@@ -130,44 +130,39 @@ class VoteModel:
         return math.log(self.prior / (1 - self.prior)) + sum(math.log(f[v] / u[v]) for f, u, v in zip(self.fit, self.unfit, pattern, strict=True))
 
 
-def fit_votes(patterns: dict[tuple[int, ...], int], rules: tuple[Rule, ...] = RULES, rounds: int = 100, tolerance: float = 1e-9, smoothing: float = 1.0) -> VoteModel:
+def fit_votes(patterns: dict[tuple[int, ...], int], rules: tuple[Rule, ...] = RULES, rounds: int = 200, tolerance: float = 1e-9, trust: tuple[float, float] = (1.0, 0.5)) -> VoteModel:
     """Expectation-maximisation over pattern counts; a vote is 0 unfit, 1 fit, 2 none.
 
-    It starts from rules that seldom call a fit document unfit, which also settles which class is
-    the fit one. In every step that rate stays within the rule's own bound, ``smoothing``
-    pseudo-votes keep every probability off zero, and no vote speaks against its own meaning.
+    Each rule's votes have a Dirichlet prior for either class. Its mean for fit documents is
+    (false_alarms, 0.8 - false_alarms, 0.2), which also settles which class is the fit one, and for
+    unfit ones (0.3, 0.4, 0.3); its weight is ``trust`` times the documents of the class, so that it
+    says the same of a small and of a large corpus, and one pseudo-vote more of each kind. The
+    estimates are the posterior modes; nothing else bounds them.
     """
     total = sum(patterns.values())
-    model = VoteModel(fit=[[r.false_alarms, 0.8 - r.false_alarms, 0.2] for r in rules], unfit=[[0.3, 0.4, 0.3] for _ in rules])
-    if not total:
-        return model
+    prior_fit = [(r.false_alarms, 0.8 - r.false_alarms, 0.2) for r in rules]
+    prior_unfit = (0.3, 0.4, 0.3)
+    model = VoteModel(fit=[list(x) for x in prior_fit], unfit=[list(prior_unfit) for _ in rules])
     last = -math.inf
-    for model.rounds in range(1, rounds + 1):
+    for model.rounds in range(1, rounds + 1 if total else 1):
         weight, likelihood = {}, 0.0
         for p, n in patterns.items():
             x = model.log_odds(p)
             weight[p] = 1 / (1 + math.exp(-x)) if x > -700 else 0.0
             log_unfit = math.log(1 - model.prior) + sum(math.log(u[v]) for u, v in zip(model.unfit, p, strict=True))
             likelihood += n * (log_unfit + max(x, 0.0) + math.log1p(math.exp(-abs(x))))
-        if likelihood - last < tolerance * total:
+        if abs(likelihood - last) < tolerance * total:
             break
         last = likelihood
         fit_total = sum(weight[p] * n for p, n in patterns.items())
-        model.prior = min(0.995, max(0.005, (fit_total + smoothing) / (total + 2 * smoothing)))
-        for r, rule in enumerate(rules):
-            good, bad = [smoothing] * 3, [smoothing] * 3
+        model.prior = (fit_total + 1) / (total + 2)
+        for r in range(len(rules)):
+            good = [1 + trust[0] * fit_total * x for x in prior_fit[r]]
+            bad = [1 + trust[1] * (total - fit_total) * x for x in prior_unfit]
             for p, n in patterns.items():
                 good[p[r]] += weight[p] * n
                 bad[p[r]] += (1 - weight[p]) * n
-            good, bad = [x / sum(good) for x in good], [x / sum(bad) for x in bad]
-            if good[0] > rule.false_alarms:
-                good = [rule.false_alarms, *(x * (1 - rule.false_alarms) / (1 - good[0]) for x in good[1:])]
-            if good[1] < bad[1]:
-                good[1] = bad[1] = (good[1] + bad[1]) / 2
-            if bad[0] < good[0]:
-                good[0] = bad[0] = (good[0] + bad[0]) / 2
-            model.fit[r] = [x / sum(good) for x in good]
-            model.unfit[r] = [x / sum(bad) for x in bad]
+            model.fit[r], model.unfit[r] = [x / sum(good) for x in good], [x / sum(bad) for x in bad]
     return model
 
 
@@ -203,8 +198,8 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules
 def keep_fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose document is kept by ``judge``; all columns stay.
 
-    A verdict goes to its own text: rows are matched by id, null included, and a hash of the text.
+    Each row is judged and kept by itself: rows that share an id, or have none, get the verdict of
+    their own text, and repeated rows stay or go together. The rows are written once beside their
+    counts, so that no text is shuffled. An empty table gives an empty table.
     """
-    digest = F.xxhash64(text_col).alias(TMP + "hash")
-    kept = judge(docs, id_col, text_col, keep=(digest,)).where("kept").select(F.col("doc_id").alias(id_col), TMP + "hash").distinct()
-    return join_on(docs.select("*", digest), kept, [id_col, TMP + "hash"]).drop(TMP + "hash")
+    return judge(docs, id_col, text_col, keep=(F.struct(*docs.columns).alias(TMP + "row"),)).where("kept").select(TMP + "row.*")

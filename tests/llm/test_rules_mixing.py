@@ -1,5 +1,6 @@
 import re
 from collections import Counter, defaultdict
+from itertools import pairwise
 
 import pytest
 
@@ -46,6 +47,40 @@ def test_a_rule_that_misfires_loses_weight():
     assert abs(model.log_odds((2, 2, 0)) - model.log_odds((2, 2, 1))) < 0.5
 
 
+def plain_posteriors(votes, rules, prior, fit, unfit):
+    """The posterior of each document from the definition, one document after another."""
+    out = []
+    for v in votes:
+        f, u = prior, 1 - prior
+        for r in range(len(rules)):
+            f, u = f * fit[r][v[r]], u * unfit[r][v[r]]
+        out.append(f / (f + u))
+    return out
+
+
+def test_estimates_are_a_fixed_point_over_single_documents():
+    """One step over documents instead of pattern counts gives the fitted model back, and no estimate leaves (0, 1)."""
+    import random
+
+    r = random.Random(5)
+    rules = quality_rules.RULES[:4]
+    votes = []
+    for _ in range(3000):
+        good = r.random() < 0.8
+        votes.append(tuple(r.choices((0, 1, 2), (0.01, 0.8, 0.19) if good else (0.6, 0.2, 0.2))[0] for _ in rules))
+    model = quality_rules.fit_votes(dict(Counter(votes)), rules, rounds=2000, tolerance=1e-14)
+    post = plain_posteriors(votes, rules, model.prior, model.fit, model.unfit)
+    mass = sum(post)
+    assert model.prior == pytest.approx((mass + 1) / 3002, abs=1e-5) and 0.75 < model.prior < 0.85
+    for k, rule in enumerate(rules):
+        a = rule.false_alarms
+        for share, own, expected, trust in ((post, model.fit[k], (a, 0.8 - a, 0.2), 1.0), ([1 - x for x in post], model.unfit[k], (0.3, 0.4, 0.3), 0.5)):
+            n = sum(share)
+            want = [1 + trust * n * expected[v] + sum(x for x, w in zip(share, votes, strict=True) if w[k] == v) for v in range(3)]
+            assert own == pytest.approx([x / sum(want) for x in want], abs=1e-5)
+        assert 0 < model.fit[k][0] < 0.1 and model.fit[k][1] > model.unfit[k][1]
+
+
 def plain_targets(sizes, share=1.5, most=2.0, weights=(3, 1, 2)):
     names = sorted(k for k in sizes if k is not None) + [None] * (None in sizes)
     w = {k: weights[i % 3] for i, k in enumerate(names)}
@@ -92,20 +127,64 @@ def test_schedule_inverse(spark):
             assert done == pytest.approx(x, abs=1e-9)
 
 
+def asked_until(schedule, t):
+    """Share of a schedule's integral up to ``t``, by small steps."""
+    def weight(x):
+        return next(a[1] + (b[1] - a[1]) * (x - a[0]) / (b[0] - a[0]) for a, b in pairwise(schedule) if x <= b[0])
+
+    steps = [(k + 0.5) / 2000 for k in range(2000)]
+    return sum(weight(x) for x in steps if x <= t) / sum(map(weight, steps))
+
+
+def test_supply_follows_every_schedule(spark):
+    """Up to any time, the passes that stand before it give each source's integrated demand."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = mixing.mix(docs).collect()
+    names = sorted({r.source for r in rows})
+    most = max(r.size for r in rows)
+    for name in names:
+        mine = [r for r in rows if r.source == name and r.taken]
+        schedule = mixing.SCHEDULES[names.index(name) % 3]
+        passes = []
+        for r in mine:
+            first = min(r.size, r.taken)
+            passes += [(r.position, first)] + ([(r.position_2, r.taken - first)] if r.taken > first else [])
+        assert all((r.position_2 is None) == (r.taken <= r.size) for r in mine)
+        target = mine[0].target
+        for t in (0.1, 0.25, 0.5, 0.75, 0.9, 1.0):
+            given = sum(n for p, n in passes if p < t)
+            assert abs(given - target * asked_until(schedule, t)) <= most + 0.001 * target + 1
+
+
 def test_apply_mix(spark, odd_docs, no_docs):
-    docs = odd_docs.where("doc_id is not null").dropDuplicates(["doc_id"])
-    decided = {r.doc_id: r for r in mixing.mix(docs).collect()}
-    out = defaultdict(list)
-    for r in mixing.apply_mix(docs).collect():
-        out[r.doc_id].append(r.text)
-    for i, r in decided.items():
-        words = sum(len(WORD.findall(t or "")) for t in out.get(i, []))
-        assert words == r.taken
-        assert len(out.get(i, [])) == (1 if r.size == 0 else -(-r.taken // r.size))
-    assert mixing.apply_mix(docs).columns == docs.columns
+    """Rows come once for each pass of which half or more is taken, also with shared and missing ids."""
+    for docs in (odd_docs, spark.read.parquet("/root/testdata/sf0.001/documents.parquet")):
+        want: Counter = Counter()
+        for r in mixing.mix(docs).collect():
+            first, second = min(r.size, r.taken), max(0, r.taken - r.size)
+            want[r.doc_id, r.size] += 1 if r.size == 0 else (2 * first >= r.size) + (2 * second >= r.size)
+        out = mixing.apply_mix(docs)
+        got = Counter((r.doc_id, len(WORD.findall(r.text or ""))) for r in out.collect())
+        assert got == +want and out.columns == docs.columns
+        texts = {(r.doc_id, r.text) for r in docs.collect()}
+        assert {(r.doc_id, r.text) for r in out.collect()} <= texts
     assert mixing.apply_mix(no_docs).count() == 0
 
 
+def test_the_mix_comes_in_training_order(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    at = {}
+    for r in mixing.mix(docs).collect():
+        at[r.doc_id] = [p for p in (r.position, r.position_2) if p is not None] or [2.0]
+    seen, last = Counter(), 0.0
+    for r in mixing.apply_mix(docs).collect():
+        places = at[r.doc_id]
+        place = places[min(seen[r.doc_id], len(places) - 1)]
+        assert place >= last - 1e-12
+        seen[r.doc_id] += 1
+        last = place
+
+
 def test_a_long_text_of_repeats_is_counted_in_full(spark):
     phrase = "one two three four five six "
     fresh = " ".join(f"w{i}" for i in range(50))

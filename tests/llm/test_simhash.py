@@ -74,14 +74,3 @@ def test_sliced_pairs_find_each_pair_once():
     got = sorted((int(a), int(b)) for i, j in simhash.sliced_pairs(values, bucket, 2, step=100) for a, b in zip(i, j, strict=True))
     want = [(a, b) for a in range(300) for b in range(a + 1, 300) if bucket[a] == bucket[b] and int(values[a] ^ values[b]).bit_count() <= 2]
     assert got == want
-
-
-def test_keep_one(spark, odd_docs, no_docs):
-    kept = simhash.keep_one(odd_docs)
-    assert kept.columns == odd_docs.columns
-    ids = sorted(r.doc_id for r in kept.collect() if r.doc_id is not None)
-    roots = plain_components({r.doc_id: plain_fingerprint(r.text) for r in odd_docs.where("doc_id is not null").collect()})
-    assert ids == sorted(k for k, v in roots.items() if k == v)
-    assert kept.where("doc_id is null").count() == 1
-    assert simhash.keep_one(no_docs).count() == 0
-    assert simhash.near_duplicates(no_docs).count() == 0
