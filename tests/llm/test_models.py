@@ -82,7 +82,7 @@ def plain_kneser_ney(text_symbols):
     d3, d2 = d(c3), d(c2)
 
     def p1(c):
-        return 0.98 * c1[c] / sum(c1.values()) + 0.02 / 64
+        return 0.98 * c1[c] / sum(c1.values()) + 0.02 / (len(c1) + 1)
 
     def p2(b, c):
         total = sum(n for (x, _), n in c2.items() if x == b)
@@ -101,10 +101,11 @@ def test_kneser_ney_equals_definition():
     keys = langid.trigrams(flat[: starts[1]])
     uniq, n = np.unique(keys, return_counts=True)
     model, plain = langid.KneserNey(uniq, n), plain_kneser_ney(flat[: starts[1]].tolist())
-    for a in (0, 20, 8, 3, 9):
-        for b in (0, 8, 5, 1, 26):
-            probs = np.exp(-model.surprise(np.array([a << 12 | b << 6 | c for c in range(64)])))
-            assert probs == pytest.approx([plain(a, b, c) for c in range(64)], rel=1e-4)
+    letters = sorted(set(flat[2 : starts[1]].tolist())) + [0x6F22]
+    for a in (0, *map(ord, "thcz"), 0x6F22):
+        for b in (0, *map(ord, "heaz"), 0x6F22):
+            probs = np.exp(-model.surprise(np.array([a << 42 | b << 21 | c for c in letters])))
+            assert probs == pytest.approx([plain(a, b, c) for c in letters], rel=1e-4)
             assert probs.sum() == pytest.approx(1.0, abs=1e-4)
 
 
@@ -125,6 +126,26 @@ def test_languages_on_held_out_rows(spark, odd_docs, no_docs):
         assert m[0] == n[k] and np.allclose(alone[0], h[k], atol=1e-6)
 
 
+def test_languages_of_other_scripts(spark):
+    """Languages that share a script but no spelling are told apart by letters at full width."""
+    some = {
+        "ru": "это был большой город у реки где люди жили и работали каждый день без отдыха и ждали весны",
+        "uk": "це було велике місто біля річки де люди жили й працювали щодня без відпочинку і чекали весни її",
+        "el": "ήταν μια μεγάλη πόλη κοντά στο ποτάμι όπου οι άνθρωποι ζούσαν και δούλευαν κάθε μέρα",
+        "ja": "大きな町が川のそばにあり人々は毎日そこで働きながら春を待っていました",
+        "zh": "河边有一座很大的城市人们每天在那里生活和工作等待着春天的到来没有休息",
+    }
+    rows = []
+    for k, (lang, text) in enumerate(some.items()):
+        parts = text.split() if " " in text else [text[i : i + 6] for i in range(0, len(text) - 5, 3)]
+        for i in range(120):
+            rows.append((1000 * k + i, " ".join(parts[(i * 7 + j * (1 + i % 5)) % len(parts)] for j in range(8)), lang))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid.identify(docs, langid.fit_languages(docs)).collect()
+    want = {r[0]: r[2] for r in rows}
+    assert all(r.lang_pred == want[r.doc_id] for r in got if r.held_out)
+
+
 def test_nearest_equals_brute_force_when_exact(spark):
     rng = np.random.default_rng(4)
     v = rng.normal(size=(700, 8)).astype(np.float32)
