@@ -18,14 +18,16 @@ SPELLINGS = (
     ("acknowledgement", "acknowledgment"), ("favour", "favor"), ("whilst", "while"), ("wilful", "willful"), ("fulfil ", "fulfill "),
     ("per cent", "percent"), ("merchantibility", "merchantability"), ("https://", "http://"), ("&amp;", "and"), ("&", "and"), ("©", "(c)"),
 )
+#: Lines end at \n alone here, as in SQL: Java's flag d keeps ^ and $ from standing at \r and others.
+LINES, SQL_LINES = "(?dm)", "(?m)"
 #: Whole lines that only say who holds the copyright.
-COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n(]*(?:copyright|\(c\))[ \t]*(?:\(c\)|copyright|[0-9<\[{])[^\n]*$"
+COPYRIGHT_LINE = r"^[^\p{L}\p{N}\n(]*(?:copyright|\(c\))[ \t]*(?:\(c\)|copyright|[0-9<\[{])[^\n]*$"
 #: The same with a plain name behind the word; not before words that follow it in licence texts, however these are wrapped.
 NAMED_LINE = (
-    r"(?m)^[^\p{L}\p{N}\n(]*copyright[ \t]+(?:by[ \t]+)?(?!(?:holders?|notices?|owners?|ownership|and|or|laws?|disclaimers?|interests?|the|permissions?|on|in|to|by|is|as|"
+    r"^[^\p{L}\p{N}\n(]*copyright[ \t]+(?:by[ \t]+)?(?!(?:holders?|notices?|owners?|ownership|and|or|laws?|disclaimers?|interests?|the|permissions?|on|in|to|by|is|as|"
     r"license[sd]?|statements?|treaty|treaties|if|are|of|including|doctrines?|for|with|from|that|which|may|shall|claims?|infringements?|protection|act|status|works?|rights?|under|lines?)\b)\p{L}[^\n]{0,120}$"
 )
-RIGHTS_LINE = r"(?m)^[^\p{L}\p{N}\n]*all rights reserved[^\p{L}\p{N}\n]*$"
+RIGHTS_LINE = r"^[^\p{L}\p{N}\n]*all rights reserved[^\p{L}\p{N}\n]*$"
 BETWEEN = r"[^\p{L}\p{N}]+"
 
 _PERMIT = (
@@ -170,8 +172,9 @@ def canonical(text: Column) -> Column:
     t = F.lower(text)
     for old, new in SPELLINGS:
         t = F.replace(t, F.lit(old), F.lit(new))
-    t = F.regexp_replace(t, NAMED_LINE, "")
-    return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(t, COPYRIGHT_LINE, ""), RIGHTS_LINE, ""), BETWEEN, " "))
+    for line in (NAMED_LINE, COPYRIGHT_LINE, RIGHTS_LINE):
+        t = F.regexp_replace(t, LINES + line, "")
+    return F.trim(F.regexp_replace(t, BETWEEN, " "))
 
 
 def digest(text: Column) -> Column:
@@ -183,8 +186,11 @@ def notice_digest(line: Column) -> Column:
 
 
 def known_digests(spark: SparkSession, texts=TEXTS, digest=digest) -> DataFrame:
-    """(known, license_id), one row per digest; a digest of two names keeps the lesser."""
-    rows = spark.createDataFrame([(t, n) for n, t in texts], "text string, license_id string")
+    """(known, license_id), one row per digest; a digest of two names keeps the lesser.
+
+    ``texts`` is a sequence of (name, text) or a table (license_id, text) of any size.
+    """
+    rows = texts if isinstance(texts, DataFrame) else spark.createDataFrame([(t, n) for n, t in texts], "text string, license_id string")
     return rows.groupBy(digest(F.col("text")).alias("known")).agg(F.min("license_id").alias("license_id"))
 
 
@@ -194,11 +200,15 @@ def scan_licenses(docs: DataFrame, texts=None, notices=None, id_col: str = "doc_
     digest is of the canonical entire text (null for a null text; an empty text has the digest of
     no bytes) and license_id the known licence that it equals, else null. notices lists, without
     repeats and in order, the licences whose notice some whole line of the text, or two lines that
-    follow each other, equal. The known tables (``all_texts`` and ``all_notices`` unless given) are
-    constants and are broadcast. Repeated rows get equal answers.
+    follow each other, equal. ``texts`` (``all_texts`` unless given) may be a table of any size:
+    its digests are counted, broadcast up to 50,000 and joined by hash beyond. The notices
+    (``all_notices`` unless given) are a constant list. Repeated rows get equal answers; an empty
+    table gives an empty table.
     """
     spark = docs.sparkSession
-    known = known_digests(spark, texts or all_texts()).withColumnRenamed("known", "digest")
+    known = known_digests(spark, all_texts() if texts is None else texts).withColumnRenamed("known", "digest")
+    if not isinstance(texts, DataFrame) or known.count() <= 50_000:
+        known = F.broadcast(known)
     lines = {r["known"]: r["license_id"] for r in known_digests(spark, notices or all_notices(), notice_digest).collect()}
 
     def marked(x: Column) -> Column:
@@ -213,7 +223,7 @@ def scan_licenses(docs: DataFrame, texts=None, notices=None, id_col: str = "doc_
     named = F.transform(split, lambda x: F.try_element_at(names, notice_digest(x)))
     found = F.array_sort(F.array_distinct(F.filter(named, lambda x: x.isNotNull())))
     scanned = docs.select(F.col(id_col).alias("doc_id"), digest(text).alias("digest"), F.coalesce(found, F.array().cast("array<string>")).alias("notices"))
-    return scanned.join(F.broadcast(known), "digest", "left").select("doc_id", "digest", "license_id", "notices")
+    return scanned.join(known, "digest", "left").select("doc_id", "digest", "license_id", "notices")
 
 
 def scan_sql(texts=TEXTS, notices=NOTICES) -> str:
@@ -226,7 +236,7 @@ def scan_sql(texts=TEXTS, notices=NOTICES) -> str:
         x = f"lower({x})"
         for old, new in SPELLINGS:
             x = f"replace({x}, {quoted(old)}, {quoted(new)})"
-        for pattern, new in ((COPYRIGHT_LINE, ""), (RIGHTS_LINE, ""), (BETWEEN, " ")):
+        for pattern, new in ((SQL_LINES + COPYRIGHT_LINE, ""), (SQL_LINES + RIGHTS_LINE, ""), (BETWEEN, " ")):
             x = f"regexp_replace({x}, {quoted(pattern)}, {quoted(new)}, 'g')"
         return f"sha256(trim({x}))"
 

@@ -35,3 +35,32 @@ def test_ordinary_notices_are_found(spark):
     docs = spark.createDataFrame([(i, f"before\n{t}\nafter") for i, t in enumerate(want)], "doc_id long, text string")
     got = {r.doc_id: r.notices for r in licenses.scan_licenses(docs).collect()}
     assert [got[i] for i in range(len(want))] == list(want.values())
+
+
+def test_planted_texts_in_spark_and_sql(spark, tmp_path):
+    """Whole licence texts among the documents: Spark and SQL find the same ones."""
+    import duckdb
+
+    planted = [(i, f"Copyright (c) 20{i:02d} Holder {i}\n\n" + text) for i, (_, text) in enumerate(licenses.TEXTS)]
+    docs = spark.createDataFrame([*planted, (100, "a line\rCopyright (c) 2001 A\r\nprose"), (101, "prose"), (102, None)], "doc_id long, text string")
+    rows = sorted((r.doc_id, r.digest, r.license_id, ",".join(r.notices)) for r in licenses.scan_licenses(docs).collect())
+    docs.write.parquet(str(tmp_path / "d"))
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{tmp_path}/d/*.parquet'")
+    assert sorted(con.sql(licenses.scan_sql()).fetchall(), key=lambda r: r[0]) == rows
+    assert [r[2] for r in rows[: len(planted)]] == [name for name, _ in licenses.TEXTS]
+
+
+def test_a_table_of_known_texts(spark):
+    table = spark.createDataFrame([("Own-1.0", "You may do as you like."), ("Own-2.0", "You may not.")], "license_id string, text string")
+    docs = spark.createDataFrame([(1, "  YOU may, do -- as you like\n"), (2, "You may not"), (3, "You may")], "doc_id long, text string")
+    assert {r.doc_id: r.license_id for r in licenses.scan_licenses(docs, table).collect()} == {1: "Own-1.0", 2: "Own-2.0", 3: None}
+
+
+def test_line_ends_take_linear_time(spark):
+    import time
+
+    docs = spark.createDataFrame([(1, "\r" * 1_000_000), (2, "licen\r" * 100_000), (3, "x" * 1_000_000), (4, "copyright " * 100_000)], "doc_id long, text string")
+    began = time.perf_counter()
+    assert licenses.scan_licenses(docs).count() == 4 and len(licenses.scan_licenses(docs).collect()) == 4
+    assert time.perf_counter() - began < 60
