@@ -26,6 +26,9 @@ SCHEDULES = (
     ((0.0, 0.5), (0.5, 1.0), (1.0, 1.5)),
 )
 
+ORDER, CELL, PARTS, START, SUM, NO = (TMP + x for x in ("order", "cell", "parts", "start", "sum", "no"))
+KEY = (ORDER, "doc_id", "size")
+
 
 def integrated(schedule) -> list[tuple[float, float, float, float, float]]:
     """Pieces (t0, t1, w0, w1, share before) of a schedule, its whole integral scaled to one."""
@@ -77,43 +80,65 @@ def source_targets(sizes: DataFrame, share: float = 1.5, most: float = 2.0, weig
     return table.select("source", "rows", "source_size", "weight_no", target.cast("double").alias("target"))
 
 
-def _decide(rows: DataFrame, slim: DataFrame, share: float, most: float, weights, schedules) -> DataFrame:
-    """Add source_size, target and ``taken_1``, ``position_1``, ``taken_2``, ... to rows of (doc_id, source, size, ...).
+def _small(table: DataFrame, label: str, most: int = 100_000) -> DataFrame:
+    """A written table that is broadcast to joins if it has at most ``most`` rows."""
+    table = materialize(table, label)
+    return F.broadcast(table) if table.count() <= most else table
+
+
+class _Plan:
+    """Where each row of (doc_id, source, size) stands in its source, from a written table of them.
 
-    ``slim`` is a written table of the same (doc_id, source, size). A source's rows come in the
-    order of a hash of their id, dealt into cells of that order; sums of the cells give each cell
-    its start and a window inside the cell the rest, so no source is gathered in one task. Pass e
-    of a document stands at (e - 1) times the source and what comes before it.
+    A source's rows come in the order of a hash of their id, dealt into cells of that order, about
+    four a shuffle partition over all sources; the sums of the cells give each cell its start, and
+    a window inside the cell the rest, so no source is gathered in one task.
     """
-    spark = rows.sparkSession
-    targets = materialize(source_targets(slim, share, most, weights), "targets")
-    order, cell, parts, run = (TMP + x for x in ("order", "cell", "parts", "run"))
-    cells = 4 * shuffle_partitions(spark)
-    total = targets.agg(F.sum("rows")).first()[0] or 1
-    per = F.greatest(F.lit(1), F.ceil(F.col("rows") * cells / F.lit(float(total)))).cast("long")
-    info = targets.select("source", "source_size", "target", F.col("weight_no").alias(TMP + "no"), per.alias(parts))
-    hashed = F.shiftrightunsigned(F.xxhash64(F.col("doc_id"), F.lit("mix")), 32)
-
-    def dealt(df: DataFrame) -> DataFrame:
-        df = join_on(df, info, ["source"])
-        return df.withColumn(order, hashed).withColumn(cell, F.shiftrightunsigned(F.col(order) * F.col(parts), 32))
-
-    sums = dealt(slim).groupBy("source", cell).agg(F.sum("size").alias(run))
-    before = Window.partitionBy("source").orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("source", cell, F.coalesce(F.sum(run).over(before), F.lit(0)).alias(run))
-    inside = Window.partitionBy("source", cell).orderBy(order, "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    rows = dealt(rows).withColumn(TMP + "in", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    rows = join_on(rows, sums, ["source", cell])
-    start, words = F.col(TMP + "in") + F.col(run), F.round(F.col("target")).cast("long")
-    for e in range(1, math.ceil(most) + 1):
-        begins = (e - 1) * F.col("source_size") + start
-        size = F.least(F.col("size"), F.floor((most - e + 1) * F.col("size")).cast("long"))
-        taken = F.greatest(F.lit(0), F.least(size, words - begins)).cast("long")
-        position = F.lit(None).cast("double")
-        for k, schedule in enumerate(schedules):
-            position = F.when(F.col(TMP + "no") == k, inverse_demand(begins / F.when(F.col("target") > 0, F.col("target")), schedule)).otherwise(position)
-        rows = rows.withColumn(f"taken_{e}", taken).withColumn(f"position_{e}", F.when(F.col(f"taken_{e}") > 0, position))
-    return rows.drop(order, cell, parts, run, TMP + "in", TMP + "no")
+
+    def __init__(self, slim: DataFrame, share: float, most: float, weights, schedules):
+        if len(schedules) != len(weights):
+            raise ValueError("each weight needs a schedule")
+        targets = materialize(source_targets(slim, share, most, weights), "targets")
+        cells = 4 * shuffle_partitions(slim.sparkSession)
+        total = targets.agg(F.sum("rows")).first()[0] or 1
+        parts = F.greatest(F.lit(1), F.ceil(F.col("rows") * cells / F.lit(float(total)))).cast("long")
+        self.schedules, self.passes, self.most = schedules, range(1, math.ceil(most) + 1), most
+        self.sources = _small(targets.select("source", "source_size", "target", F.col("weight_no").alias(NO), parts.alias(PARTS)), "sources")
+        sums = self._in_cells(slim).groupBy("source", CELL).agg(F.sum("size").alias("sum"))
+        before = Window.partitionBy("source").orderBy(CELL).rowsBetween(Window.unboundedPreceding, -1)
+        self.starts = _small(sums.select("source", CELL, F.coalesce(F.sum("sum").over(before), F.lit(0)).alias(START), F.col("sum").alias(SUM)), "cells")
+
+    def _in_cells(self, rows: DataFrame) -> DataFrame:
+        hashed = F.shiftrightunsigned(F.xxhash64(F.col("doc_id"), F.lit("mix")), 32)
+        return join_on(rows, self.sources, ["source"]).withColumn(ORDER, hashed).withColumn(CELL, F.shiftrightunsigned(F.col(ORDER) * F.col(PARTS), 32))
+
+    def exact(self, rows: DataFrame) -> DataFrame:
+        """Rows with source_size, target and, as START, the words of their source before them."""
+        before = Window.partitionBy("source", CELL).orderBy(*KEY).rowsBetween(Window.unboundedPreceding, -1)
+        rows = self._in_cells(rows).withColumn(TMP + "in", F.coalesce(F.sum("size").over(before), F.lit(0)))
+        return join_on(rows, self.starts, ["source", CELL]).withColumn(START, F.col(START) + F.col(TMP + "in")).drop(TMP + "in")
+
+    def interpolated(self, rows: DataFrame) -> DataFrame:
+        """The same without a window: START is exact at a cell's beginning and goes with the hash inside it."""
+        inside = (F.col(ORDER) * F.col(PARTS)).bitwiseAND(F.lit((1 << 32) - 1)) / F.lit(float(1 << 32))
+        return join_on(self._in_cells(rows), self.starts, ["source", CELL]).withColumn(START, F.col(START) + F.floor(inside * F.col(SUM)))
+
+    def taken(self, number, start: Column) -> Column:
+        """Words that pass ``number`` takes of a row that ``start`` words of its source stand before."""
+        size = F.least(F.col("size"), F.floor((self.most - number + 1) * F.col("size")).cast("long"))
+        left = F.round(F.col("target")).cast("long") - (number - 1) * F.col("source_size") - start
+        return F.greatest(F.lit(0), F.least(size, left)).cast("long")
+
+    def position(self, number, start: Column) -> Column:
+        """The time at which the schedule has asked for all that stands before."""
+        share = ((number - 1) * F.col("source_size") + start) / F.when(F.col("target") > 0, F.col("target"))
+        out = F.lit(None).cast("double")
+        for k, schedule in enumerate(self.schedules):
+            out = F.when(F.col(NO) == k, inverse_demand(share, schedule)).otherwise(out)
+        return out
+
+
+def _slim(docs: DataFrame, id_col: str, text_col: str, source_col: str, *more: Column) -> DataFrame:
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), *more)
 
 
 def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights=WEIGHTS, schedules=SCHEDULES,
@@ -130,30 +155,38 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights=WEIGHTS,
     table gives the same mix on every run; repeated rows each count, ties in the hash go by id and
     size; an empty table gives an empty table.
     """
-    if len(schedules) != len(weights):
-        raise ValueError("each weight needs a schedule")
-    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
-    slim = materialize(slim, "words")
-    rows = _decide(slim, slim, share, most, weights, schedules)
-    passes = range(1, math.ceil(most) + 1)
-    taken = sum((F.col(f"taken_{e}") for e in passes), F.lit(0).cast("long"))
-    out = rows.select("doc_id", "size", "source", "source_size", "target", taken.alias("taken"), F.col("position_1").alias("position"), *[f"position_{e}" for e in passes if e > 1])
+    slim = materialize(_slim(docs, id_col, text_col, source_col), "words")
+    plan = _Plan(slim, share, most, weights, schedules)
+    rows = plan.exact(slim)
+    for e in plan.passes:
+        rows = rows.withColumn(f"taken_{e}", plan.taken(e, F.col(START))).withColumn(f"position_{e}", F.when(F.col(f"taken_{e}") > 0, plan.position(e, F.col(START))))
+    taken = sum((F.col(f"taken_{e}") for e in plan.passes), F.lit(0).cast("long"))
+    out = rows.select("doc_id", "size", "source", "source_size", "target", taken.alias("taken"), F.col("position_1").alias("position"), *[f"position_{e}" for e in plan.passes if e > 1])
     return out.repartitionByRange(F.col("position").asc_nulls_last(), F.xxhash64("doc_id")).sortWithinPartitions(F.col("position").asc_nulls_last(), "doc_id")
 
 
 def apply_mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights=WEIGHTS, schedules=SCHEDULES, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them, in training order, all columns kept.
 
-    A document comes once for each pass over it, at that pass's position. Texts stay whole: a pass
-    of which less than half is taken is left out, one of which half or more is comes whole, so a
-    source misses its target by at most half a document. A document without words, which no mix
-    can take, comes once and last. Rows are decided one by one, also where they share an id, have
-    none or are equal; an empty table gives an empty table.
+    A document comes once for each pass over it. Texts stay whole: a pass of which less than half is
+    taken is left out, one of which half or more is comes whole, so a source misses its target by
+    at most half a document. A document without words, which no mix can take, comes once and last.
+    Rows without an id count like others; rows of one id and size are taken together; an empty
+    table gives an empty table.
+
+    The last row that each pass takes is found on (id, source, size) alone; a row comes if it does
+    not stand behind it. So texts are shuffled once, each pass to its stretch of training time,
+    and sorted there. Positions are exact where a cell begins and interpolated inside.
     """
-    slim = materialize(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")), "words")
-    whole = docs.select(F.struct(*docs.columns).alias(TMP + "row"), F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
-    rows = _decide(whole, slim, share, most, weights, schedules)
-    passes = F.array(*[F.when(2 * F.col(f"taken_{e}") >= F.col("size"), F.col(f"position_{e}")) for e in range(1, math.ceil(most) + 1)])
-    wanted = F.when(F.col("size") == 0, F.array(F.lit(2.0))).otherwise(F.filter(passes, lambda x: x.isNotNull()))
-    taken = rows.select(TMP + "row", F.explode(wanted).alias("position"), F.xxhash64("doc_id").alias("tie"))
-    return taken.repartitionByRange("position", "tie").sortWithinPartitions("position", "tie").select(TMP + "row.*")
+    slim = materialize(_slim(docs, id_col, text_col, source_col), "words")
+    plan, parts, key = _Plan(slim, share, most, weights, schedules), shuffle_partitions(docs.sparkSession), F.struct(*KEY)
+    exact = plan.exact(slim)
+    last = [F.max(F.when((plan.taken(e, F.col(START)) > 0) & (2 * plan.taken(e, F.col(START)) >= F.col("size")), key)).alias(f"{TMP}last_{e}") for e in plan.passes]
+    ends = _small(exact.groupBy("source").agg(*last), "ends")
+    rows = plan.interpolated(_slim(docs, id_col, text_col, source_col, F.struct(*docs.columns).alias(TMP + "row")))
+    rows = join_on(rows, ends, ["source"])
+    comes = F.filter(F.array(*[F.when(key <= F.col(f"{TMP}last_{e}"), plan.position(e, F.col(START))) for e in plan.passes]), lambda x: x.isNotNull())
+    at = F.explode(F.when(F.col("size") == 0, F.array(F.lit(2.0))).otherwise(comes))
+    rows = rows.select(TMP + "row", at.alias("at"), F.xxhash64("doc_id").alias("tie"))
+    rows = rows.withColumn("stretch", F.least(F.lit(parts - 1), F.floor(F.col("at") * parts)).cast("int")).repartitionById(parts, F.col("stretch"))
+    return rows.sortWithinPartitions("at", "tie").select(TMP + "row.*")
