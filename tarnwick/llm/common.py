@@ -16,6 +16,8 @@ from pyspark.sql.window import Window
 
 #: ASCII white space, as the word pattern ``[^\x20\x09-\x0D]+`` excludes it.
 SPACE = "[ \\x09-\\x0D]"
+#: Bytes that a task buffers of a table before it writes them; texts are large.
+ROW_GROUP = 32 << 20
 #: A prefix that keeps working columns apart from whatever columns a table brings.
 TMP = "__tw_"
 
@@ -49,7 +51,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     fs.mkdirs(at)
     fs.deleteOnExit(at)
     path = f"{folder}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -62,6 +64,12 @@ def discard(df: DataFrame) -> None:
             fs.delete(at, True)
 
 
+def each(values, slice_rows: int = 256):
+    """The Python values of an Arrow array, a few at a time, so that a batch of texts is never held twice."""
+    for lo in range(0, len(values), slice_rows):
+        yield from values.slice(lo, slice_rows).to_pylist()
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

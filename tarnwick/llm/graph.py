@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnwick.llm.common import materialize
+from tarnwick.llm.common import discard, materialize
 
 
 def _summary(edges: DataFrame) -> tuple:
@@ -37,9 +37,11 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = materialize(large.where("a <> b").distinct(), "large")
         centre = _centre(large)
         partners = large.join(centre, "a").select(F.col("b").alias("a"), F.col("low").alias("b"))
-        edges = partners.union(centre.select("a", F.col("low").alias("b"))).where("a <> b")
+        before, edges = edges, partners.union(centre.select("a", F.col("low").alias("b"))).where("a <> b")
         edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
         edges = materialize(edges, "edges")
+        discard(before)
+        discard(large)
         now = _summary(edges)
         if now == last:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnwick.llm.common import TMP, materialize, ranked_within
+from tarnwick.llm.common import TMP, each, materialize, ranked_within
 
 #: How this vocabulary cuts a normalised text into pre-tokens; fixed by the tokenizer file.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -131,7 +131,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = 4096, end_id: int =
         encoder = _encoder(path)
         for batch in batches:
             out: list[list] = [[] for _ in range(6)]
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for doc_id, text in zip(batch.column(0).to_pylist(), each(batch.column(1)), strict=True):
                 ids = encoder.encode(text) + end
                 for piece, lo in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[lo : lo + 4 * capacity]

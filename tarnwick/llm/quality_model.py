@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnwick.llm.common import crc_mod
+from tarnwick.llm.common import crc_mod, each
 from tarnwick.llm.labelled import labelled_sample
 from tarnwick.llm.statistics import NAMES, describe
 
@@ -89,7 +89,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", per_
 def _statistics():
     @F.arrow_udf("array<double>")
     def stats(texts: pa.Array) -> pa.Array:
-        return pa.array([describe(t) for t in texts.to_pylist()], pa.list_(pa.float64()))
+        return pa.array([describe(t) for t in each(texts)], pa.list_(pa.float64()))
 
     return stats
 
@@ -104,7 +104,7 @@ def score_quality(docs: DataFrame, model: QualityModel, threshold: float = 0.3,
 
     @F.arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:
-        return pa.array(model.score(np.array([describe(t) for t in texts.to_pylist()]).reshape(-1, len(NAMES))))
+        return pa.array(model.score(np.array([describe(t) for t in each(texts)]).reshape(-1, len(NAMES))))
 
     doc = F.col(id_col)
     scored = docs.select(doc.alias("doc_id"), F.coalesce(crc_mod(doc, folds) == held_out, F.lit(False)).alias("held_out"), score(F.col(text_col)).alias("score"))
@@ -121,6 +121,6 @@ def keep_good(docs: DataFrame, model: QualityModel, threshold: float = 0.3, text
 
     @F.arrow_udf("boolean")
     def good(texts: pa.Array) -> pa.Array:
-        return pa.array(model.score(np.array([describe(t) for t in texts.to_pylist()]).reshape(-1, len(NAMES))) >= threshold)
+        return pa.array(model.score(np.array([describe(t) for t in each(texts)]).reshape(-1, len(NAMES))) >= threshold)
 
     return docs.where(good(F.col(text_col)))

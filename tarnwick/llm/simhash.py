@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnwick.llm.common import TMP, materialize, shuffle_partitions
+from tarnwick.llm.common import TMP, each, materialize, shuffle_partitions
 from tarnwick.llm.graph import connected_components
 
 SEED = 42
@@ -47,7 +47,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     @F.arrow_udf("long")
     def simhash(texts: pa.Array) -> pa.Array:
-        out = [fingerprint_bytes(t or b"", width) for t in texts.cast(pa.binary()).to_pylist()]
+        out = [fingerprint_bytes(t or b"", width) for t in each(texts.cast(pa.binary()))]
         return pa.array(np.array(out, dtype=np.uint64).view(np.int64))
 
     return docs.select(F.col(id_col).alias("doc_id"), simhash(F.col(text_col)).alias("fingerprint"))

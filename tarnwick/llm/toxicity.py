@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnwick.llm.common import crc_mod
+from tarnwick.llm.common import crc_mod, each
 from tarnwick.llm.labelled import labelled_sample
 from tarnwick.llm.models import BoostedTrees, Isotonic
 
@@ -155,7 +155,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_c
 
     @F.arrow_udf("array<double>")
     def measured(texts: pa.Array) -> pa.Array:
-        return pa.array([features(t, learned) for t in texts.to_pylist()], pa.list_(pa.float64()))
+        return pa.array([features(t, learned) for t in each(texts)], pa.list_(pa.float64()))
 
     got = sample.where("fold >= 5").select("doc_id", "y", "fold", measured("text").alias("x")).orderBy("doc_id").toArrow()
     x = np.array(got.column("x").to_pylist(), dtype=np.float64).reshape(-1, len(FEATURES))
@@ -172,7 +172,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5
 
     @F.arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:
-        return pa.array(model.score(texts.to_pylist()))
+        return pa.array(model.score(each(texts)))
 
     doc = F.col(id_col)
     scored = docs.select(doc.alias("doc_id"), F.coalesce(crc_mod(doc, folds) == held_out, F.lit(False)).alias("held_out"), score(F.col(text_col)).alias("score"))
