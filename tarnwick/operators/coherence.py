@@ -160,10 +160,14 @@ def major_minor(df: DataFrame, group: str, key: str, x: str = "x", y: str = "y",
 
 
 def attribution(df: DataFrame) -> DataFrame:
-    """Why a group is loose: split first, then shared members, too little data, else intrinsic."""
+    """Why a group is loose, from its ``reason`` of major_minor and its shared_fraction.
+
+    A split comes first, then half or more shared members, then too few members, else the group
+    itself; a missing fraction shares nothing.
+    """
     from tarnwick.functions.semantics import label
 
-    return df.withColumn("cause", label([(F.col("reason") == "split", "split"), (F.col("shared_fraction") >= 0.5, "shared"), (F.col("covered") < 3, "data_limited")], "intrinsic"))
+    return df.withColumn("cause", label([(F.col("reason") == "split", "major_minor_split"), (F.col("shared_fraction") >= 0.5, "shared_subunits"), (F.col("reason") == "too few members", "data_limited")], "intrinsic_heterogeneity"))
 
 
 def permutation_by_kind(df: DataFrame, backgrounds: dict[str, DataFrame], kind: str, group: str, key: str, x: str = "x", y: str = "y", times: int = 1000) -> DataFrame:

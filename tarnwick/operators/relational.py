@@ -125,6 +125,13 @@ def shared_members(df: DataFrame, group: str, member: str) -> DataFrame:
     return pairs.groupBy(group).agg(F.countDistinct(member).alias("shared"), F.sort_array(F.collect_set("other")).alias("others"))
 
 
+def shared_fraction(df: DataFrame, group: str, member: str) -> DataFrame:
+    """The share of each group's different members that another group has as well."""
+    own = df.select(group, member).distinct()
+    groups = own.groupBy(member).agg((F.count(F.lit(1)) > 1).alias("shared"))
+    return own.join(groups, member).groupBy(group).agg(F.avg(F.col("shared").cast("double")).alias("shared_fraction"))
+
+
 def histogram(df: DataFrame, value: Column, low: float, step: float, bins: int) -> DataFrame:
     from tarnwick.functions.semantics import bucket_floor
 

@@ -32,7 +32,7 @@ def network_level(t: Tables) -> DataFrame:
     return L.network_level(pairs, t.supplier.where("s_suppkey % 2 = 0").select(F.col("s_suppkey").alias("Gene_id"), F.col("s_nationkey").alias("term")))
 
 
-@query("with o as (select p_partkey as g, case when p_size = 1 then 0 else len(string_split(p_name, ' ')) end as orthologs from part where p_partkey % 3 > 0), p as (select l_partkey as g, count(distinct l_suppkey) as paralogs from lineitem where l_quantity > 45 group by 1) select coalesce(o.g, p.g) as \"Gene_id\", orthologs, coalesce(paralogs, 0) as paralogs from o full outer join p on o.g = p.g")
+@query("with o as (select p_partkey as g, case when p_size = 1 then 0 else len(string_split(p_name, ' ')) end as orthologs from part where p_partkey % 3 > 0), p as (select l_partkey as g, count(*) as paralogs from lineitem where l_quantity > 45 group by 1) select coalesce(o.g, p.g) as \"Gene_id\", orthologs, coalesce(paralogs, 0) as paralogs from o full outer join p on o.g = p.g")
 def evolutionary_level(t: Tables) -> DataFrame:
     o = t.part.where("p_partkey % 3 > 0").select(F.col("p_partkey").alias("Gene_id"), F.when(F.col("p_size") != 1, F.regexp_replace("p_name", " ", "|")).alias("orthologs"))
     p = t.lineitem.where("l_quantity > 45").select(F.col("l_partkey").alias("Gene_id"), "l_suppkey")

@@ -46,9 +46,9 @@ def protein_level(peptides: DataFrame, domains: DataFrame, quantities: DataFrame
 
 
 def evolutionary_level(orthologs: DataFrame, paralogs: DataFrame) -> DataFrame:
-    """Numbers of orthologs (bar-separated lists, null: none) and of different paralogs."""
+    """Numbers of orthologs (bar-separated lists, null: none) and of rows of paralogs, repeats included."""
     o = orthologs.select("Gene_id", F.when(F.col("orthologs").isNull(), 0).otherwise(F.size(F.split("orthologs", "\\|"))).alias("orthologs"))
-    p = paralogs.distinct().groupBy("Gene_id").agg(F.count(F.lit(1)).alias("paralogs"))
+    p = paralogs.groupBy("Gene_id").agg(F.count(F.lit(1)).alias("paralogs"))
     return o.join(p, "Gene_id", "full_outer").na.fill({"paralogs": 0})
 
 

@@ -86,8 +86,9 @@ _UTR = """select l_orderkey as k1, l_linenumber as k2, cast(l_quantity as bigint
  case when l_suppkey % 2 = 0 then '+' else '-' end as gl, case when l_partkey % 2 = 0 then '+' else '-' end as gr, 'S' || l_suppkey as nl, 'P' || l_partkey as nr from lineitem"""
 
 
-@query(f"with u as ({_UTR}), v as (select *, case when s < 400 and (s <= e or e >= 400) then 'left' when e < 400 then 'right' end as side from u), w as (select *, case side when 'left' then nl when 'right' then nr end as gene, case side when 'left' then gl when 'right' then gr end as gs from v) "
-       "select k1, k2, gene, case when side is null then null when (side = 'left') = (gs = '+') then '3UTR' else '5UTR' end as utr, case side when 'left' then s when 'right' then -e end as distance, case when side is null then null when strand = gs then 'Forward' else 'Reverse' end as direction from w")
+@query(f"with u as ({_UTR}), v as (select *, case when s < 400 and e > 400 then 'l' when s > 400 and e < 400 then 'r' when s < 400 and e < 400 and s <= e then 'l' when s < 400 and e < 400 then 'r' end as side from u), "
+       "w as (select *, case side when 'l' then nl when 'r' then nr else '' end as gene, case when side = 'l' and gl = '+' then '3UTR' when side = 'l' then '5UTR' when side = 'r' and gr = '+' then '5UTR' when side = 'r' then '3UTR' else 'neither' end as utr, case side when 'l' then s else e end as near, case side when 'l' then gl else gr end as gs from v) "
+       "select k1, k2, gene, utr, case utr when '3UTR' then near when '5UTR' then -near else 0 end as distance, case when side is null then '' when strand = gs then 'Forward' else 'Reverse' end as direction from w")
 def utr_classify(t: Tables) -> DataFrame:
     def sign(c):
         return F.when(F.col(c) % 2 == 0, "+").otherwise("-")
@@ -221,14 +222,6 @@ def relabel(t: Tables) -> DataFrame:
     return t.orders.select("o_orderkey", F.coalesce(S.label([((s == "F") & (F.col("o_totalprice") > 200000), "F (large)")]), s).alias("label"), S.lookup(F.col("o_orderpriority"), {"1-URGENT": 1, "2-HIGH": 1}).alias("urgent"), S.prefixed(s, "chr_").alias("chr"))
 
 
-@query("with g as (select p_partkey, p_size / 50.0 as dr, case when p_size % 4 = 0 then null when p_size % 4 = 1 then 'E' else 'V' end as e from part) select 'V_fast' as bucket, count(*) as n from g where e = 'V' and dr > 0.6 union all select 'E_slow', count(*) from g where e = 'E' and dr < 0.3 union all select 'not_E_fast', count(*) from g where (e is null or e <> 'E') and dr > 0.6 union all select 'unknown', count(*) from g where e is null")
-def outlier_buckets(t: Tables) -> DataFrame:
-    r = F.col("p_size") % 4
-    g = t.part.select((F.col("p_size") / 50.0).alias("DR"), F.when(r == 1, "E").when(r > 1, "V").alias("DeletionLibrary_essentiality"))
-    counts = g.agg(*[F.count_if(F.coalesce(cond, F.lit(False))).alias(name) for name, cond in stages.outlier_groups().items()])
-    return counts.unpivot([], list(stages.outlier_groups()), "bucket", "n")
-
-
 @query("select count(*) filter (quality = toxic) as match, count(*) filter (quality <> toxic) as mismatch from labels")
 def match_stats(t: Tables) -> DataFrame:
     return R.match_counts(t.labels, "quality", "toxic")
@@ -277,18 +270,6 @@ def ragged_matrix(t: Tables) -> DataFrame:
     return m.select("row", *[F.col(str(k)).alias(f"n{k}") for k in range(4)])
 
 
-_OUTCOME = "select o_orderkey, case o_orderstatus when 'F' then 'E' when 'O' then 'V' else 'n.d.' end as lib, case when o_custkey % 5 = 0 then null when o_custkey % 2 = 0 then 'E' else 'V' end as ver, case when o_orderkey % 7 = 0 then null else o_totalprice / 100000 - 0.5 end as a3, case when o_orderkey % 3 = 0 then null else o_totalprice / 1000000 end as a6 from orders"
-
-
-@query(f"with o as ({_OUTCOME}), c as (select *, case when lib not in ('E', 'V') then 'no_library_ref' when ver is null then 'not_verified' when lib = ver then 'agree' when ver = 'E' then 'V_to_E' else 'E_to_V' end as concordance, concat_ws(';', case when a3 is null then 'no_area' end, case when a3 < 0 then 'negative_area' end, case when ver is null then 'no_result' end) as qc_reasons from o) "
-       "select o_orderkey, concordance, qc_reasons, case when qc_reasons <> '' then 'ambiguous' when concordance = 'V_to_E' and not coalesce(a6 > 0.1, false) then 'novel_essential' when concordance = 'E_to_V' and coalesce(a6 > 0.1, false) then 'novel_viable' else 'as_expected' end as outcome from c")
-def outcome_labels(t: Tables) -> DataFrame:
-    k = F.col("o_custkey")
-    rows = t.orders.select("o_orderkey", F.coalesce(S.lookup(F.col("o_orderstatus"), {"F": "E", "O": "V"}), F.lit("n.d.")).alias("library"), F.when(k % 5 == 0, None).when(k % 2 == 0, "E").otherwise("V").alias("verified"),
-                           F.when(F.col("o_orderkey") % 7 != 0, F.col("o_totalprice") / 100000 - 0.5).alias("area3"), F.when(F.col("o_orderkey") % 3 != 0, F.col("o_totalprice") / 1000000).alias("area6"), F.lit(None).cast("string").alias("comment"))
-    return stages.outcome_stage(rows).select("o_orderkey", "concordance", "qc_reasons", "outcome")
-
-
 @query("select o_custkey, count(*) as n, count(distinct o_orderpriority) as kinds, count(*) filter (o_orderstatus = 'F') as done, string_agg(distinct o_orderpriority, ',' order by o_orderpriority) as listed from orders group by 1")
 def group_summary(t: Tables) -> DataFrame:
     return t.orders.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("o_orderpriority").alias("kinds"), F.count_if(F.col("o_orderstatus") == "F").alias("done"), T.sorted_join(F.collect_set("o_orderpriority")).alias("listed"))

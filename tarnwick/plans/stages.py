@@ -62,23 +62,29 @@ def utr_type(strand: Column, gene_strand: Column, to_start: Column, to_end: Colu
 def parental_gene(df: DataFrame, threshold: int) -> DataFrame:
     """The neighbour that an intergenic insertion belongs to, with type, distance and direction.
 
-    Names, ids and strands hold the left and right neighbour parted by a bar. The nearer one
-    counts, the left of equals; none if neither boundary is nearer than the threshold.
+    Names, ids and strands hold the left and right neighbour parted by a bar. A neighbour nearer
+    than the threshold counts if the other is beyond it, or is as near or farther below it (the
+    left of equals). None does if the other distance is the threshold exactly, or both are beyond:
+    then the type is neither, the distance 0 and the names are empty. The distance is positive
+    behind a gene (3UTR) and negative before it (5UTR).
     """
     start, end = F.col("Distance_to_region_start"), F.col("Distance_to_region_end")
-    side = label([((start < threshold) & ((start <= end) | (end >= threshold)), "left"), (end < threshold, "right")])
-    df = df.withColumn("side", side)
+    both = (start < threshold) & (end < threshold)
+    left = ((start < threshold) & (end > threshold)) | (both & (start <= end))
+    right = ((start > threshold) & (end < threshold)) | (both & (start > end))
+    df = df.withColumn("side", label([(left, "left"), (right, "right")], "none"))
+    side = F.col("side")
 
     def part(name: str) -> Column:
-        both = F.split(F.col(name), "\\|")
-        return F.when(F.col("side") == "left", F.get(both, 0)).when(F.col("side") == "right", F.try_element_at(both, F.lit(-1)))
+        parts = F.split(F.col(name), "\\|")
+        return F.when(side == "left", F.get(parts, 0)).when(side == "right", F.try_element_at(parts, F.lit(-1))).otherwise("")
 
     df = df.withColumns({"Parental_gene": part("Name"), "Parental_id": part("Systematic_ID"), "gene_strand": part("Strand_Interval")})
-    forward = F.col("gene_strand") == "+"
-    after = (F.col("side") == "left") == forward
-    kind = F.when(F.col("side").isNotNull(), F.when(after, "3UTR").otherwise("5UTR"))
-    distance = F.when(F.col("side") == "left", start).when(F.col("side") == "right", -end)
-    direction = F.when(F.col("side").isNotNull(), F.when(F.col("Strand") == F.col("gene_strand"), "Forward").otherwise("Reverse"))
+    behind = (side == "left") == (F.col("gene_strand") == "+")
+    near = F.when(side == "left", start).otherwise(end)
+    kind = label([(side == "none", "neither"), (behind, "3UTR")], "5UTR")
+    distance = F.when(side == "none", 0).when(behind, near).otherwise(-near)
+    direction = label([(side == "none", ""), (F.col("Strand") == F.col("gene_strand"), "Forward")], "Reverse")
     return df.withColumns({"UTR_type": kind, "Distance_to_gene": distance, "Direction": direction})
 
 
@@ -128,10 +134,43 @@ def verification_stage(genes: DataFrame, library: DataFrame, verified: DataFrame
     return relational.long_stats({"category": counted("Category"), "result": counted("result"), "concordance": match})
 
 
-def outlier_groups() -> dict[str, Column]:
-    """Predicates of genes whose curve and library disagree; a missing label is no E and no V."""
-    e, fast = F.col("DeletionLibrary_essentiality"), F.col("DR") > 0.6
-    return {"V_fast": e.eqNullSafe(F.lit("V")) & fast, "E_slow": e.eqNullSafe(F.lit("E")) & (F.col("DR") < 0.3), "not_E_fast": differs(e, F.lit("E")) & fast, "unknown": e.isNull()}
+#: Results of the verification in the order of the review. Fixed values.
+RESULT_ORDER = ["spores", "germinated", "microcolonies", "E", "E (tiny colonies)", "very small colonies", "small colonies", "WT"]
+
+
+def outlier_groups() -> dict[str, tuple[Column, bool]]:
+    """Predicates of genes whose curve and category disagree, and whether the highest DR comes first.
+
+    Categories are the curated labels as they stand; a missing library label is not E.
+    """
+    c, dr, e = F.col("Category"), F.col("DR"), F.col("DeletionLibrary_essentiality").eqNullSafe(F.lit("E"))
+    return {
+        "WT2nonWT": ((c == "WT-like") & (dr > 0.35), True),
+        "scE2E": ((c == "small colonies") & (dr > 0.75) & e, True),
+        "sc2E": ((c == "small colonies") & (dr > 0.75) & ~e, True),
+        "E2V": (c.isin("spores", "germinated", "microcolonies") & (dr < 0.35), False),
+    }
+
+
+def outlier_review(genes: DataFrame, verified: DataFrame, group: str) -> DataFrame:
+    """A group's genes with the bucket of each result of their verification, in review order.
+
+    ``verified`` has Systematic_ID and result; genes without a row are "Not verified", results
+    outside the order vanish, and a gene of several results comes once for each.
+    """
+    cond, falling = outlier_groups()[group]
+    rows = genes.where(cond).join(verified.select("Systematic_ID", "result").distinct(), "Systematic_ID", "left")
+    dr = F.col("DR").desc() if falling else F.col("DR").asc()
+    return relational.bucketed(rows, "result", RESULT_ORDER).withColumn("grp", F.lit(group)).orderBy("bucket_no", dr, "Systematic_ID")
+
+
+#: Loci whose first isoform is the primary one whatever its length. Fixed values.
+FIRST_ISOFORM_LOCI = ("SPBC119.04", "SPBC17A3.07", "SPAC212.11", "SPAC2E12.05", "SPAC977.01", "SPMIT.03", "SPMIT.06", "SPMIT.08")
+
+
+def primary_candidate(gene: Column, transcript: Column, length: Column, primary_length: Column) -> Column:
+    """Whether a transcript is the gene's primary one: by the known peptide length, or isoform .1 for some loci."""
+    return F.when(gene.isin(*FIRST_ISOFORM_LOCI), transcript.endswith(".1")).otherwise(length == primary_length)
 
 
 def comparison_stage(df: DataFrame, densities: list[str], others: list[str], top: float = 200.0) -> DataFrame:
@@ -158,16 +197,6 @@ def enrichment_stage(clusters: DataFrame, associations: DataFrame, namespaces: D
     return whole.unionByName(part).orderBy("grp", "background", "namespace", "term")
 
 
-def outcome_stage(df: DataFrame) -> DataFrame:
-    """Concordance of library and verification, quality flags and the final outcome."""
-    known = F.col("library").isin("E", "V")
-    names = label([(~F.coalesce(known, F.lit(False)), "no_library_ref"), (F.col("verified").isNull(), "not_verified"), (F.col("library") == F.col("verified"), "agree"), (F.col("verified") == "E", "V_to_E")], "E_to_V")
-    reasons = flags([(F.col("area3").isNull(), "no_area"), (F.col("area3") < 0, "negative_area"), (F.lower("comment").contains("contamin"), "contaminated"), (F.col("verified").isNull(), "no_result")])
-    out = df.withColumn("concordance", names).withColumn("qc_reasons", F.array_join(reasons, ";"))
-    grows = F.coalesce(F.col("area6") > 0.1, F.lit(False))
-    return out.withColumn("outcome", label([(F.col("qc_reasons") != "", "ambiguous"), ((F.col("concordance") == "V_to_E") & ~grows, "novel_essential"), ((F.col("concordance") == "E_to_V") & grows, "novel_viable")], "as_expected"))
-
-
 def merge_features(levels: dict[str, DataFrame], meta: DataFrame, key: str = "Gene_id") -> DataFrame:
     """All levels of primary transcripts outer-joined, kept for the genes of ``meta``, gaps filled."""
     dna = levels["dna"].where("Primary_candidate")

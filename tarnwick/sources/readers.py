@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,13 +22,13 @@ def read_table(spark: SparkSession, path: str, schema: str | None = None, **opti
 
         return spark.createDataFrame(pd.read_excel(path, **options))
     if "parquet" in name:
-        return restore_duplicates(spark.read.parquet(path))
+        return spark.read.parquet(path)
     raise ValueError(f"no reader for {name}")
 
 
-def restore_duplicates(df: DataFrame) -> DataFrame:
-    """Parquet keeps equal names apart by ``__dupN``; they stay so, as columns need one name each."""
-    return df
+def logical_names(columns: list[str]) -> list[str]:
+    """The names that a table's columns had before the writer kept equal ones apart by ``__dupN``."""
+    return [re.sub(r"__dup\d+$", "", c) for c in columns]
 
 
 def read_bed(spark: SparkSession, path: str) -> DataFrame:

@@ -73,10 +73,15 @@ def test_utr_fixtures(spark):
     df = spark.createDataFrame(rows, "s string, g string, a long, b long, want string")
     assert all(r.got == r.want for r in df.withColumn("got", stages.utr_type(F.col("s"), F.col("g"), F.col("a"), F.col("b"), 400)).collect())
     cols = "Name string, Systematic_ID string, Strand_Interval string, Strand string, Distance_to_region_start long, Distance_to_region_end long"
-    cases = [(100, 600, ("l", "3UTR", 100)), (600, 80, ("r", "5UTR", -80)), (150, 150, ("l", "3UTR", 150)), (200, 90, ("r", "5UTR", -90)), (400, 600, (None, None, None))]
-    for start, end, want in cases:
-        r = stages.parental_gene(spark.createDataFrame([("l|r", "l|r", "+|+", "+", start, end)], cols), 400).first()
-        assert (r.Parental_gene, r.UTR_type, r.Distance_to_gene) == want
+    none = ("", "neither", 0, "")
+    cases = [
+        ("+|+", "+", 100, 600, ("l", "3UTR", 100, "Forward")), ("+|+", "+", 600, 80, ("r", "5UTR", -80, "Forward")), ("+|+", "+", 150, 150, ("l", "3UTR", 150, "Forward")),
+        ("+|+", "-", 200, 90, ("r", "5UTR", -90, "Reverse")), ("-|+", "+", 100, 600, ("l", "5UTR", -100, "Reverse")), ("+|-", "-", 600, 80, ("r", "3UTR", 80, "Forward")),
+        ("+|+", "+", 400, 600, none), ("+|+", "+", 400, 100, none), ("+|+", "+", 100, 400, none), ("+|+", "+", 500, 600, none), ("+|+", "+", None, 600, none),
+    ]
+    for strands, strand, start, end, want in cases:
+        r = stages.parental_gene(spark.createDataFrame([("l|r", "l|r", strands, strand, start, end)], cols), 400).first()
+        assert (r.Parental_gene, r.UTR_type, r.Distance_to_gene, r.Direction) == want
 
 
 def test_rank_ratio_and_regression(spark):
@@ -188,11 +193,48 @@ def test_feature_transforms(spark):
     assert train.count() + test.count() == 1000 and 150 < test.count() < 250
 
 
-def test_outcomes_keep_missing_area_as_no_growth(spark):
-    rows = [(1, "V", "E", 1.0, None, None), (2, "E", "V", 1.0, 0.5, None), (3, "E", "E", None, 0.5, None), (4, "n.d.", "E", 1.0, 0.5, "contaminated plate")]
-    df = spark.createDataFrame(rows, "k int, library string, verified string, area3 double, area6 double, comment string")
-    got = {r.k: (r.outcome, r.qc_reasons) for r in stages.outcome_stage(df).collect()}
-    assert got == {1: ("novel_essential", ""), 2: ("novel_viable", ""), 3: ("ambiguous", "no_area"), 4: ("ambiguous", "contaminated")}
+def test_outcome_chain(spark):
+    from tarnwick.plans import outcomes
+
+    schema = "gene string, gene_name string, verification_essentiality string, DeletionLibrary_essentiality string, comments string, R2 double, total_colonies double, filtering_fraction double, FYPOviability string, median_area_day6 double"
+    rows = [
+        ("a", "SPAC1.01", "E", "V", None, 0.99, 60.0, 0.9, "viable", 0.0), ("b", "abc1", "V", "E", None, 0.99, 60.0, 0.9, "inviable", 0.3),
+        ("c", "pyp3", "E", "E", None, 0.99, 60.0, 0.9, "condition-dependent", None), ("d", "abc2", "V", "V", "小菌落", 0.99, 60.0, 0.9, "viable", None),
+        ("e", "abc3", "E", "V", None, 0.5, 40.0, 0.1, "viable", None), ("f", "SPBC1.02", "E", None, None, None, None, None, None, None),
+        ("g", "SPBC1.03", "V", "n.d.", "fine", 0.985, 60.0, 0.9, "viable", 0.5), ("h", "abc4", None, "V", None, 0.99, 60.0, 0.9, "viable", None),
+        ("i", "abc5", "E", "V", "?", 0.99, 60.0, 0.9, "condition-dependent", 0.2),
+    ]
+    table = outcomes.outcome_table(spark.createDataFrame(rows, schema)).cache()
+    got = {r.gene: (r.essentiality_concordance, r.qc_flag_reason, r.outcome) for r in table.collect()}
+    assert got == {
+        "a": ("flip_V2E", "", "flip_V2E"), "b": ("flip_E2V", "", "flip_E2V"), "c": ("concordant_E", "noised_gene", "ambiguous"), "d": ("concordant_V", "borderline_comment", "ambiguous"),
+        "e": ("flip_V2E", "poor_fit;thin_colonies;low_filter_fraction", "ambiguous"), "f": ("no_library_ref", "", "no_library_ref"), "g": ("no_library_ref", "", "no_library_ref"),
+        "h": ("flip_E2V", "", "flip_E2V"), "i": ("flip_V2E", "borderline_comment", "ambiguous"),
+    }
+    assert [(r.gene, r.priority) for r in outcomes.novel_genes(table).collect()] == [("a", 0), ("g", 9)]
+    assert {r.gene: r.failure_cause for r in outcomes.failure_causes(table).collect()} == {"c": "both", "d": "borderline_observation", "e": "data_quality", "i": "biology_condition_dependent"}
+    flipped = outcomes.flips(table)
+    assert {r.gene: (r.flip_reason, r.area_confirms_flip) for r in flipped.collect()} == {
+        "a": ("unconditional_viable_to_essential", True), "b": ("unconditional_essential_to_viable", True), "e": ("unconditional_viable_to_essential", True),
+        "h": ("other", False), "i": ("condition_dependent_annotation", False),
+    }
+    assert [r.gene for r in outcomes.sure_flips(flipped).collect()] == ["a"]
+
+
+def test_outlier_groups_and_review(spark):
+    genes = spark.createDataFrame([
+        ("a", "WT-like", 0.4, None), ("b", "small colonies", 0.8, "E"), ("c", "small colonies", 0.8, None), ("d", "spores", 0.2, "E"), ("e", "spores, germinated", 0.2, "E"), ("f", "WT-like", 0.35, None), ("g", "germinated", 0.1, "V"),
+    ], "Systematic_ID string, Category string, DR double, DeletionLibrary_essentiality string")
+    got = {name: [r.Systematic_ID for r in genes.where(cond).orderBy("Systematic_ID").collect()] for name, (cond, _) in stages.outlier_groups().items()}
+    assert got == {"WT2nonWT": ["a"], "scE2E": ["b"], "sc2E": ["c"], "E2V": ["d", "g"]}
+    verified = spark.createDataFrame([("d", "WT"), ("d", "WT"), ("d", "odd")], "Systematic_ID string, result string")
+    assert [(r.Systematic_ID, r.bucket) for r in stages.outlier_review(genes, verified, "E2V").collect()] == [("g", "Not verified"), ("d", "WT")]
+
+
+def test_attribution_needs_the_reason_of_the_split(spark):
+    rows = [("a", "split", 0.9), ("b", "one component", 0.5), ("c", "too few members", 0.2), ("d", "too few members", 0.8), ("e", "not separated", None)]
+    got = {r.k: r.cause for r in coherence.attribution(spark.createDataFrame(rows, "k string, reason string, shared_fraction double")).collect()}
+    assert got == {"a": "major_minor_split", "b": "shared_subunits", "c": "data_limited", "d": "shared_subunits", "e": "intrinsic_heterogeneity"}
 
 
 def test_pipeline_builds_what_is_missing(spark, tmp_path):
