@@ -128,7 +128,7 @@ def auto_merge(df: DataFrame, raw: str, k: int) -> DataFrame:
     return df.join(F.broadcast(table), raw, "left")
 
 
-def k_sweep(df: DataFrame, key: str, ks: range, tries: int = 3) -> DataFrame:
+def k_sweep(df: DataFrame, key: str, ks: range, tries: int = 10) -> DataFrame:
     """inertia, silhouette, Calinski-Harabasz and Davies-Bouldin for every k."""
     parts = []
     for k in ks:

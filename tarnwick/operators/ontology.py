@@ -87,11 +87,32 @@ def named(df: DataFrame, names: DataFrame, term: str = "term") -> DataFrame:
 GAF = ("DB", "DB_Object_ID", "DB_Object_Symbol", "Qualifier", "GO_ID", "Reference", "Evidence", "With", "Aspect", "DB_Object_Name", "Synonym", "DB_Object_Type", "Taxon", "Date", "Assigned_By", "Annotation_Extension", "Gene_Product_Form_ID")
 
 
-def to_gaf(df: DataFrame, gene: Column, term: Column, date: Column, source: str, evidence: str = "EXP", aspect: str = "P") -> DataFrame:
-    """A 17-column association table from any annotation table."""
-    given = {"DB": F.lit(source), "DB_Object_ID": gene, "DB_Object_Symbol": gene, "GO_ID": term, "Evidence": F.lit(evidence), "Aspect": F.lit(aspect),
-             "DB_Object_Type": F.lit("gene"), "Date": F.regexp_replace(date, "-", ""), "Assigned_By": F.lit(source)}
-    return df.select(*[given.get(c, F.lit("")).alias(c) for c in GAF])
+#: Values that the association files must hold. Fixed values.
+TAXON, STANDARD_CONDITION, FILL_DATE = "taxon:4896", "FYECO:0000005", "2025-09-01"
+
+
+def to_gaf(df: DataFrame, **given: Column) -> DataFrame:
+    """A table of the 17 association columns; those that are not given are empty."""
+    date = {"Date": F.regexp_replace(given["Date"], "-", "")} if "Date" in given else {}
+    filled = {"DB_Object_Type": F.lit("protein"), "Taxon": F.lit(TAXON)} | given | date
+    return df.select(*[filled.get(c, F.lit("")).alias(c) for c in GAF])
+
+
+def phenotype_gaf(phaf: DataFrame, names: DataFrame) -> DataFrame:
+    """Associations of phenotypes, of deletion and disruption alleles under the standard condition only."""
+    rows = phaf.where(F.col("Allele type").isin("deletion", "disruption") & F.col("Condition").contains(STANDARD_CONDITION))
+    rows = named(rows.withColumnRenamed("FYPO ID", "term"), names)
+    return to_gaf(
+        rows, DB=F.lit("PomBase"), DB_Object_ID=F.col("Gene systematic ID"), DB_Object_Symbol=F.col("Gene symbol"), GO_ID=F.col("term"), Reference=F.col("Reference"), Evidence=F.col("Evidence"),
+        Aspect=F.lit("FYPO"), DB_Object_Name=F.col("name"), Date=F.col("Date"), Assigned_By=F.col("#Database name"), Annotation_Extension=F.col("Extension"))
+
+
+def disease_gaf(table: DataFrame, names: DataFrame) -> DataFrame:
+    """Associations of diseases; a missing date becomes the date of the file."""
+    rows = named(table.withColumnRenamed("mondo_id", "term"), names)
+    return to_gaf(
+        rows, DB=F.lit("Pombase"), DB_Object_ID=F.col("#gene_systematic_id"), DB_Object_Symbol=F.col("gene_name"), GO_ID=F.col("term"), Reference=F.col("reference"),
+        Aspect=F.lit("MONDO"), DB_Object_Name=F.col("name"), Date=F.coalesce("date", F.lit(FILL_DATE)), Assigned_By=F.lit("PomBase"))
 
 
 #: Namespaces of the web service and their names, in the order of the report. Fixed values.

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnwick.functions import semantics as S
-from tarnwick.operators import coherence, relational
+from tarnwick.operators import coherence, ontology, relational
 from tarnwick.plans import outcomes, stages
 from tarnwick.plans.registry import Tables, query
 
@@ -102,3 +102,28 @@ def primary_transcripts(t: Tables) -> DataFrame:
     rows = t.lineitem.join(top, F.col("l_orderkey") == F.col("o")).select("l_orderkey", "l_linenumber", known.alias("gene"), F.concat(F.lit("m."), "l_linenumber").alias("mrna"), "l_quantity", "longest")
     flag = stages.primary_candidate(F.col("gene"), F.col("mrna"), F.col("l_quantity"), F.col("longest"))
     return rows.select(F.col("l_orderkey").alias("k1"), F.col("l_linenumber").alias("k2"), flag.alias("primary_candidate"))
+
+
+_TERMS = "select distinct 'T:' || l_suppkey as term, 'term ' || l_suppkey as name from lineitem where l_suppkey % 3 > 0"
+
+
+def _terms(t: Tables) -> DataFrame:
+    return t.lineitem.where("l_suppkey % 3 > 0").select(F.concat(F.lit("T:"), "l_suppkey").alias("term"), F.concat(F.lit("term "), "l_suppkey").alias("name")).distinct()
+
+
+@query(f"with n as ({_TERMS}) select 'G' || l_partkey as \"DB_Object_ID\", 'T:' || l_suppkey as \"GO_ID\", coalesce(name, 'No record for T:' || l_suppkey) as \"DB_Object_Name\", strftime(l_shipdate, '%Y%m%d') as \"Date\", 'FYPO' as \"Aspect\", 'taxon:4896' as \"Taxon\", l_orderkey || '/' || l_linenumber as \"Reference\" "
+       "from lineitem left join n on term = 'T:' || l_suppkey where l_returnflag <> 'N' and l_linenumber <> 2")
+def phenotype_associations(t: Tables) -> DataFrame:
+    flag = F.col("l_returnflag")
+    condition = F.when(F.col("l_linenumber") != 2, "FYECO:0000001,FYECO:0000005").otherwise("FYECO:0000001")
+    phaf = t.lineitem.select(
+        F.concat(F.lit("G"), "l_partkey").alias("Gene systematic ID"), F.lit("g").alias("Gene symbol"), F.concat(F.lit("T:"), "l_suppkey").alias("FYPO ID"), S.lookup(flag, {"A": "deletion", "R": "disruption", "N": "other"}).alias("Allele type"),
+        condition.alias("Condition"), F.concat_ws("/", "l_orderkey", "l_linenumber").alias("Reference"), F.lit("ev").alias("Evidence"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("Date"), F.lit("DB").alias("#Database name"), F.lit("").alias("Extension"))
+    return ontology.phenotype_gaf(phaf, _terms(t)).select("DB_Object_ID", "GO_ID", "DB_Object_Name", "Date", "Aspect", "Taxon", "Reference")
+
+
+@query(f"with n as ({_TERMS}) select l_orderkey || '/' || l_linenumber as \"Reference\", coalesce(name, 'No record for T:' || l_suppkey) as \"DB_Object_Name\", case when l_linenumber = 1 then '20250901' else strftime(l_shipdate, '%Y%m%d') end as \"Date\", 'Pombase' as \"DB\", 'PomBase' as \"Assigned_By\" from lineitem left join n on term = 'T:' || l_suppkey")
+def disease_associations(t: Tables) -> DataFrame:
+    date = F.when(F.col("l_linenumber") != 1, F.date_format("l_shipdate", "yyyy-MM-dd"))
+    rows = t.lineitem.select(F.lit("G").alias("#gene_systematic_id"), F.lit("g").alias("gene_name"), F.concat(F.lit("T:"), "l_suppkey").alias("mondo_id"), F.concat_ws("/", "l_orderkey", "l_linenumber").alias("reference"), date.alias("date"))
+    return ontology.disease_gaf(rows, _terms(t)).select("Reference", "DB_Object_Name", "Date", "DB", "Assigned_By")
