@@ -236,3 +236,18 @@ def test_recall_on_clustered_and_uniform_vectors(spark, kind):
         s[q] = -np.inf
         hits.append(len(found[q] & set(np.argsort(-s)[:20].tolist())) / 20)
     assert len(found) == 200 and np.mean(hits) >= 0.95
+
+
+def test_toxic_features_of_any_length_and_script():
+    """Capitals as str.isupper counts them at every length; obfuscated words of any length in linear time."""
+    import time
+
+    for text in ("SHOUT now", "ШУМ шум " * 3, "ШУМ шум " * 1000, "ΑΒΓ αβγ Łódź ÇA", "日本 ǅ ǈ", ""):
+        assert toxicity.capitals(text) == sum(map(str.isupper, text))
+    at = toxicity.FEATURES.index("obfuscated")
+    assert toxicity.features("you i.d.i.o.t you", {})[at] == toxicity.features("you i.d.i.o.t you", {"x": 1.0})[at] > 0
+    began = time.perf_counter()
+    for word in ("a" + "1" * 1_000_000, "1" * 1_000_000 + "a", "a." * 500_000, "a" * 1_000_000, "!" * 1_000_000):
+        toxicity.features(word, {})
+    assert time.perf_counter() - began < 10
+    assert toxicity.features("a.b" * 100_000, {})[at] > 0
