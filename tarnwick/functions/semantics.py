@@ -94,3 +94,8 @@ def bucket_floor(c: Column, low: float, step: float, bins: int) -> Column:
     """Histogram bin; the last one includes its upper edge, values outside are null."""
     k = F.floor((c - low) / step).cast("int")
     return F.when(c == low + step * bins, bins - 1).when((k >= 0) & (k < bins), k)
+
+
+def mean_present(a: Column, b: Column) -> Column:
+    """Mean of two values, the one that is there if the other is missing."""
+    return F.coalesce((a + b) / 2, a, b)

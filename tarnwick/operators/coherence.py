@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -177,3 +177,82 @@ def permutation_by_kind(df: DataFrame, backgrounds: dict[str, DataFrame], kind:
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+#: Measures of dispersion that can be set against random sets. Fixed values.
+DISPERSIONS = ("mean_distance_to_centroid", "median_distance_to_centroid", "mean_pairwise_distance", "median_pairwise_distance", "max_pairwise_distance", "mean_knn_distance")
+
+
+def dispersions(p: np.ndarray, k: int = 3) -> np.ndarray:
+    """The six measures of one set of points, of two or more rows, in the order of ``DISPERSIONS``."""
+    away = np.sqrt(((p - weiszfeld(p)) ** 2).sum(axis=1))
+    d = np.sqrt(((p[:, None] - p[None]) ** 2).sum(axis=2))
+    pairs = d[np.triu_indices(len(p), 1)]
+    near = np.sort(d, axis=1)[:, 1 : min(k, len(p) - 1) + 1]
+    return np.array([away.mean(), np.median(away), pairs.mean(), np.median(pairs), pairs.max(), near.mean()])
+
+
+def dispersion_scores(df: DataFrame, background: DataFrame, group: str, key: str, x: str = "x", y: str = "y", times: int = 1000, seed: int = 42, most: int = 20_000) -> DataFrame:
+    """Each of the six measures of each group with z and p against random sets of its size: one row a group.
+
+    One draw serves all measures and all groups of a size; draws are made in parallel over sizes
+    and parts. Cut groups by ``size_window`` first, as a draw lays out its size squared. The
+    background goes to every task, over ``most`` rows raise. z uses the population deviation;
+    lone members and flat nulls give z 0 and p 1.
+    """
+    rows = background.select(key, x, y).orderBy(key).limit(most + 1).toPandas()
+    if len(rows) > most:
+        raise ValueError(f"a background of over {most} rows")
+    cloud = rows[[x, y]].to_numpy(dtype=float)
+    parts = max(1, min(times, 16))
+    kind = df.schema[group].dataType.simpleString()
+    names = ", ".join(f"{m} double" for m in DISPERSIONS)
+
+    def observed(name: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        p = pdf.sort_values([x, y])[[x, y]].to_numpy(dtype=float)
+        return pd.DataFrame([(name[0], len(p), *(dispersions(p) if len(p) > 1 else np.zeros(6)))], columns=[group, "n", *DISPERSIONS])
+
+    def null(pdf: pd.DataFrame) -> pd.DataFrame:
+        n, part = int(pdf["n"].iloc[0]), int(pdf["part"].iloc[0])
+        rng, draws = np.random.default_rng(seed), []
+        for i in range(times if 1 < n <= len(cloud) else 0):
+            chosen = rng.choice(len(cloud), n, replace=False)
+            if i % parts == part:
+                draws.append((n, *dispersions(cloud[chosen])))
+        return pd.DataFrame(draws, columns=["n", *DISPERSIONS])
+
+    found = df.select(group, x, y).groupBy(group).applyInPandas(observed, f"{group} {kind}, n long, {names}")
+    sizes = found.select("n").distinct().select("n", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+    draws = sizes.groupBy("n", "part").applyInPandas(null, f"n long, {names}")
+    against = draws.groupBy("n").agg(*[F.sort_array(F.collect_list(m)).alias(f"{m}_draws") for m in DISPERSIONS])
+    out = found.join(against, "n", "left")
+    columns = []
+
+    def score(m: str) -> list[Column]:
+        d, observed, mean = F.col(f"{m}_draws"), F.col(m), F.col(f"{m}_mean")
+        std = F.sqrt(F.aggregate(d, F.lit(0.0), lambda a, v: a + (v - mean) * (v - mean)) / F.size(d))
+        flat = mean.isNull() | F.coalesce(std < 1e-12, F.lit(True))
+        share = F.size(F.filter(d, lambda v: v <= observed)) / F.size(d)
+        return [F.when(flat, 0.0).otherwise((observed - mean) / std).alias(f"{m}_zscore"), F.when(flat, 1.0).otherwise(share).alias(f"{m}_pvalue")]
+
+    for m in DISPERSIONS:
+        d = F.col(f"{m}_draws")
+        out = out.withColumn(f"{m}_mean", F.when(F.size(d) > 0, F.aggregate(d, F.lit(0.0), lambda a, v: a + v) / F.size(d)))
+        columns += score(m)
+    return out.select(group, "n", *DISPERSIONS, *columns)
+
+
+def flip_contrast(members: DataFrame, centroids: DataFrame, by: list[str], outcome: str = "outcome", x: str = "x", y: str = "y", margin: float = 0.05, least: int = 2) -> DataFrame:
+    """Whether genes whose call flips lie farther from their group's centroid than the others.
+
+    ``centroids`` has ``by``, centroid_x and centroid_y; a group without one has no distances. With
+    under ``least`` distances on a side the difference is missing and the signal says so; a missing
+    outcome is no flip.
+    """
+    away = F.sqrt(F.pow(F.col(x) - F.col("centroid_x"), 2) + F.pow(F.col(y) - F.col("centroid_y"), 2))
+    flip = F.coalesce(F.col(outcome).startswith("flip_"), F.lit(False))
+    rows = members.join(centroids, by, "left").select(*by, F.when(flip, away).alias("a"), F.when(~flip, away).alias("b"))
+    g = rows.groupBy(*by).agg(F.avg("a").alias("flip_mean_distance"), F.avg("b").alias("nonflip_mean_distance"), F.count("a").alias("na"), F.count("b").alias("nb"))
+    delta = F.when((F.col("na") >= least) & (F.col("nb") >= least), F.col("flip_mean_distance") - F.col("nonflip_mean_distance"))
+    signal = F.when(delta.isNull(), "insufficient_data").when(delta > margin, "flip_peripheral").when(delta < -margin, "flip_central").otherwise("no_difference")
+    return g.select(*by, "flip_mean_distance", "nonflip_mean_distance", delta.alias("distance_delta"), signal.alias("enrichment_signal"))

@@ -49,13 +49,20 @@ def slim_direct(closed: DataFrame, slim: DataFrame) -> DataFrame:
     return whole.join(covered, ["term", "slim"], "left_anti")
 
 
+def slim_associations(associations: DataFrame, closed: DataFrame, slim: DataFrame, direct: bool = False) -> DataFrame:
+    """(gene, term) with each term replaced by all its slim ancestors, or by the direct ones only."""
+    mapped = slim_direct(closed, slim) if direct else slim_all(closed, slim)
+    return associations.select("gene", "term").join(mapped, "term").select("gene", F.col("slim").alias("term")).distinct()
+
+
 def enrich(study: DataFrame, background: DataFrame, associations: DataFrame, namespaces: DataFrame, alpha: float = 0.05, significant: bool = True) -> DataFrame:
     """Over-representation of terms per group, all groups and namespaces in one query.
 
     ``study`` is (grp, gene), ``background`` (gene), ``associations`` (gene, term) and
     ``namespaces`` (term, namespace). Fisher's exact test is two-sided, the false discovery rate
     counts all terms of a namespace in the background; ``significant`` keeps those below alpha
-    in which the study has the larger share.
+    in which the study has the larger share. Then terms that a group does not hit, which share
+    their p where they share their count, stand as one row per count with its number of terms.
     """
     genes = background.select("gene").distinct()
     assoc = associations.select("gene", "term").distinct().join(genes, "gene", "left_semi").join(namespaces, "term")
@@ -65,15 +72,61 @@ def enrich(study: DataFrame, background: DataFrame, associations: DataFrame, nam
     pop = assoc.groupBy("namespace", "term").agg(F.count(F.lit(1)).alias("pop_count"))
     hits = assoc.join(members, "gene").groupBy("grp", "namespace", "term").agg(F.count(F.lit(1)).alias("study_count"), F.array_join(F.array_sort(F.collect_list(F.col("gene").cast("string"))), ",").alias("study_items"))
     # Groups and the one-row total are small next to the terms; neither side is a pair of large tables.
-    tested = pop.join(sizes, how="cross").join(total, how="cross").join(hits, ["grp", "namespace", "term"], "left").na.fill({"study_count": 0, "study_items": ""})
+    if significant:
+        hit = hits.join(pop, ["namespace", "term"]).join(sizes, "grp").withColumn("terms", F.lit(1).cast("long"))
+        counts = pop.groupBy("namespace", "pop_count").agg(F.count(F.lit(1)).alias("terms")).join(sizes, how="cross")
+        seen = hit.groupBy("grp", "namespace", "pop_count").agg(F.count(F.lit(1)).alias("seen"))
+        rest = counts.join(seen, ["grp", "namespace", "pop_count"], "left").withColumn("terms", F.col("terms") - F.coalesce("seen", F.lit(0))).drop("seen").where("terms > 0")
+        tested = hit.unionByName(rest.withColumn("study_count", F.lit(0).cast("long")), allowMissingColumns=True).join(total, how="cross")
+    else:
+        tested = pop.join(sizes, how="cross").join(total, how="cross").join(hits, ["grp", "namespace", "term"], "left").na.fill({"study_count": 0, "study_items": ""}).withColumn("terms", F.lit(1).cast("long"))
     tested = tested.withColumn("p_uncorrected", fisher_two_sided("study_count", "study_n", "pop_count", "pop_n"))
     over = F.col("study_count") / F.col("study_n") > F.col("pop_count") / F.col("pop_n")
-    out = benjamini_hochberg(tested, ["grp", "namespace"], "p_uncorrected", ["term"]).withColumn("direction", F.when(over, "e").otherwise("p"))
+    out = benjamini_hochberg(tested, ["grp", "namespace"], "p_uncorrected", ["term", "pop_count"], weight="terms").drop("terms").withColumn("direction", F.when(over, "e").otherwise("p"))
     out = out.withColumn("gene_ratio", F.col("study_count") / F.col("study_n")).withColumn("term_coverage", F.col("study_count") / F.col("pop_count"))
     out = out.withColumn("ratio_in_study", F.concat_ws("/", "study_count", "study_n")).withColumn("ratio_in_pop", F.concat_ws("/", "pop_count", "pop_n"))
     return out.where((F.col("p_fdr") < alpha) & (F.col("direction") == "e")) if significant else out
 
 
+def enrich_full_and_slim(study: DataFrame, background: DataFrame, associations: DataFrame, closed: DataFrame, slim: DataFrame, namespaces: DataFrame, alpha: float = 0.05) -> DataFrame:
+    """Significant terms of all propagated terms (variant full) and of all slim ancestors alone (variant slim)."""
+    full = enrich(study, background, propagate(associations, closed), namespaces, alpha)
+    short = enrich(study, background, slim_associations(associations, closed, slim), namespaces, alpha)
+    return full.withColumn("variant", F.lit("full")).unionByName(short.withColumn("variant", F.lit("slim")))
+
+
+def term_levels(edges: DataFrame, max_depth: int = 64) -> DataFrame:
+    """(term, level, depth): edges of the shortest and of the longest way up to a term without parents.
+
+    Each round holds the different terms that some way of one length reaches.
+    """
+    ensure_checkpoints(edges.sparkSession)
+    edges = edges.select("child", "parent").distinct()
+    frontier = edges.select(F.col("parent").alias("term")).distinct().join(edges.select(F.col("child").alias("term")), "term", "left_anti").checkpoint()
+    found = frontier.withColumn("d", F.lit(0))
+    for d in range(1, max_depth + 2):
+        frontier = edges.join(frontier, edges["parent"] == frontier["term"], "left_semi").select(F.col("child").alias("term")).distinct().checkpoint()
+        if frontier.isEmpty():
+            return found.groupBy("term").agg(F.min("d").alias("level"), F.max("d").alias("depth"))
+        found = found.union(frontier.withColumn("d", F.lit(d)))
+    raise ValueError("the ontology is deeper than max_depth or has a cycle")
+
+
+def enrichment_report(found: DataFrame, background: DataFrame, associations: DataFrame, info: DataFrame) -> DataFrame:
+    """Significant terms with name, level, depth and definition of ``info`` and the background's genes of the term.
+
+    Shares are rounded half-even to two digits. Genes are gathered for the reported terms alone.
+    """
+    terms = found.select("term").distinct()
+    genes = associations.select("gene", "term").distinct().join(background.select("gene").distinct(), "gene", "left_semi").join(terms, "term", "left_semi")
+    items = genes.groupBy("term").agg(F.array_join(F.array_sort(F.collect_list(F.col("gene").cast("string"))), ",").alias("pop_items"))
+    rows = found.join(items, "term", "left").join(info.select("term", "name", "level", "depth", "definition"), "term", "left")
+    extra = [c for c in ("grp", "variant", "background") if c in found.columns]
+    return rows.select(
+        *extra, "namespace", F.col("term").alias("term_id"), F.col("name").alias("term"), "level", "depth", "p_uncorrected", "p_fdr", F.bround("gene_ratio", 2).alias("gene_ratio"), F.bround("term_coverage", 2).alias("term_coverage"),
+        "study_count", "study_n", "pop_count", "pop_n", "ratio_in_study", "ratio_in_pop", "study_items", "pop_items", "definition")
+
+
 def filter_terms(df: DataFrame, max_pop: int, drop_namespace: str = "MF") -> DataFrame:
     return df.where((F.col("pop_count") < max_pop) & (F.col("namespace") != drop_namespace))
 

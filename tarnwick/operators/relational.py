@@ -163,3 +163,57 @@ def bucketed(df: DataFrame, column: str, order: list[str], missing: str = "Not v
     name = F.coalesce(F.col(column), F.lit(missing))
     place = F.array_position(F.array(*[F.lit(x) for x in [missing, *order]]), name)
     return df.withColumn("bucket", name).withColumn("bucket_no", place.cast("int")).where("bucket_no > 0")
+
+
+def spread(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """mean, std, cv and n of the replicates in each group."""
+    mean, std = F.avg(value), F.stddev_samp(value)
+    return df.groupBy(*by).agg(mean.alias("mean"), std.alias("std"), F.try_divide(std, mean).alias("cv"), F.count(F.lit(1)).alias("n"))
+
+
+def copies(df: DataFrame, by: list[str], out: str = "copies") -> DataFrame:
+    """How many rows share all of ``by``; null where one of them is missing."""
+    known = F.lit(True)
+    for c in by:
+        known = known & F.col(c).isNotNull()
+    return df.withColumn(out, F.when(known, F.count(F.lit(1)).over(Window.partitionBy(*by))))
+
+
+def crosstab(df: DataFrame, row: str, column: str, levels: list) -> DataFrame:
+    """Counts of each row label by the levels of another label, 0 where there are none."""
+    return df.groupBy(row).pivot(column, levels).count().na.fill(0)
+
+
+def pivot_mean(df: DataFrame, row: str, column: str, levels: list, value: str) -> DataFrame:
+    """Means of each row label by the levels of another label, 0 where there are none."""
+    return df.groupBy(row).pivot(column, levels).agg(F.avg(value)).na.fill(0.0)
+
+
+def group_summary(df: DataFrame, by: list[str], conditions: dict[str, Column], distinct: dict[str, str], listed: dict[str, str]) -> DataFrame:
+    """Rows, rows that each condition holds for, different values, and sorted lists of different values, per group."""
+    return df.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"), *[F.count_if(F.coalesce(c, F.lit(False))).alias(name) for name, c in conditions.items()],
+        *[F.countDistinct(c).alias(name) for name, c in distinct.items()], *[F.array_join(F.array_sort(F.collect_set(F.col(c).cast("string"))), ",").alias(name) for name, c in listed.items()])
+
+
+def lookup_last(df: DataFrame, table: DataFrame, key: list[str], value: str, order: list[Column]) -> DataFrame:
+    """The table's value for each row's key, of a repeated key the last in the given order; null where it has none."""
+    last = table.groupBy(*key).agg(F.max_by(F.col(value), F.struct(*order)).alias(value))
+    return df.join(last, key, "left")
+
+
+def fitness_table(features: DataFrame, clusters: DataFrame, guides: DataFrame, densities: list[str], top: float = 200.0) -> DataFrame:
+    """All protein features with the fitness of both screens as um_DIT_HAP and um_gRNA, densities capped.
+
+    Both tables are keyed by ``Systematic ID``; the first has the metric DR (or um), the second um
+    (or DR), and a table with neither raises.
+    """
+    from tarnwick.functions.semantics import clip_upper
+
+    out = features
+    for table, names, name in ((clusters, ("DR", "um"), "um_DIT_HAP"), (guides, ("um", "DR"), "um_gRNA")):
+        metric = next((c for c in names if c in table.columns), None)
+        if metric is None:
+            raise KeyError(f"no fitness column among {names}")
+        out = out.join(table.select(F.col("Systematic ID").alias("gene_systematic_id"), F.col(metric).alias(name)), "gene_systematic_id", "left")
+    return out.withColumns({c: clip_upper(F.col(c), top) for c in densities if c in out.columns})

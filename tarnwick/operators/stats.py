@@ -75,6 +75,11 @@ def ols(df: DataFrame, x: str, y: str, by: list[str] | None = None) -> DataFrame
     return sums.select(*(by or []), "slope", "intercept", "r", r2.alias("r2"), stderr.alias("stderr"), "n")
 
 
+def ols_without(df: DataFrame, sample: str, reference: str, x: str, y: str, by: list[str] | None = None) -> DataFrame:
+    """``ols`` of all samples but the reference one; a missing sample name stays in."""
+    return ols(df.where(~F.col(sample).eqNullSafe(F.lit(reference))), x, y, by)
+
+
 def loglog(df: DataFrame, x: str, y: str) -> DataFrame:
     """Fit of log10 y on log10 x over positive finite pairs: r, r2, slope, intercept, rmse, n."""
     ok = df.where((F.col(x) > 0) & (F.col(y) > 0) & (F.col(x) < float("inf")) & (F.col(y) < float("inf"))).select(F.log10(x).alias("a"), F.log10(y).alias("b"))
@@ -115,8 +120,8 @@ def inflection_segment(a: Column, rate: Column, lag: Column) -> tuple[Column, Co
 def kde_grid(points: DataFrame, x: str, y: str, size: int = 60) -> DataFrame:
     """Gaussian density with Scott's bandwidth on a grid over the points' range: (gx, gy, density).
 
-    The grid has ``size`` squared rows, whatever the number of points; each point is expanded
-    only by the grid's rows that one density needs, in a partial aggregation.
+    Every part of the points sums its own grid of ``size`` squared places, so no more than that
+    is shuffled from a part.
     """
     pts = points.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
     s = pts.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"), F.var_samp("x").alias("xx"), F.var_samp("y").alias("yy"), F.covar_samp("x", "y").alias("xy"), F.count(F.lit(1)).alias("n")).first()
@@ -127,31 +132,56 @@ def kde_grid(points: DataFrame, x: str, y: str, size: int = 60) -> DataFrame:
     xx, yy, xy = s["xx"] * h2, s["yy"] * h2, s["xy"] * h2
     det = xx * yy - xy * xy
     gx, gy = (F.lit(s[a + "0"]) + F.col(k) * ((s[a + "1"] - s[a + "0"]) / (size - 1)) for a, k in (("x", "i"), ("y", "j")))
-    grid = F.sequence(F.lit(0), F.lit(size - 1))
-    each = pts.select("x", "y", F.explode(grid).alias("i")).select("x", "y", "i", F.explode(grid).alias("j")).withColumn("gx", gx).withColumn("gy", gy)
-    dx, dy = F.col("gx") - F.col("x"), F.col("gy") - F.col("y")
-    q = (dx * dx * yy - 2 * dx * dy * xy + dy * dy * xx) / det
-    total = F.sum(F.exp(-q / 2)) / (2 * math.pi * math.sqrt(det) * s["n"])
-    return each.groupBy("i", "j").agg(F.first("gx").alias("gx"), F.first("gy").alias("gy"), total.alias("density"))
+    xs = s["x0"] + np.arange(size) * ((s["x1"] - s["x0"]) / (size - 1))
+    ys = s["y0"] + np.arange(size) * ((s["y1"] - s["y0"]) / (size - 1))
+
+    def summed(batches):
+        """One grid per part of the points, whatever their number."""
+        total = np.zeros((size, size))
+        for pdf in batches:
+            for lo in range(0, len(pdf), 256):
+                dx, dy = (g[None, :] - pdf[a].to_numpy()[lo : lo + 256, None] for g, a in ((xs, "x"), (ys, "y")))
+                q = dx[:, :, None] ** 2 * yy - 2 * dx[:, :, None] * dy[:, None, :] * xy + dy[:, None, :] ** 2 * xx
+                total += np.exp(-q / det / 2).sum(axis=0)
+        i, j = np.divmod(np.arange(size * size), size)
+        yield pd.DataFrame({"i": i, "j": j, "part": total.ravel()})
+
+    total = F.sum("part") / (2 * math.pi * math.sqrt(det) * s["n"])
+    return pts.select("x", "y").mapInPandas(summed, "i int, j int, part double").groupBy("i", "j").agg(total.alias("density")).select("i", "j", gx.alias("gx"), gy.alias("gy"), "density")
+
+
+def log_factorial(n: np.ndarray) -> np.ndarray:
+    """ln n! of whole numbers, by a table below 32 and Stirling's series from there on."""
+    small = np.array([math.lgamma(k + 1) for k in range(32)])
+    x = np.maximum(n, 32) + 1.0
+    series = (x - 0.5) * np.log(x) - x + 0.5 * math.log(2 * math.pi) + 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5) - 1 / (1680 * x**7)
+    return np.where(n < 32, small[np.minimum(n, 31)], series)
 
 
 @F.pandas_udf(T.DoubleType())
 def fisher_two_sided(k: pd.Series, n: pd.Series, big_k: pd.Series, big_n: pd.Series) -> pd.Series:
-    """Two-sided Fisher exact p of k hits in n drawn, K hits in N."""
-    top = int(big_n.max()) if len(big_n) else 0
-    lf = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, top + 1)))])
-    out = []
-    for a, b, c, d in zip(k, n, big_k, big_n, strict=True):
-        i = np.arange(max(0, b + c - d), min(b, c) + 1)
-        pmf = np.exp(lf[c] - lf[i] - lf[c - i] + lf[d - c] - lf[b - i] - lf[d - c - b + i] - lf[d] + lf[b] + lf[d - b])
-        out.append(min(1.0, pmf[pmf <= pmf[a - i[0]] * (1 + 1e-7)].sum()))
-    return pd.Series(out, dtype="float64")
-
+    """Two-sided Fisher exact p of k hits in n drawn, K hits in N.
 
-def benjamini_hochberg(df: DataFrame, run: list[str], p: str, tie: list[str], out: str = "p_fdr") -> DataFrame:
-    """Step-up false discovery rate within each run."""
-    rn = F.row_number().over(Window.partitionBy(*run).orderBy(p, *tie))
-    m = F.count(F.lit(1)).over(Window.partitionBy(*run))
+    The distribution is laid out once per (n, K, N), over the counts that it allows.
+    """
+    rows = pd.DataFrame({"k": k, "n": n, "K": big_k, "N": big_n}).astype("int64").reset_index(drop=True)
+    out = np.empty(len(rows))
+    for (b, c, d), part in rows.groupby(["n", "K", "N"], sort=False):
+        i = np.arange(max(0, b + c - d), min(b, c) + 1)
+        logs = log_factorial(np.array([c, d - c, d, b, d - b]))
+        pmf = np.exp(logs[0] + logs[1] - logs[2] + logs[3] + logs[4] - log_factorial(i) - log_factorial(c - i) - log_factorial(b - i) - log_factorial(d - c - b + i))
+        ordered = np.sort(pmf)
+        below = np.concatenate([[0.0], np.cumsum(ordered)])
+        at = pmf[part["k"].to_numpy() - i[0]]
+        out[part.index] = np.minimum(1.0, below[np.searchsorted(ordered, at * (1 + 1e-7), side="right")])
+    return pd.Series(out)
+
+
+def benjamini_hochberg(df: DataFrame, run: list[str], p: str, tie: list[str], out: str = "p_fdr", weight: str | None = None) -> DataFrame:
+    """Step-up false discovery rate within each run; a row may stand for ``weight`` tests of one p."""
+    each = F.col(weight) if weight else F.lit(1)
+    rn = F.sum(each).over(Window.partitionBy(*run).orderBy(p, *tie).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    m = F.sum(each).over(Window.partitionBy(*run))
     ranked = df.withColumn("__rn", rn).withColumn("__q", F.col(p) * m / F.col("__rn"))
     least = F.min("__q").over(Window.partitionBy(*run).orderBy(F.desc("__rn")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return ranked.withColumn(out, F.least(F.lit(1.0), least)).drop("__rn", "__q")

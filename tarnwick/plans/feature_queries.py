@@ -32,21 +32,6 @@ def network_level(t: Tables) -> DataFrame:
     return L.network_level(pairs, t.supplier.where("s_suppkey % 2 = 0").select(F.col("s_suppkey").alias("Gene_id"), F.col("s_nationkey").alias("term")))
 
 
-@query("with o as (select p_partkey as g, case when p_size = 1 then 0 else len(string_split(p_name, ' ')) end as orthologs from part where p_partkey % 3 > 0), p as (select l_partkey as g, count(*) as paralogs from lineitem where l_quantity > 45 group by 1) select coalesce(o.g, p.g) as \"Gene_id\", orthologs, coalesce(paralogs, 0) as paralogs from o full outer join p on o.g = p.g")
-def evolutionary_level(t: Tables) -> DataFrame:
-    o = t.part.where("p_partkey % 3 > 0").select(F.col("p_partkey").alias("Gene_id"), F.when(F.col("p_size") != 1, F.regexp_replace("p_name", " ", "|")).alias("orthologs"))
-    p = t.lineitem.where("l_quantity > 45").select(F.col("l_partkey").alias("Gene_id"), "l_suppkey")
-    return L.evolutionary_level(o, p).select("Gene_id", F.col("orthologs").cast("long").alias("orthologs"), "paralogs")
-
-
-@query("with d as (select l_partkey as g, count(*) as domains from lineitem where l_returnflag = 'A' group by 1), q as (select l_partkey as g, avg(l_quantity) filter (l_linestatus = 'O') as proliferating, avg(l_quantity) filter (l_linestatus = 'F') as quiescent from lineitem group by 1), p as (select p_partkey as g, length(p_name) as len, coalesce(domains, 0) as domains from part left join d on p_partkey = d.g) select coalesce(p.g, q.g) as \"Gene_id\", len, domains, round(proliferating, 6) as proliferating, round(quiescent, 6) as quiescent from p full outer join q on p.g = q.g")
-def protein_level(t: Tables) -> DataFrame:
-    peptides = t.part.select(F.col("p_partkey").alias("Gene_id"), F.length("p_name").cast("long").alias("len"))
-    domains = t.lineitem.where("l_returnflag = 'A'").select(F.col("l_partkey").alias("Gene_id"))
-    quantities = t.lineitem.select(F.col("l_partkey").alias("Gene_id"), F.when(F.col("l_linestatus") == "O", "proliferating").otherwise("quiescent").alias("condition"), F.col("l_quantity").alias("copies"))
-    return L.protein_level(peptides, domains, quantities).select("Gene_id", "len", "domains", six("proliferating").alias("proliferating"), six("quiescent").alias("quiescent"))
-
-
 @query("with m as (select distinct 'order' as kind, cast(o_orderpriority as varchar) as grp, o_custkey as gene from orders union all select 'segment', c_mktsegment, c_custkey from customer), n as (select gene, count(distinct kind || '/' || grp) as groups from m group by 1) select m.*, groups from m join n using (gene)")
 def foundation(t: Tables) -> DataFrame:
     a = t.orders.select(F.lit("order").alias("kind"), F.col("o_orderpriority").alias("grp"), F.col("o_custkey").alias("gene")).distinct()
@@ -115,15 +100,20 @@ def ext_asof_join(t: Tables) -> DataFrame:
     return found.where("event_type = 'purchase'").select("user_id", "event_id", F.col("v.event_id").alias("vid"))
 
 
-@query()
+#: Upper case of these alone, as engines differ on letters that have no single capital.
+_LETTERS = "abcdefghijklmnopqrstuvwxyz"
+_WEIGHED = " + ".join(f"(length(x) - length(replace(x, '{a}', ''))) * {m}" for a, m in Q.MASS.items())
+
+
+@query(f"select doc_id, round({Q.WATER} + {_WEIGHED}, 3) as mass from (select doc_id, translate(text, '{_LETTERS}', upper('{_LETTERS}')) as x from documents)")
 def peptide_masses(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", Q.monoisotopic_mass(F.upper("text")).alias("mass"))
+    return t.documents.select("doc_id", F.round(Q.monoisotopic_mass(F.translate("text", _LETTERS, _LETTERS.upper())), 3).alias("mass"))
 
 
-@query("select c_custkey, c_nationkey, n_name from customer left join nation on c_nationkey = n_nationkey and n_regionkey = 1")
+@query("with l as (select n_regionkey, arg_max(n_name, n_nationkey) as n_name from nation where n_regionkey > 0 group by 1) select s_suppkey, s_nationkey, n_name from supplier left join l on s_nationkey = n_regionkey")
 def left_lookup(t: Tables) -> DataFrame:
-    names = t.nation.where("n_regionkey = 1").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
-    return t.customer.select("c_custkey", "c_nationkey").join(names, "c_nationkey", "left").select("c_custkey", "c_nationkey", "n_name")
+    names = t.nation.where("n_regionkey > 0").select(F.col("n_regionkey").alias("s_nationkey"), "n_name", "n_nationkey")
+    return relational.lookup_last(t.supplier.select("s_suppkey", "s_nationkey"), names, ["s_nationkey"], "n_name", [F.col("n_nationkey")])
 
 
 @query("with a as (select p_partkey as k, p_size + (p_partkey % 5) / 2 as m, (p_partkey % 5) / sqrt(2) as s from part where p_partkey % 2 = 0), b as (select s_suppkey as k, s_acctbal from supplier where s_suppkey % 2 = 0) select coalesce(a.k, b.k) as \"Gene_id\", round(m, 3) as mean, round(s, 3) as std, round(s_acctbal, 3) as half_life from a full outer join b on a.k = b.k")

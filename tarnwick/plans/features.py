@@ -7,10 +7,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tarnwick.functions.semantics import neg_log10
-from tarnwick.functions.sequence import gc_fraction
+from tarnwick.functions.sequence import effective_codons, gc3, gc_fraction, translated
 from tarnwick.operators import relational
 
 
+#: Loci whose first isoform is the primary one whatever its length. Fixed values.
+FIRST_ISOFORM_LOCI = ("SPBC119.04", "SPBC17A3.07", "SPAC212.11", "SPAC2E12.05", "SPAC977.01", "SPMIT.03", "SPMIT.06", "SPMIT.08")
+
+
+def primary_candidate(gene: Column, transcript: Column, length: Column, primary_length: Column) -> Column:
+    """Whether a transcript is the gene's primary one: by the known peptide length, or isoform .1 for some loci."""
+    return F.when(gene.isin(*FIRST_ISOFORM_LOCI), transcript.endswith(".1")).otherwise(length == primary_length)
+
+
 def dna_level(genes: DataFrame, chromosomes: DataFrame) -> DataFrame:
     """Length, GC and distances to the ends and the centromere, absolute and relative.
 
@@ -38,18 +47,94 @@ def replicates(df: DataFrame, key: str, groups: dict[str, list[str]]) -> DataFra
     return df.select(key, *out)
 
 
-def protein_level(peptides: DataFrame, domains: DataFrame, quantities: DataFrame) -> DataFrame:
-    """Peptide measures with domain counts (none: 0) and copies in two conditions."""
-    counts = domains.groupBy("Gene_id").agg(F.count(F.lit(1)).alias("domains"))
-    wide = quantities.groupBy("Gene_id").pivot("condition", ["proliferating", "quiescent"]).agg(F.avg("copies"))
-    return peptides.join(counts, "Gene_id", "left").na.fill({"domains": 0}).join(wide, "Gene_id", "full_outer")
+def dna_record(transcripts: DataFrame, cds: DataFrame, introns: DataFrame, chromosomes: DataFrame, primary: DataFrame) -> DataFrame:
+    """Place, length, base content, introns and peptide length of every transcript: 27 columns.
+
+    ``transcripts`` has Gene_id, mRNA_id, Chromosome, Strand and gene_sequence (the forward strand
+    from behind the first base of the coding region to its end); ``cds`` and ``introns`` have
+    mRNA_id, start, end and sequence, each on the transcript's strand; ``chromosomes`` has
+    Chromosome, length, left, right, centromere_start and centromere_end, few rows; ``primary`` has
+    Gene_id and Primary_peptide_length. Start is where the reading begins, so above End on the
+    reverse strand. The first intron is the one of the least start on both strands. Without
+    introns their measures are 0; a chromosome without landmarks has no distances.
+    """
+    def gathered(parts: DataFrame, name: str) -> DataFrame:
+        return parts.groupBy("mRNA_id").agg(F.sort_array(F.collect_list(F.struct("start", "end", "sequence"))).alias(name))
+
+    def joined(parts: Column) -> Column:
+        return F.array_join(F.transform(parts, lambda x: x["sequence"]), "")
+
+    rows = transcripts.join(gathered(cds, "up"), "mRNA_id").join(gathered(introns, "introns"), "mRNA_id", "left")
+    rows = rows.join(F.broadcast(chromosomes), "Chromosome", "left").join(primary, "Gene_id", "left")
+    forward, first, last = F.col("Strand") == "+", F.element_at("up", 1), F.element_at("up", -1)
+    rows = rows.withColumns({"Start": F.when(forward, first["start"]).otherwise(last["end"]), "End": F.when(forward, last["end"]).otherwise(first["start"])})
+    rows = rows.withColumns({
+        "cds": joined(F.when(forward, F.col("up")).otherwise(F.reverse("up"))), "intron": F.coalesce(joined(F.col("introns")), F.lit("")), "Intron_number": F.coalesce(F.array_size("introns"), F.lit(0)),
+        "middle": F.floor((F.col("Start") + F.col("End")) / 2), "Gene_length": F.abs(F.col("End") - F.col("Start")) + 1})
+    whole, n, middle = F.coalesce(F.length("intron"), F.lit(0)), F.col("Intron_number"), F.col("middle")
+    first_intron = F.coalesce(F.get("introns", F.lit(0))["sequence"], F.lit(""))
+    left, right = F.abs(middle - F.col("left")), F.abs(middle - F.col("right"))
+    to_end = F.when(left.isNotNull() & right.isNotNull(), F.least(left, right))
+    to_centre = F.abs(middle - (F.col("centromere_start") + F.col("centromere_end")) / 2)
+    peptide = F.length(translated(F.col("cds")))
+
+    def gc(c: Column) -> Column:
+        return F.coalesce(F.bround(gc_fraction(c), 3), F.lit(0.0))
+
+    out = rows.select(
+        "Gene_id", "mRNA_id", "Chromosome", "Start", "End", "Strand", to_end.alias("Abs_distance_from_telomere"), F.bround(to_end / F.col("length"), 3).alias("Relative_distance_from_telomere"),
+        to_centre.alias("Abs_distance_from_centromere"), F.bround(to_centre / F.col("length"), 3).alias("Relative_distance_from_centromere"), "Gene_length", gc(F.col("gene_sequence")).alias("GC_content_of_gene"),
+        F.size("up").alias("CDS_number"), gc(F.col("cds")).alias("GC_content_of_CDS"), F.bround(F.length("cds") / F.col("Gene_length"), 3).alias("Fraction_of_CDS"), F.bround(gc3(F.col("cds")) * 100, 3).alias("GC3"),
+        (n > 0).alias("Containing_intron"), "Intron_number", gc(F.col("intron")).alias("GC_content_of_intron"), whole.alias("Total_intron_length"), F.coalesce(F.try_divide(whole.cast("double"), n), F.lit(0.0)).alias("Average_intron_length"),
+        F.length(first_intron).alias("Length_of_first_intron"), gc(first_intron).alias("GC_contents_of_first_intron"), peptide.alias("Peptide_length"), "Primary_peptide_length", "cds")
+    out = out.withColumn("Primary_candidate", primary_candidate(F.col("Gene_id"), F.col("mRNA_id"), F.col("Peptide_length"), F.col("Primary_peptide_length")))
+    enc = effective_codons(out, "mRNA_id", "cds").select("mRNA_id", F.bround("effective_codons", 2).alias("ENC"))
+    return out.drop("cds").join(enc, "mRNA_id", "left")
+
+
+def half_lives(table: DataFrame, meta: DataFrame | None = None, order: str = "row_no") -> DataFrame:
+    """(Gene_id, protein_half_life_minutes) of rows (ids, name, rate, half_life) that have both numbers.
+
+    Ids are parted by semicolons; a row without any takes its name. The first row of a gene stays.
+    """
+    full = table.where("rate is not null and half_life is not null").withColumn("ids", F.coalesce("ids", "name"))
+    each = full.select(order, "half_life", F.posexplode(F.split("ids", ";")).alias("place", "Gene_id"))
+    if meta is not None:
+        each = relational.resolve_ids(each, "Gene_id", meta).drop("Gene_id").withColumnRenamed("resolved", "Gene_id")
+    one = relational.keep_first(each, ["Gene_id"], [F.col(order), F.col("place")])
+    return one.select("Gene_id", F.col("half_life").alias("protein_half_life_minutes"))
+
 
+def protein_level(metadata: DataFrame, peptides: DataFrame, copies: DataFrame, kinetics: DataFrame, confidence: DataFrame, domains: DataFrame, coding: DataFrame, key: str = "Gene_id") -> DataFrame:
+    """Metadata, peptide measures, copies per cell, half-lives, confidence and PFAM domains of coding genes.
 
-def evolutionary_level(orthologs: DataFrame, paralogs: DataFrame) -> DataFrame:
-    """Numbers of orthologs (bar-separated lists, null: none) and of rows of paralogs, repeats included."""
-    o = orthologs.select("Gene_id", F.when(F.col("orthologs").isNull(), 0).otherwise(F.size(F.split("orthologs", "\\|"))).alias("orthologs"))
-    p = paralogs.groupBy("Gene_id").agg(F.count(F.lit(1)).alias("paralogs"))
-    return o.join(p, "Gene_id", "full_outer").na.fill({"paralogs": 0})
+    ``copies`` (key, condition, copies) counts only for genes with a number in both conditions;
+    ``domains`` (key, database) is counted for PFAM and 0 where a gene has none. All tables but the
+    domains are outer-joined.
+    """
+    known = copies.where("copies is not null")
+    growing, resting = (known.where(F.col("condition") == c).select(key, F.col("copies").cast("double").alias(f"copies_per_cell_{name}"))
+                        for c, name in (("proliferating", "EMM_Proliferating_Cell"), ("quiescent", "EMMN_Quiescent_Cell")))
+    pfam = domains.where("database = 'PFAM'").groupBy(key).agg(F.count(F.lit(1)).alias("PFAM_domain_count"))
+    merged = relational.merge_outer([metadata, peptides, growing.join(resting, key), kinetics, confidence], [key])
+    return merged.join(coding.select(key).distinct(), key, "left_semi").join(pfam, key, "left").na.fill({"PFAM_domain_count": 0})
+
+
+def ortholog_counts(table: DataFrame, name: str, key: str = "Gene_id") -> DataFrame:
+    """Orthologs per gene of (gene, orthologs): bars part them, null is none, a note in brackets after the gene goes."""
+    n = F.when(F.col("orthologs").isNull(), 0).otherwise(F.size(F.split("orthologs", "\\|")))
+    return table.select(F.substring_index(key, "(", 1).alias(key), n.alias(name))
+
+
+def evolutionary_level(orthologs: dict[str, DataFrame], paralogs: DataFrame, rates: DataFrame, scores: DataFrame, coding: DataFrame, key: str = "Gene_id") -> DataFrame:
+    """Orthologs in each species, paralogs, rate, conservation and diversity of coding genes, outer-joined.
+
+    Paralogs are rows, repeats included, of a gene with a name; a gene without any has 0.
+    """
+    named = paralogs.where("name is not null").groupBy(key, "name").agg(F.count(F.lit(1)).alias("paralog_count")).drop("name")
+    tables = [ortholog_counts(t, f"{species}_ortholog_count", key) for species, t in orthologs.items()]
+    merged = relational.merge_outer([*tables, named, rates, scores], [key])
+    return merged.join(coding.select(key).distinct(), key, "left_semi").na.fill({"paralog_count": 0})
 
 
 def network_level(interactions: DataFrame, terms: DataFrame) -> DataFrame:

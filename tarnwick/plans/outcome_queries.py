@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tarnwick.functions import semantics as S
 from tarnwick.operators import coherence, ontology, relational
-from tarnwick.plans import outcomes, stages
+from tarnwick.plans import features, outcomes, stages
 from tarnwick.plans.registry import Tables, query
 
 _GENES = """select o_orderkey as gene, case when o_orderkey % 3 = 0 then 'SPAC' || o_orderkey when o_orderkey % 50 = 1 then 'mal1' else 'gen' || o_orderkey end as gene_name,
@@ -100,7 +100,7 @@ def primary_transcripts(t: Tables) -> DataFrame:
     top = t.lineitem.groupBy(F.col("l_orderkey").alias("o")).agg(F.max("l_quantity").alias("longest"))
     known = F.when(F.col("l_partkey") % 4 == 0, "SPBC119.04").otherwise("SPAC1.01")
     rows = t.lineitem.join(top, F.col("l_orderkey") == F.col("o")).select("l_orderkey", "l_linenumber", known.alias("gene"), F.concat(F.lit("m."), "l_linenumber").alias("mrna"), "l_quantity", "longest")
-    flag = stages.primary_candidate(F.col("gene"), F.col("mrna"), F.col("l_quantity"), F.col("longest"))
+    flag = features.primary_candidate(F.col("gene"), F.col("mrna"), F.col("l_quantity"), F.col("longest"))
     return rows.select(F.col("l_orderkey").alias("k1"), F.col("l_linenumber").alias("k2"), flag.alias("primary_candidate"))
 
 

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tarnwick.functions import semantics as S
 from tarnwick.functions import strings as T
+from tarnwick.operators import coherence, ml
 from tarnwick.operators import relational as R
 from tarnwick.plans import stages
 from tarnwick.plans.registry import Tables, query, six
@@ -79,7 +79,8 @@ def domain_stats(t: Tables) -> DataFrame:
 
 @query(f"with i as ({INSERTIONS}) select k1, k2, d_start, d_stop from i where kind = 'Intergenic region' and (d_start < 100 or d_stop < 5)")
 def utr_near(t: Tables) -> DataFrame:
-    return insertions(t).where((F.col("kind") == "Intergenic region") & ((F.col("d_start") < 100) | (F.col("d_stop") < 5))).select("k1", "k2", "d_start", "d_stop")
+    rows = insertions(t).where(stages.near_gene(F.col("kind"), F.col("d_start"), F.col("d_stop"), 100, 5))
+    return rows.select("k1", "k2", "d_start", "d_stop")
 
 
 _UTR = """select l_orderkey as k1, l_linenumber as k2, cast(l_quantity as bigint) * 20 as s, cast(l_tax * 10000 as bigint) as e, case when l_linestatus = 'O' then '+' else '-' end as strand,
@@ -120,15 +121,13 @@ def logs_with_floor(t: Tables) -> DataFrame:
 
 @query("select l_partkey, l_suppkey, round(avg(l_quantity), 6) as mean, round(stddev_samp(l_quantity), 6) as std, round(stddev_samp(l_quantity) / avg(l_quantity), 6) as cv, count(*) as n from lineitem group by 1, 2")
 def replicate_stats(t: Tables) -> DataFrame:
-    q = "l_quantity"
-    return t.lineitem.groupBy("l_partkey", "l_suppkey").agg(six(F.avg(q)).alias("mean"), six(F.stddev_samp(q)).alias("std"), six(F.try_divide(F.stddev_samp(q), F.avg(q))).alias("cv"), F.count(F.lit(1)).alias("n"))
+    return R.spread(t.lineitem, ["l_partkey", "l_suppkey"], "l_quantity").select("l_partkey", "l_suppkey", *[six(c).alias(c) for c in ("mean", "std", "cv")], "n")
 
 
 @query("select l_orderkey, l_linenumber, round(list_avg([case when l_discount > 0.02 then l_discount end, case when l_tax > 0.02 then l_tax end]), 6) as m from lineitem")
 def condition_mean(t: Tables) -> DataFrame:
     a, b = F.when(F.col("l_discount") > 0.02, F.col("l_discount")), F.when(F.col("l_tax") > 0.02, F.col("l_tax"))
-    both = F.coalesce((a + b) / 2, a, b)
-    return t.lineitem.select("l_orderkey", "l_linenumber", six(both).alias("m"))
+    return t.lineitem.select("l_orderkey", "l_linenumber", six(S.mean_present(a, b)).alias("m"))
 
 
 @query("select l.l_orderkey, l.l_linenumber, e.event_id from lineitem l left join (select user_id, event_type, min(event_id) as event_id from events group by 1, 2) e on e.user_id = l.l_orderkey % 1000 and e.event_type = case l.l_returnflag when 'A' then 'click' when 'N' then 'view' else 'purchase' end")
@@ -175,8 +174,7 @@ def override_lookup(t: Tables) -> DataFrame:
 @query("select p_partkey, p_brand, case when p_size % 5 = 0 then null else count(*) over (partition by p_brand, case when p_size % 5 = 0 then null else p_type end) end as copies from part")
 def copy_number(t: Tables) -> DataFrame:
     kind = F.when(F.col("p_size") % 5 != 0, F.col("p_type"))
-    n = F.count(F.lit(1)).over(Window.partitionBy("p_brand", "kind"))
-    return t.part.withColumn("kind", kind).select("p_partkey", "p_brand", F.when(F.col("kind").isNotNull(), n).alias("copies"))
+    return R.copies(t.part.withColumn("kind", kind), ["p_brand", "kind"]).select("p_partkey", "p_brand", "copies")
 
 
 @query("select event_id, nullif(regexp_extract(props, '\"k\": ([0-9]+)', 1), '') as k, regexp_matches(event_type, '^(click|view)') as seen, cast(json_extract(props, '$.k') as integer) as j from events")
@@ -229,7 +227,7 @@ def match_stats(t: Tables) -> DataFrame:
 
 @query("select o_orderstatus, count(*) filter (o_orderpriority = '1-URGENT') as urgent, count(*) filter (o_orderpriority = '2-HIGH') as high from orders group by 1")
 def crosstab(t: Tables) -> DataFrame:
-    wide = t.orders.groupBy("o_orderstatus").pivot("o_orderpriority", ["1-URGENT", "2-HIGH"]).count().na.fill(0)
+    wide = R.crosstab(t.orders, "o_orderstatus", "o_orderpriority", ["1-URGENT", "2-HIGH"])
     return wide.select("o_orderstatus", F.col("1-URGENT").alias("urgent"), F.col("2-HIGH").alias("high"))
 
 
@@ -256,7 +254,7 @@ def missing_report(t: Tables) -> DataFrame:
 @query("select p_brand, coalesce(round(avg(p_retailprice) filter (p_size < 10), 6), 0) as small, coalesce(round(avg(p_retailprice) filter (p_size >= 40), 6), 0) as large from part group by 1")
 def pivot_mean(t: Tables) -> DataFrame:
     size = S.label([(F.col("p_size") < 10, "small"), (F.col("p_size") >= 40, "large")], "other")
-    return t.part.withColumn("size", size).groupBy("p_brand").pivot("size", ["small", "large"]).agg(six(F.avg("p_retailprice"))).na.fill(0.0)
+    return R.pivot_mean(t.part.withColumn("size", size), "p_brand", "size", ["small", "large"], "p_retailprice").select("p_brand", six("small").alias("small"), six("large").alias("large"))
 
 
 @query("select p_name as term, min(p_retailprice) as score from part group by 1 order by 2, 1 limit 20")
@@ -272,23 +270,24 @@ def ragged_matrix(t: Tables) -> DataFrame:
 
 @query("select o_custkey, count(*) as n, count(distinct o_orderpriority) as kinds, count(*) filter (o_orderstatus = 'F') as done, string_agg(distinct o_orderpriority, ',' order by o_orderpriority) as listed from orders group by 1")
 def group_summary(t: Tables) -> DataFrame:
-    return t.orders.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("o_orderpriority").alias("kinds"), F.count_if(F.col("o_orderstatus") == "F").alias("done"), T.sorted_join(F.collect_set("o_orderpriority")).alias("listed"))
+    return R.group_summary(t.orders, ["o_custkey"], {"done": F.col("o_orderstatus") == "F"}, {"kinds": "o_orderpriority"}, {"listed": "o_orderpriority"})
 
 
-@query("with g as (select p_brand, avg(p_retailprice) filter (p_size > 25) as a, avg(p_retailprice) filter (p_size <= 25) as b, count(*) filter (p_size > 25) as n from part group by 1) select p_brand, round(a - b, 6) as contrast, case when n < 2 or a - b is null then 'insufficient' when a - b > 5 then 'up' when a - b < -5 then 'down' else 'flat' end as signal from g")
-def closed_loop(t: Tables) -> DataFrame:
-    big, price = F.col("p_size") > 25, F.col("p_retailprice")
-    g = t.part.groupBy("p_brand").agg(F.avg(F.when(big, price)).alias("a"), F.avg(F.when(~big, price)).alias("b"), F.count_if(big).alias("n"))
-    d = F.col("a") - F.col("b")
-    return g.select("p_brand", six(d).alias("contrast"), S.label([((F.col("n") < 2) | d.isNull(), "insufficient"), (d > 5, "up"), (d < -5, "down")], "flat").alias("signal"))
+@query("with c as (select p_brand, avg(p_size / 50.0) as cx, avg(p_retailprice / 1000) as cy from part where p_brand <> 'Brand#2' group by 1), d as (select p_brand, case when p_size % 4 = 0 then null when p_size % 3 = 0 then true else false end as flip, sqrt((p_size / 50.0 - cx) ** 2 + (p_retailprice / 1000 - cy) ** 2) as d from part left join c using (p_brand)), "
+       "g as (select p_brand, avg(d) filter (flip) as a, avg(d) filter (flip is not true) as b, count(d) filter (flip) as na, count(d) filter (flip is not true) as nb from d group by 1), x as (select *, case when na >= 2 and nb >= 2 then a - b end as delta from g) "
+       "select p_brand, round(a, 6) as flip, round(b, 6) as others, round(delta, 6) as delta, case when delta is null then 'insufficient_data' when delta > 0.05 then 'flip_peripheral' when delta < -0.05 then 'flip_central' else 'no_difference' end as signal from x")
+def flip_contrast(t: Tables) -> DataFrame:
+    x, y = F.col("p_size") / 50.0, F.col("p_retailprice") / 1000
+    outcome = S.label([(F.col("p_size") % 4 == 0, None), (F.col("p_size") % 3 == 0, "flip_V2E")], "concordant_E")
+    centroids = t.part.where("p_brand <> 'Brand#2'").groupBy("p_brand").agg(F.avg(x).alias("centroid_x"), F.avg(y).alias("centroid_y"))
+    g = coherence.flip_contrast(t.part.select("p_brand", outcome.alias("outcome"), x.alias("x"), y.alias("y")), centroids, ["p_brand"])
+    return g.select("p_brand", six("flip_mean_distance").alias("flip"), six("nonflip_mean_distance").alias("others"), six("distance_delta").alias("delta"), F.col("enrichment_signal").alias("signal"))
 
 
 @query("with g as (select p_brand, count(*) filter (p_size > 20 and p_retailprice > 950) as hit, count(*) filter (p_size > 20) as called, count(*) filter (p_retailprice > 950) as truth from part group by 1) select p_brand, round(hit / nullif(called, 0)::double, 6) as precision, round(hit / nullif(truth, 0)::double, 6) as recall, case when hit / nullif(called, 0)::double >= 0.75 then 'good' when hit / nullif(called, 0)::double >= 0.5 then 'fair' else 'poor' end as verdict from g")
 def precision_recall(t: Tables) -> DataFrame:
-    called, truth = F.col("p_size") > 20, F.col("p_retailprice") > 950
-    g = t.part.groupBy("p_brand").agg(F.count_if(called & truth).alias("hit"), F.count_if(called).alias("called"), F.count_if(truth).alias("truth"))
-    p = F.try_divide(F.col("hit").cast("double"), F.col("called"))
-    return g.select("p_brand", six(p).alias("precision"), six(F.try_divide(F.col("hit").cast("double"), F.col("truth"))).alias("recall"), S.label([(p >= 0.75, "good"), (p >= 0.5, "fair")], "poor").alias("verdict"))
+    g = ml.precision_recall(t.part, ["p_brand"], F.col("p_size") > 20, F.col("p_retailprice") > 950)
+    return g.select("p_brand", six("precision").alias("precision"), six("recall").alias("recall"), "verdict")
 
 
 @query("select c_custkey, substr(sha1(c_name || '||' || c_mktsegment), 1, 16) as k, replace(cast(cast('2024-01-02' as date) as varchar), '-', '') as d from customer")

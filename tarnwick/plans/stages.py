@@ -7,7 +7,6 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tarnwick.functions.semantics import clip_upper, differs, flags, insertion_fraction, label, lookup, neg_log10, ratio
 from tarnwick.functions.strings import match_or_null, token
@@ -88,9 +87,14 @@ def parental_gene(df: DataFrame, threshold: int) -> DataFrame:
     return df.withColumns({"UTR_type": kind, "Distance_to_gene": distance, "Direction": direction})
 
 
+def near_gene(kind: Column, to_start: Column, to_end: Column, start: int, end: int) -> Column:
+    """Between genes and nearer than a threshold to either; a missing distance is not near."""
+    return (kind == "Intergenic region") & (F.coalesce(to_start < start, F.lit(False)) | F.coalesce(to_end < end, F.lit(False)))
+
+
 def utr_stage(annotations: DataFrame, fitting: DataFrame, genes: DataFrame, threshold: int = 400) -> DataFrame:
     """Insertions near genes with their curves against the gene's; x/0 stays infinite."""
-    near = annotations.where((F.col("Type") == "Intergenic region") & ((F.col("Distance_to_region_start") < threshold) | (F.col("Distance_to_region_end") < threshold)))
+    near = annotations.where(near_gene(F.col("Type"), F.col("Distance_to_region_start"), F.col("Distance_to_region_end"), threshold, threshold))
     rows = parental_gene(near, threshold).join(fitting, KEY)
     gene = relational.normalize_metrics(genes).select(F.col("Name").alias("Parental_gene"), F.col("A").alias("A_gene"), F.col("DR").alias("DR_gene"))
     rows = rows.withColumnsRenamed({"A": "A_insertion", "DR": "DR_insertion"}).join(gene, "Parental_gene")
@@ -116,8 +120,7 @@ def ncrna_stage(bed: DataFrame, trna: DataFrame, fitting: DataFrame, abundance:
     """Non-coding genes with tRNA names, copy numbers, fits and abundance."""
     rows = bed.join(trna, ["Chrom", "Start", "End"], "left")
     rows = rows.withColumn("Amino_Acid", match_or_null(F.col("GtRNAdb_Name"), "^tRNA-([A-Za-z]+)-")).withColumn("Anticodon", token(F.col("GtRNAdb_Name"), "-", 3))
-    copies = F.count("Systematic_ID").over(Window.partitionBy("Amino_Acid", "Anticodon"))
-    rows = rows.withColumn("copies", F.when(F.col("Amino_Acid").isNotNull() & F.col("Anticodon").isNotNull(), copies))
+    rows = relational.copies(rows, ["Amino_Acid", "Anticodon"])
     return rows.join(fitting, "Systematic_ID", "full_outer").join(abundance, "Systematic_ID", "left")
 
 
@@ -164,15 +167,6 @@ def outlier_review(genes: DataFrame, verified: DataFrame, group: str) -> DataFra
     return relational.bucketed(rows, "result", RESULT_ORDER).withColumn("grp", F.lit(group)).orderBy("bucket_no", dr, "Systematic_ID")
 
 
-#: Loci whose first isoform is the primary one whatever its length. Fixed values.
-FIRST_ISOFORM_LOCI = ("SPBC119.04", "SPBC17A3.07", "SPAC212.11", "SPAC2E12.05", "SPAC977.01", "SPMIT.03", "SPMIT.06", "SPMIT.08")
-
-
-def primary_candidate(gene: Column, transcript: Column, length: Column, primary_length: Column) -> Column:
-    """Whether a transcript is the gene's primary one: by the known peptide length, or isoform .1 for some loci."""
-    return F.when(gene.isin(*FIRST_ISOFORM_LOCI), transcript.endswith(".1")).otherwise(length == primary_length)
-
-
 def comparison_stage(df: DataFrame, densities: list[str], others: list[str], top: float = 200.0) -> DataFrame:
     """All pairwise correlations after capping the densities; thin columns are left out."""
     capped = df.withColumns({c: clip_upper(F.col(c), top) for c in densities if c in df.columns})
@@ -187,13 +181,22 @@ def coherence_stage(members: DataFrame, background: DataFrame, low: int = 3, hig
     return out.withColumn("neg_log10_p", neg_log10(F.col("p"), 1 / times)).orderBy("z", "grp")
 
 
-def enrichment_stage(clusters: DataFrame, associations: DataFrame, namespaces: DataFrame, wt: int = 9, alpha: float = 0.05) -> DataFrame:
-    """All clusters against all genes, and the others than wt against the genes outside it."""
+def enrichment_stage(clusters: DataFrame, associations: DataFrame, namespaces: DataFrame, wt: int = 9, alpha: float = 0.05, closed: DataFrame | None = None, slim: DataFrame | None = None) -> DataFrame:
+    """All clusters against all genes, and the others than wt against the genes outside it.
+
+    With a closed ontology and its slim terms the associations are propagated for the variant
+    full, and the slim ancestors are tested as the variant slim.
+    """
     genes = clusters.select(F.col("Systematic_ID").alias("gene"), "cluster")
     study = genes.where("cluster is not null").select(F.col("cluster").alias("grp"), "gene")
-    whole = ontology.enrich(study, genes, associations, namespaces, alpha).withColumn("background", F.lit("all"))
-    rest = genes.where(F.col("cluster") < wt)
-    part = ontology.enrich(study.where(F.col("grp") < wt), rest, associations, namespaces, alpha).withColumn("background", F.lit("nonWT"))
+
+    def tested(members: DataFrame, background: DataFrame) -> DataFrame:
+        if closed is None or slim is None:
+            return ontology.enrich(members, background, associations, namespaces, alpha)
+        return ontology.enrich_full_and_slim(members, background, associations, closed, slim, namespaces, alpha)
+
+    whole = tested(study, genes).withColumn("background", F.lit("all"))
+    part = tested(study.where(F.col("grp") < wt), genes.where(F.col("cluster") < wt)).withColumn("background", F.lit("nonWT"))
     return whole.unionByName(part).orderBy("grp", "background", "namespace", "term")
 
 

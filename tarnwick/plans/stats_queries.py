@@ -150,7 +150,7 @@ def threshold_splits(t: Tables) -> DataFrame:
 @query("select l_orderkey, l_linenumber, p_size from lineitem left join part on l_partkey = p_partkey and p_size % 2 = 0 where p_size > 15")
 def modeling_table(t: Tables) -> DataFrame:
     genes = t.part.where("p_size % 2 = 0").select(F.col("p_partkey").alias("l_partkey"), "p_size")
-    return t.lineitem.join(genes, "l_partkey", "left").where("p_size > 15").select("l_orderkey", "l_linenumber", "p_size")
+    return ml.with_targets(t.lineitem, genes, "l_partkey", F.col("p_size") > 15).select("l_orderkey", "l_linenumber", "p_size")
 
 
 @query("select round(1 - sum((y - p) * (y - p)) / (var_pop(y) * count(*)), 6) as r2, round(sqrt(avg((y - p) * (y - p))), 4) as rmse, round(avg(abs(y - p)), 4) as mae, round(corr(y, p), 6) as r, count(*) as n from (select l_extendedprice as y, l_quantity * 1000 as p from lineitem)")
