@@ -9,6 +9,17 @@ from tarnwick.operators.stats import benjamini_hochberg, fisher_two_sided
 from tarnwick.session import ensure_checkpoints
 
 
+def different_edges(edges: DataFrame) -> DataFrame:
+    """(child, parent) once each, written, for plans that join them in rounds.
+
+    The least of a group's equal values stands for them: unlike a plain distinct it carries no
+    constraints of the source into the rounds, where the optimiser would multiply them.
+    """
+    ensure_checkpoints(edges.sparkSession)
+    pairs = edges.groupBy(F.col("child").alias("__c"), F.col("parent").alias("__p")).agg(F.min("child").alias("child"), F.min("parent").alias("parent"))
+    return pairs.select("child", "parent").checkpoint()
+
+
 def closure(edges: DataFrame, relations: list[str] | None = None, max_depth: int = 64) -> DataFrame:
     """(term, ancestor) for every term and itself over (child, parent, relation) edges.
 
@@ -17,8 +28,7 @@ def closure(edges: DataFrame, relations: list[str] | None = None, max_depth: int
     """
     if relations and "relation" in edges.columns:
         edges = edges.where(F.col("relation").isin(relations))
-    ensure_checkpoints(edges.sparkSession)
-    edges = edges.select("child", "parent").distinct()
+    edges = different_edges(edges)
     terms = edges.select(F.col("child").alias("term")).union(edges.select("parent")).distinct()
     known = frontier = terms.select("term", F.col("term").alias("ancestor")).checkpoint()
     for _ in range(max_depth):
@@ -100,8 +110,7 @@ def term_levels(edges: DataFrame, max_depth: int = 64) -> DataFrame:
 
     Each round holds the different terms that some way of one length reaches.
     """
-    ensure_checkpoints(edges.sparkSession)
-    edges = edges.select("child", "parent").distinct()
+    edges = different_edges(edges)
     frontier = edges.select(F.col("parent").alias("term")).distinct().join(edges.select(F.col("child").alias("term")), "term", "left_anti").checkpoint()
     found = frontier.withColumn("d", F.lit(0))
     for d in range(1, max_depth + 2):
