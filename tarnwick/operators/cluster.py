@@ -60,12 +60,33 @@ def ch_db(df: DataFrame, by: str, x: str = "x", y: str = "y") -> DataFrame:
     return ch.join(worst.agg(F.avg("r").alias("davies_bouldin")), how="cross")
 
 
-def silhouette(df: DataFrame, key: str, by: str, x: str = "x", y: str = "y") -> DataFrame:
-    """Mean silhouette of Euclidean distances (quadratic in the rows, as its definition is)."""
-    o = df.select(F.col(key).alias("ok"), F.col(by).alias("ob"), F.col(x).alias("ox"), F.col(y).alias("oy"))
-    d = F.sqrt(F.pow(F.col(x) - F.col("ox"), 2) + F.pow(F.col(y) - F.col("oy"), 2))
-    mean = df.join(o, F.col(key) != F.col("ok")).groupBy(key, by, "ob").agg(F.avg(d).alias("d"))
-    ab = mean.groupBy(key).agg(F.min(F.when(F.col(by) == F.col("ob"), F.col("d"))).alias("a"), F.min(F.when(F.col(by) != F.col("ob"), F.col("d"))).alias("b"))
+def silhouette(df: DataFrame, key: str, by: str, x: str = "x", y: str = "y", block: int = 2048) -> DataFrame:
+    """Mean silhouette of Euclidean distances (quadratic in the rows, as its definition is).
+
+    Points are dealt to blocks of about ``block``; a task takes two blocks at a time and gives one
+    sum per point of the first and label of the second, so distances are never rows of a plan. Keys
+    are unique; a point alone in its label has 0.
+    """
+    kinds = {c: df.schema[c].dataType.simpleString() for c in (key, by)}
+    n_blocks = max(1, -(-df.count() // block))
+    dealt = df.where(F.col(by).isNotNull()).select(F.col(key).alias("k"), F.col(by).alias("l"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), F.pmod(F.xxhash64(key), F.lit(n_blocks)).alias("b"))
+    packed = dealt.groupBy("b").agg(F.collect_list(F.struct("k", "l", "x", "y")).alias("p"))
+    ours = packed.select("p", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))).alias("o"))
+    pairs = ours.join(packed.select(F.col("b").alias("o"), F.col("p").alias("q")), "o").select("p", "q")
+
+    def sums(batches):
+        for pdf in batches:
+            for p, q in zip(pdf["p"], pdf["q"], strict=True):
+                mine, other = pd.DataFrame.from_records(list(p)), pd.DataFrame.from_records(list(q))
+                labels, at = np.unique(other["l"].to_numpy(), return_inverse=True)
+                d = np.hypot(mine["x"].to_numpy()[:, None] - other["x"].to_numpy()[None], mine["y"].to_numpy()[:, None] - other["y"].to_numpy()[None])
+                order = np.argsort(at, kind="stable")
+                per = np.add.reduceat(d[:, order], np.searchsorted(at[order], np.arange(len(labels))), axis=1)
+                yield pd.DataFrame({"k": np.repeat(mine["k"].to_numpy(), len(labels)), "l": np.repeat(mine["l"].to_numpy(), len(labels)), "ol": np.tile(labels, len(mine)), "s": per.ravel(), "n": np.tile(np.bincount(at), len(mine))})
+
+    found = pairs.mapInPandas(sums, f"k {kinds[key]}, l {kinds[by]}, ol {kinds[by]}, s double, n long").groupBy("k", "l", "ol").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    own = F.col("l") == F.col("ol")
+    ab = found.groupBy("k").agg(F.min(F.when(own, F.try_divide("s", F.col("n") - 1))).alias("a"), F.min(F.when(~own, F.col("s") / F.col("n"))).alias("b"))
     s = F.when(F.col("a").isNull(), 0.0).otherwise(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")))
     return ab.agg(F.avg(s).alias("silhouette"))
 
