@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnwick.llm import langid, licenses, mixing, packing, quality_model, quality_rules, sharding, simhash, toxicity, vptree
+from tarnwick.llm import block_topk, hard_negatives, langid, licenses, mixing, packing, quality_model, quality_rules, sharding, simhash, toxicity, treaps, vptree
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -60,9 +60,24 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.fit_languages(docs))
 
 
+def op11_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return block_topk.exact_top_k(_read(spark, sf_dir, "embeddings"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return treaps.ranked_search(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(_read(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_packing, op3_sharding, op4_quality_rules, op5_mixing, op6_toxicity, op7_nearest, op8_licenses, op9_quality_model, op10_language)}
+    return {f.__name__: f for f in (op1_simhash, op2_packing, op3_sharding, op4_quality_rules, op5_mixing, op6_toxicity, op7_nearest, op8_licenses, op9_quality_model, op10_language, op11_exact_top_k, op12_ranked_search, op13_hard_negatives)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_licenses": licenses.scan_sql()}
+    return {
+        "op8_licenses": licenses.scan_sql(), "op11_exact_top_k": block_topk.top_k_sql(),
+        "op12_ranked_search": treaps.ranked_search_sql(), "op13_hard_negatives": hard_negatives.hard_negatives_sql(),
+    }
