@@ -186,7 +186,7 @@ class Treaps:
         return *best, floor, scored
 
 
-def ranked_search(docs: DataFrame, items: DataFrame, k: int = 50, shard_postings: int = 1_000_000, item_rows: int = 256, known_bytes: int = 64 << 20,
+def ranked_search(docs: DataFrame, items: DataFrame, k: int = 50, shard_postings: int = 200_000, item_rows: int = 256, known_bytes: int = 64 << 20,
                   id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """The ``k`` documents with the highest scores above 0 for each item; exact.
 
