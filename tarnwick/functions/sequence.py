@@ -43,6 +43,18 @@ def gc_fraction(c: Column) -> Column:
     return F.try_divide(count_of(c, "GCgc").cast("double"), F.length(c))
 
 
+def gc_counts(c: Column) -> tuple[Column, Column]:
+    """Letters that are G or C, and letters that are known to be or not to be; unknown ones are in neither."""
+    gc = count_of(c, "GCSgcs")
+    return gc, gc + count_of(c, "ATUWatuw")
+
+
+def gc_known(c: Column) -> Column:
+    """Share of G and C among the letters of which it is known; 0 without any."""
+    gc, known = gc_counts(c)
+    return F.coalesce(F.try_divide(gc.cast("double"), known), F.lit(0.0))
+
+
 def every_third(c: Column, first: int = 3) -> Column:
     """Letters first, first+3, ... as a string."""
     places = F.sequence(F.lit(first), F.greatest(F.length(c), F.lit(first)), F.lit(3))
@@ -64,9 +76,14 @@ def reverse_complement(c: Column) -> Column:
     return F.reverse(F.translate(c, "ACGTacgt", "TGCAtgca"))
 
 
+def other_strand(c: Column) -> Column:
+    """The reverse complement, with the letters that stand for several bases."""
+    return F.reverse(F.translate(c, "ACGTRYKMBDHVacgtrykmbdhv", "TGCAYRMKVHDBtgcayrmkvhdb"))
+
+
 def translated(c: Column) -> Column:
-    """Peptide up to the first stop; an unknown codon gives X."""
-    table = F.create_map(*[F.lit(x) for pair in CODONS.items() for x in pair])
+    """Peptide up to the first stop; an unknown codon gives X, one whose readings all are stops is a stop."""
+    table = F.create_map(*[F.lit(x) for pair in (CODONS | {"TAR": "*", "TRA": "*"}).items() for x in pair])
     letters = F.transform(codons(F.upper(c)), lambda k: F.coalesce(F.try_element_at(table, k), F.lit("X")))
     return F.substring_index(F.array_join(letters, ""), "*", 1)
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tarnwick.functions.semantics import clip_upper, digitize
+from tarnwick.operators.agglomerate import agglomerate
 
 
 def scale_points(df: DataFrame, cap: float = 1.3, divisor: float = 10.0) -> DataFrame:
@@ -18,6 +19,11 @@ def scale_points(df: DataFrame, cap: float = 1.3, divisor: float = 10.0) -> Data
     return df.na.drop(subset=["DR", "DL"]).withColumn("x", clip_upper(F.col("DR"), cap)).withColumn("y", F.col("DL") / divisor)
 
 
+def normalize_points(df: DataFrame, dr_max: float = 1.0, dl_max: float = 10.0) -> DataFrame:
+    """DR and DL as shares of fixed bounds, not clipped: x and y are missing where they are."""
+    return df.withColumn("x", F.col("DR") / dr_max).withColumn("y", F.col("DL") / dl_max)
+
+
 def grid_cells(df: DataFrame, x_cuts: list[float], y_cuts: list[float], x: str = "DR", y: str = "DL") -> DataFrame:
     cell = digitize(F.col(x), x_cuts) * (len(y_cuts) + 1) + digitize(F.col(y), y_cuts)
     return df.withColumn("raw", cell)
@@ -94,7 +100,11 @@ def silhouette(df: DataFrame, key: str, by: str, x: str = "x", y: str = "y", blo
 def kmeans(df: DataFrame, k: int, x: str = "x", y: str = "y", seed: int = 42, tries: int = 10) -> DataFrame:
     """Labels of the best of ``tries`` seeded runs."""
     rows = VectorAssembler(inputCols=[x, y], outputCol="__v").transform(df)
-    models = [KMeans(k=k, seed=seed + i, featuresCol="__v", predictionCol="raw").fit(rows) for i in range(tries)]
+    held = rows.select("__v").persist()
+    try:
+        models = [KMeans(k=k, seed=seed + i, featuresCol="__v", predictionCol="raw").fit(held) for i in range(tries)]
+    finally:
+        held.unpersist()
     return min(models, key=lambda m: m.summary.trainingCost).transform(rows).drop("__v")
 
 
@@ -126,17 +136,9 @@ def merge_tree(points: np.ndarray, k: int, linkage: str) -> np.ndarray:
     return np.unique(label, return_inverse=True)[1]
 
 
-def hierarchical(df: DataFrame, key: str, k: int, linkage: str = "ward", x: str = "x", y: str = "y", most: int = 6000) -> DataFrame:
-    """(key, raw) of one agglomerative tree; it needs all distances at once, so ``most`` rows at most."""
-    if (n := df.count()) > most:
-        raise ValueError(f"{n} rows; a merge tree holds all distances of at most {most}")
-    kind = df.schema[key].dataType.simpleString()
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(key)
-        return pd.DataFrame({key: pdf[key], "raw": merge_tree(pdf[[x, y]].to_numpy(dtype=float), k, linkage).astype("int32")})
-
-    return df.select(key, x, y, F.lit(0).alias("__g")).groupBy("__g").applyInPandas(run, f"{key} {kind}, raw int")
+def hierarchical(df: DataFrame, key: str, k: int, linkage: str = "ward", x: str = "x", y: str = "y") -> DataFrame:
+    """(key, raw) of ``k`` clusters of one merge tree over all rows: ward (L2) or complete (L1)."""
+    return agglomerate(df, key, k, linkage, x, y)
 
 
 def auto_merge(df: DataFrame, raw: str, k: int) -> DataFrame:
@@ -149,6 +151,17 @@ def auto_merge(df: DataFrame, raw: str, k: int) -> DataFrame:
     return df.join(F.broadcast(table), raw, "left")
 
 
+def finalize_auto_merge(df: DataFrame, raw: str, k: int = 9, wt: int = 9, x: str = "x", y: str = "y") -> DataFrame:
+    """Raw clusters merged to ``k`` by their centroids in (x, y), then numbered by mean DR with ``wt`` the last: column cluster.
+
+    Rows without a raw label keep none; fewer raw clusters than ``k`` raise. The raw label stays.
+    """
+    labelled = df.where(F.col(raw).isNotNull())
+    merged = auto_merge(labelled.withColumnsRenamed({x: "x", y: "y"}) if (x, y) != ("x", "y") else labelled, raw, k)
+    numbers = renumber(merged, "merged", groups=k, wt=wt).select(raw, "cluster").distinct()
+    return df.join(numbers, raw, "left")
+
+
 def k_sweep(df: DataFrame, key: str, ks: range, tries: int = 10) -> DataFrame:
     """inertia, silhouette, Calinski-Harabasz and Davies-Bouldin for every k."""
     parts = []

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tarnwick.operators.nearest import nearest_distances
+from tarnwick.operators.pairs import pair_stats
+from tarnwick.session import ensure_checkpoints
+
 
 def size_window(df: DataFrame, group: str, low: int, high: int) -> DataFrame:
     """Rows of groups with ``low`` to ``high`` members."""
@@ -18,21 +25,17 @@ def size_window(df: DataFrame, group: str, low: int, high: int) -> DataFrame:
 def pairwise(df: DataFrame, group: str, key: str, x: str = "x", y: str = "y") -> DataFrame:
     """Mean, median, max and spread of the distances within each group.
 
-    Groups are meant to be cut by ``size_window`` first: a group's pairs are its size squared.
+    A group's pairs are its size squared, so groups are meant to be cut by ``size_window`` first;
+    larger ones are met block by block.
     """
-    o = df.select(F.col(group).alias("og"), F.col(key).alias("ok"), F.col(x).alias("ox"), F.col(y).alias("oy"))
-    d = F.sqrt(F.pow(F.col(x) - F.col("ox"), 2) + F.pow(F.col(y) - F.col("oy"), 2))
-    pairs = df.join(o, (F.col(group) == F.col("og")) & (F.col(key) < F.col("ok"))).select(group, d.alias("d"))
-    return pairs.groupBy(group).agg(F.avg("d").alias("mean"), F.percentile("d", 0.5).alias("median"), F.max("d").alias("max"), F.stddev_pop("d").alias("std"), F.count("d").alias("pairs"))
+    return pair_stats(df, group, key, x, y)
 
 
 def knn_mean(df: DataFrame, group: str, key: str, k: int = 3, x: str = "x", y: str = "y") -> DataFrame:
     """Mean distance to the k nearest members (all others, if fewer); 0 for a lone member."""
-    o = df.select(F.col(group).alias("og"), F.col(key).alias("ok"), F.col(x).alias("ox"), F.col(y).alias("oy"))
-    d = F.sqrt(F.pow(F.col(x) - F.col("ox"), 2) + F.pow(F.col(y) - F.col("oy"), 2))
-    pairs = df.join(o, (F.col(group) == F.col("og")) & (F.col(key) != F.col("ok"))).select(group, key, "ok", d.alias("d"))
-    near = pairs.withColumn("r", F.row_number().over(Window.partitionBy(group, key).orderBy("d", "ok"))).where(F.col("r") <= k)
-    found = near.groupBy(group).agg(F.avg("d").alias("knn"))
+    near = nearest_distances(df, group, k, x, y)
+    total = F.aggregate("near", F.lit(0.0), lambda a, d: a + d)
+    found = near.groupBy(group).agg(F.try_divide(F.sum(F.col("times") * total), F.sum(F.col("times") * F.size("near"))).alias("knn"))
     return df.select(group).distinct().join(found, group, "left").na.fill({"knn": 0.0})
 
 
@@ -61,49 +64,96 @@ def geometric_median(df: DataFrame, group: str, x: str = "x", y: str = "y") -> D
     return df.select(group, x, y).groupBy(group).applyInPandas(run, f"{group} {kind}, centroid_x double, centroid_y double, mean_distance double, median_distance double, max_distance double, covered long")
 
 
-def mean_pairwise(p: np.ndarray, block: int = 64) -> float:
-    """Mean distance of all pairs, from blocks of ``block`` rows against the rows from theirs on."""
-    n, total = len(p), 0.0
-    x, y = (np.ascontiguousarray(p[:, k]) for k in (0, 1))
-    for lo in range(0, n, block):
-        hi = min(n, lo + block)
-        dx, dy = x[lo:hi, None] - x[None, lo:], y[lo:hi, None] - y[None, lo:]
+def mean_pairwise(p: np.ndarray, block: int = 256) -> float:
+    """Mean distance of all pairs; 0 for fewer than two points."""
+    return float(prefix_means(p, np.array([len(p)]), block)[0]) if len(p) > 1 else 0.0
+
+
+def prefix_means(p: np.ndarray, sizes: np.ndarray, block: int = 256) -> np.ndarray:
+    """Mean distance of all pairs among the first n rows, for every n in ``sizes``.
+
+    The sum of the pairs grows by one row at a time: by its distances to the rows before it.
+    """
+    x, y = (np.ascontiguousarray(p[:, c]) for c in (0, 1))
+    added = np.empty(len(p))
+    for lo in range(0, len(p), block):
+        hi = min(len(p), lo + block)
+        dx, dy = x[lo:hi, None] - x[None, :hi], y[lo:hi, None] - y[None, :hi]
         np.multiply(dx, dx, out=dx)
         np.multiply(dy, dy, out=dy)
         d = np.sqrt(np.add(dx, dy, out=dx), out=dx)
-        total += d[:, : hi - lo].sum() / 2 + d[:, hi - lo :].sum()
-    return float(total / (n * (n - 1) / 2)) if n > 1 else 0.0
+        added[lo:hi] = d[:, :lo].sum(axis=1) + np.tril(d[:, lo:], -1).sum(axis=1)
+    return np.cumsum(added)[sizes - 1] / (sizes * (sizes - 1) / 2)
+
 
+def random_prefixes(background: DataFrame, key: str, sizes: list[int], measure: Callable[[np.ndarray, np.ndarray], np.ndarray], names: tuple[str, ...], x: str, y: str, times: int, seed: int, most: int) -> DataFrame:
+    """(n, draw, *names): ``measure(points, sizes)`` of ``times`` random orders of the background.
 
-def permutation_test(df: DataFrame, background: DataFrame, group: str, key: str, x: str = "x", y: str = "y", times: int = 1000, seed: int = 42, most: int = 20_000) -> DataFrame:
+    One order serves all sizes: a random set of n rows is its first n. A draw takes as many rows as
+    the largest size has, by index, from its own seed, so draws are alike however they are dealt
+    to tasks. A background of up to ``most`` rows goes to every task, two doubles a row; of a
+    larger one the drawn rows come by a join. Sizes under 2 or above the background have no draws.
+    """
+    spark = background.sparkSession
+    names_schema = ", ".join(["n long", "draw long", *(f"{c} double" for c in names)])
+    rows = background.select(F.col(key).alias("key"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).where("x is not null and y is not null")
+    total = rows.count()
+    fit = np.array(sorted(n for n in sizes if 1 < n <= total), dtype=np.int64)
+    if not len(fit):
+        return spark.createDataFrame([], names_schema)
+    largest = int(fit[-1])
+
+    def picked(draw: int) -> np.ndarray:
+        return np.random.default_rng([seed, draw]).choice(total, largest, replace=False)
+
+    def laid(draw: int, points: np.ndarray) -> pa.Table:
+        found = measure(points, fit).reshape(len(fit), len(names))
+        return pa.table({"n": fit, "draw": np.full(len(fit), draw), **{c: found[:, i] for i, c in enumerate(names)}})
+
+    draws = spark.range(times).withColumnRenamed("id", "draw").repartition(min(times, 4 * spark.sparkContext.defaultParallelism))
+    if total <= most:
+        cloud = rows.orderBy("key", "x", "y").select("x", "y").toArrow()
+        cloud = spark.sparkContext.broadcast(np.c_[cloud.column("x").to_numpy(), cloud.column("y").to_numpy()])
+
+        def from_all(batches):
+            for batch in batches:
+                for draw in batch.column("draw").to_pylist():
+                    yield from laid(draw, cloud.value[picked(draw)]).to_batches()
+
+        return draws.mapInArrow(from_all, names_schema)
+
+    # Dense numbers in the order of the key: rows number themselves within ranges of the key.
+    ensure_checkpoints(spark)
+    ranged = rows.repartitionByRange("key", "x", "y").withColumn("p", F.spark_partition_id()).checkpoint()
+    before = ranged.groupBy("p").agg(F.count(F.lit(1)).alias("c")).withColumn("base", F.coalesce(F.sum("c").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    place = F.row_number().over(Window.partitionBy("p").orderBy("key", "x", "y")) - 1
+    numbered = ranged.withColumn("at", place).join(before, "p").select((F.col("at") + F.col("base")).alias("i"), "x", "y")
+
+    def indexes(batches):
+        for batch in batches:
+            for draw in batch.column("draw").to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(largest, draw)), pa.array(np.arange(largest)), pa.array(picked(draw))], ["draw", "place", "i"])
+
+    def from_joined(t: pa.Table) -> pa.Table:
+        t = t.sort_by("place")
+        return laid(t.column("draw")[0].as_py(), np.c_[t.column("x").to_numpy(), t.column("y").to_numpy()])
+
+    return draws.mapInArrow(indexes, "draw long, place long, i long").join(numbered, "i").groupBy("draw").applyInArrow(from_joined, names_schema)
+
+
+def permutation_test(df: DataFrame, background: DataFrame, group: str, key: str, x: str = "x", y: str = "y", times: int = 1000, seed: int = 42, most: int = 2_000_000) -> DataFrame:
     """z and p of each group's mean pairwise distance against random sets of its size.
 
-    The null distribution is drawn once per distinct size, in parallel over sizes and over parts of
-    the draws; every part replays the same random numbers, so parts do not change it. The background
-    in the order of its key goes to every task; over ``most`` rows raise, as its size is the bound
-    of that broadcast. z uses the population deviation; a lone member or a flat null gives (0, 1).
+    Every draw is one random order of the background that serves all sizes (``random_prefixes``),
+    and its sums of pairs grow row by row: its work is the square of the largest group and its
+    memory that group. z uses the population deviation; a lone member or a flat null gives (0, 1).
     """
-    rows = background.select(key, x, y).orderBy(key).limit(most + 1).toPandas()
-    if len(rows) > most:
-        raise ValueError(f"a background of over {most} rows")
-    cloud = rows[[x, y]].to_numpy(dtype=float)
-    sized = df.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(group)))
-    parts = max(1, min(times, 16))
-    sizes = sized.select("n").distinct().select("n", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
-
-    def null(pdf: pd.DataFrame) -> pd.DataFrame:
-        n, part = int(pdf["n"].iloc[0]), int(pdf["part"].iloc[0])
-        rng, draws = np.random.default_rng(seed), []
-        for k in range(times if 1 < n <= len(cloud) else 0):
-            chosen = rng.choice(len(cloud), n, replace=False)
-            if k % parts == part:
-                draws.append(mean_pairwise(cloud[chosen]))
-        return pd.DataFrame({"n": [n], "draws": [draws]})
-
-    nulls = sizes.groupBy("n", "part").applyInPandas(null, "n long, draws array<double>")
-    nulls = nulls.groupBy("n").agg(F.flatten(F.sort_array(F.collect_list("draws"))).alias("draws"))
-    observed = pairwise(df, group, key, x, y).select(group, F.col("mean").alias("observed"))
-    out = sized.select(group, "n").distinct().join(observed, group, "left").join(nulls, "n")
+    sized = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
+    sizes = [r.n for r in sized.select("n").distinct().collect()]
+    drawn = random_prefixes(background, key, sizes, prefix_means, ("value",), x, y, times, seed, most)
+    nulls = drawn.groupBy("n").agg(F.sort_array(F.collect_list("value")).alias("draws"))
+    observed = pair_stats(df, group, key, x, y, median=False).select(group, F.col("mean").alias("observed"))
+    out = sized.join(observed, group, "left").join(nulls, "n", "left")
     mean = F.expr("aggregate(draws, 0D, (a, d) -> a + d) / size(draws)")
     std = F.expr("sqrt(aggregate(draws, 0D, (a, d) -> a + (d - m) * (d - m)) / size(draws))")
     out = out.withColumn("m", F.when(F.size("draws") > 0, mean)).withColumn("s", F.when(F.size("draws") > 0, std))
@@ -185,26 +235,42 @@ DISPERSIONS = ("mean_distance_to_centroid", "median_distance_to_centroid", "mean
 
 def dispersions(p: np.ndarray, k: int = 3) -> np.ndarray:
     """The six measures of one set of points, of two or more rows, in the order of ``DISPERSIONS``."""
-    away = np.sqrt(((p - weiszfeld(p)) ** 2).sum(axis=1))
+    return prefix_dispersions(p, np.array([len(p)]), k)[0]
+
+
+def prefix_dispersions(p: np.ndarray, sizes: np.ndarray, k: int = 3) -> np.ndarray:
+    """The six measures of the first n rows for every n in ``sizes``, ascending.
+
+    Distances are laid out once; the least ones of each row and the sorted distances of all pairs
+    are kept from one size to the next and only what the new rows bring is merged in.
+    """
     d = np.sqrt(((p[:, None] - p[None]) ** 2).sum(axis=2))
-    pairs = d[np.triu_indices(len(p), 1)]
-    near = np.sort(d, axis=1)[:, 1 : min(k, len(p) - 1) + 1]
-    return np.array([away.mean(), np.median(away), pairs.mean(), np.median(pairs), pairs.max(), near.mean()])
+    out, pairs, before = np.empty((len(sizes), 6)), np.zeros(0), 0
+    near = np.full((len(p), k), np.inf)
+    for row, n in enumerate(sizes.tolist()):
+        fresh = d[before:n, :n]
+        new = np.sort(fresh[np.arange(n)[None, :] < np.arange(before, n)[:, None]])
+        pairs = np.insert(pairs, np.searchsorted(pairs, new), new)
+        # Rows from before meet the new ones, new rows meet all.
+        if before:
+            near[:before] = np.sort(np.concatenate([near[:before], d[:before, before:n]], axis=1), axis=1)[:, :k]
+        own = fresh.copy()
+        own[np.arange(n - before), np.arange(before, n)] = np.inf
+        least = np.sort(own, axis=1)[:, :k]
+        near[before:n, : least.shape[1]] = least
+        away = np.sqrt(((p[:n] - weiszfeld(p[:n])) ** 2).sum(axis=1))
+        out[row] = away.mean(), np.median(away), pairs.mean(), np.median(pairs), pairs[-1], near[:n, : min(k, n - 1)].mean()
+        before = n
+    return out
 
 
-def dispersion_scores(df: DataFrame, background: DataFrame, group: str, key: str, x: str = "x", y: str = "y", times: int = 1000, seed: int = 42, most: int = 20_000) -> DataFrame:
+def dispersion_scores(df: DataFrame, background: DataFrame, group: str, key: str, x: str = "x", y: str = "y", times: int = 1000, seed: int = 42, most: int = 2_000_000) -> DataFrame:
     """Each of the six measures of each group with z and p against random sets of its size: one row a group.
 
-    One draw serves all measures and all groups of a size; draws are made in parallel over sizes
-    and parts. Cut groups by ``size_window`` first, as a draw lays out its size squared. The
-    background goes to every task, over ``most`` rows raise. z uses the population deviation;
-    lone members and flat nulls give z 0 and p 1.
+    One random order of the background serves all measures and all sizes (``random_prefixes``).
+    Cut groups by ``size_window`` first, as the measures lay out a group's size squared. z uses the
+    population deviation; lone members and flat nulls give z 0 and p 1.
     """
-    rows = background.select(key, x, y).orderBy(key).limit(most + 1).toPandas()
-    if len(rows) > most:
-        raise ValueError(f"a background of over {most} rows")
-    cloud = rows[[x, y]].to_numpy(dtype=float)
-    parts = max(1, min(times, 16))
     kind = df.schema[group].dataType.simpleString()
     names = ", ".join(f"{m} double" for m in DISPERSIONS)
 
@@ -212,18 +278,9 @@ def dispersion_scores(df: DataFrame, background: DataFrame, group: str, key: str
         p = pdf.sort_values([x, y])[[x, y]].to_numpy(dtype=float)
         return pd.DataFrame([(name[0], len(p), *(dispersions(p) if len(p) > 1 else np.zeros(6)))], columns=[group, "n", *DISPERSIONS])
 
-    def null(pdf: pd.DataFrame) -> pd.DataFrame:
-        n, part = int(pdf["n"].iloc[0]), int(pdf["part"].iloc[0])
-        rng, draws = np.random.default_rng(seed), []
-        for i in range(times if 1 < n <= len(cloud) else 0):
-            chosen = rng.choice(len(cloud), n, replace=False)
-            if i % parts == part:
-                draws.append((n, *dispersions(cloud[chosen])))
-        return pd.DataFrame(draws, columns=["n", *DISPERSIONS])
-
     found = df.select(group, x, y).groupBy(group).applyInPandas(observed, f"{group} {kind}, n long, {names}")
-    sizes = found.select("n").distinct().select("n", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
-    draws = sizes.groupBy("n", "part").applyInPandas(null, f"n long, {names}")
+    sizes = [r.n for r in df.groupBy(group).count().select(F.col("count").alias("n")).distinct().collect()]
+    draws = random_prefixes(background, key, sizes, prefix_dispersions, DISPERSIONS, x, y, times, seed, most)
     against = draws.groupBy("n").agg(*[F.sort_array(F.collect_list(m)).alias(f"{m}_draws") for m in DISPERSIONS])
     out = found.join(against, "n", "left")
     columns = []

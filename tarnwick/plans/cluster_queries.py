@@ -45,7 +45,7 @@ def silhouette(t: Tables) -> DataFrame:
 
 @query()
 def kmeans_labels(t: Tables) -> DataFrame:
-    rows = C.kmeans(points(t), 4, tries=3).withColumnsRenamed({"x": "DR", "y": "DL"})
+    rows = C.kmeans(points(t), 4).withColumnsRenamed({"x": "DR", "y": "DL"})
     return C.renumber(rows, ascending=True).select("vec_id", "cluster")
 
 
@@ -56,7 +56,7 @@ def gmm_labels(t: Tables) -> DataFrame:
 
 @query()
 def k_sweep(t: Tables) -> DataFrame:
-    return C.k_sweep(points(t), "vec_id", range(2, 5), tries=1)
+    return C.k_sweep(points(t), "vec_id", range(2, 5))
 
 
 @query()
@@ -101,7 +101,7 @@ def geometric_medians(t: Tables) -> DataFrame:
 
 @query()
 def permutation_z(t: Tables) -> DataFrame:
-    return H.permutation_test(points(t), points(t), "label", "vec_id", most=2_000_000)
+    return H.permutation_test(points(t), points(t), "label", "vec_id")
 
 
 @query()

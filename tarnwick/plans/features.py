@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tarnwick.functions.semantics import neg_log10
-from tarnwick.functions.sequence import effective_codons, gc3, gc_fraction, translated
-from tarnwick.operators import relational
+from tarnwick.functions.sequence import effective_codons, every_third, gc_fraction, gc_known, translated
+from tarnwick.operators import genome, relational
 
 
 #: Loci whose first isoform is the primary one whatever its length. Fixed values.
@@ -51,9 +51,10 @@ def dna_record(transcripts: DataFrame, cds: DataFrame, introns: DataFrame, chrom
     """Place, length, base content, introns and peptide length of every transcript: 27 columns.
 
     ``transcripts`` has Gene_id, mRNA_id, Chromosome, Strand and gene_sequence (the forward strand
-    from behind the first base of the coding region to its end); ``cds`` and ``introns`` have
+    from behind the first base of the coding region to its end) or its share of G and C as
+    gene_gc; ``cds`` and ``introns`` have
     mRNA_id, start, end and sequence, each on the transcript's strand; ``chromosomes`` has
-    Chromosome, length, left, right, centromere_start and centromere_end, few rows; ``primary`` has
+    Chromosome, length, left, right, centromere_start and centromere_end; ``primary`` has
     Gene_id and Primary_peptide_length. Start is where the reading begins, so above End on the
     reverse strand. The first intron is the one of the least start on both strands. Without
     introns their measures are 0; a chromosome without landmarks has no distances.
@@ -65,7 +66,7 @@ def dna_record(transcripts: DataFrame, cds: DataFrame, introns: DataFrame, chrom
         return F.array_join(F.transform(parts, lambda x: x["sequence"]), "")
 
     rows = transcripts.join(gathered(cds, "up"), "mRNA_id").join(gathered(introns, "introns"), "mRNA_id", "left")
-    rows = rows.join(F.broadcast(chromosomes), "Chromosome", "left").join(primary, "Gene_id", "left")
+    rows = rows.join(chromosomes, "Chromosome", "left").join(primary, "Gene_id", "left")
     forward, first, last = F.col("Strand") == "+", F.element_at("up", 1), F.element_at("up", -1)
     rows = rows.withColumns({"Start": F.when(forward, first["start"]).otherwise(last["end"]), "End": F.when(forward, last["end"]).otherwise(first["start"])})
     rows = rows.withColumns({
@@ -79,12 +80,13 @@ def dna_record(transcripts: DataFrame, cds: DataFrame, introns: DataFrame, chrom
     peptide = F.length(translated(F.col("cds")))
 
     def gc(c: Column) -> Column:
-        return F.coalesce(F.bround(gc_fraction(c), 3), F.lit(0.0))
+        return F.coalesce(F.bround(gc_known(c), 3), F.lit(0.0))
 
+    gene_gc = F.coalesce(F.bround("gene_gc", 3), F.lit(0.0)) if "gene_gc" in transcripts.columns else gc(F.col("gene_sequence"))
     out = rows.select(
         "Gene_id", "mRNA_id", "Chromosome", "Start", "End", "Strand", to_end.alias("Abs_distance_from_telomere"), F.bround(to_end / F.col("length"), 3).alias("Relative_distance_from_telomere"),
-        to_centre.alias("Abs_distance_from_centromere"), F.bround(to_centre / F.col("length"), 3).alias("Relative_distance_from_centromere"), "Gene_length", gc(F.col("gene_sequence")).alias("GC_content_of_gene"),
-        F.size("up").alias("CDS_number"), gc(F.col("cds")).alias("GC_content_of_CDS"), F.bround(F.length("cds") / F.col("Gene_length"), 3).alias("Fraction_of_CDS"), F.bround(gc3(F.col("cds")) * 100, 3).alias("GC3"),
+        to_centre.alias("Abs_distance_from_centromere"), F.bround(to_centre / F.col("length"), 3).alias("Relative_distance_from_centromere"), "Gene_length", gene_gc.alias("GC_content_of_gene"),
+        F.size("up").alias("CDS_number"), gc(F.col("cds")).alias("GC_content_of_CDS"), F.bround(F.length("cds") / F.col("Gene_length"), 3).alias("Fraction_of_CDS"), F.bround(gc_known(F.translate(every_third(F.col("cds")), "SWUswu", "")) * 100, 3).alias("GC3"),
         (n > 0).alias("Containing_intron"), "Intron_number", gc(F.col("intron")).alias("GC_content_of_intron"), whole.alias("Total_intron_length"), F.coalesce(F.try_divide(whole.cast("double"), n), F.lit(0.0)).alias("Average_intron_length"),
         F.length(first_intron).alias("Length_of_first_intron"), gc(first_intron).alias("GC_contents_of_first_intron"), peptide.alias("Peptide_length"), "Primary_peptide_length", "cds")
     out = out.withColumn("Primary_candidate", primary_candidate(F.col("Gene_id"), F.col("mRNA_id"), F.col("Peptide_length"), F.col("Primary_peptide_length")))
@@ -92,6 +94,22 @@ def dna_record(transcripts: DataFrame, cds: DataFrame, introns: DataFrame, chrom
     return out.drop("cds").join(enc, "mRNA_id", "left")
 
 
+def dna_records(features: DataFrame, chunks: DataFrame, marks: DataFrame, primary: DataFrame, size: int = genome.CHUNK) -> DataFrame:
+    """The 27 columns of ``dna_record`` from GFF3 features and a genome in chunks of ``size`` letters.
+
+    ``marks`` has left, right, centromere_start and centromere_end by Chromosome; ``primary`` as in
+    ``dna_record``. Transcripts without coding parts have no row. The share of G and C of a gene
+    is counted from behind the first base of its coding region to its end, piece by piece; coding
+    parts and introns are cut, turned and glued.
+    """
+    cds, introns = genome.parts(features, "CDS"), genome.parts(features, "intron")
+    spans = cds.groupBy("mRNA_id").agg((F.min("start") + 1).alias("start"), F.max("end").alias("end"))
+    spans = genome.transcripts(features).join(spans, "mRNA_id")
+    known = spans.join(genome.range_gc(spans, chunks, ["mRNA_id"], size), "mRNA_id", "left").withColumnRenamed("gc", "gene_gc")
+    places = genome.lengths(chunks).join(marks.drop("length"), "Chromosome", "left")
+    return dna_record(known.drop("start", "end"), genome.with_sequences(cds, chunks, size), genome.with_sequences(introns, chunks, size), places, primary)
+
+
 def half_lives(table: DataFrame, meta: DataFrame | None = None, order: str = "row_no") -> DataFrame:
     """(Gene_id, protein_half_life_minutes) of rows (ids, name, rate, half_life) that have both numbers.
 

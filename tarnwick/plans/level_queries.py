@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnwick.operators import coherence, ml, ontology, relational, stats
+from tarnwick.operators import coherence, ml, ontology, relational, search, stats
 from tarnwick.plans import features as L
 from tarnwick.plans.cluster_queries import points
 from tarnwick.plans.registry import Tables, query, six
@@ -163,4 +163,11 @@ def regression_without_reference(t: Tables) -> DataFrame:
 def dispersion_scores(t: Tables) -> DataFrame:
     """All six measures of groups of 3 to 300, 200 draws each."""
     rows = coherence.size_window(points(t).withColumn("grp", F.floor(F.col("vec_id") / 25)), "grp", 3, 300)
-    return coherence.dispersion_scores(rows, points(t), "grp", "vec_id", times=200, most=2_000_000)
+    return coherence.dispersion_scores(rows, points(t), "grp", "vec_id")
+
+
+@query()
+def model_search(t: Tables) -> DataFrame:
+    """Every model of the last rung with its out-of-fold error, and the ensemble chosen from them."""
+    rows = t.lineitem.select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("key"), "l_quantity", "l_discount", "l_tax", F.dayofyear("l_shipdate").alias("day"), F.col("l_extendedprice").alias("price"))
+    return search.model_search(rows, ["l_quantity", "l_discount", "l_tax", "day", "absent"], "price", ["key"]).leaderboard

@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarnwick.sources.writers import LOGICAL
+
 #: Tried in this order on the whole name. Fixed values.
 KINDS = (("tsv", "\t"), ("bed", "\t"), ("csv", ","))
 
@@ -18,9 +22,9 @@ def read_table(spark: SparkSession, path: str, schema: str | None = None, **opti
             reader = spark.read.options(sep=sep, header=True, **options)
             return (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(path)
     if "xlsx" in name:
-        import pandas as pd
+        from tarnwick.sources.workbook import inferred, read_workbook
 
-        return spark.createDataFrame(pd.read_excel(path, **options))
+        return inferred(read_workbook(spark, path, **options))
     if "parquet" in name:
         return spark.read.parquet(path)
     raise ValueError(f"no reader for {name}")
@@ -31,6 +35,44 @@ def logical_names(columns: list[str]) -> list[str]:
     return [re.sub(r"__dup\d+$", "", c) for c in columns]
 
 
+@dataclass(frozen=True)
+class Logical:
+    """A table as it was written: ``df`` has unique names, ``names`` the logical ones, some of which may be equal."""
+
+    df: DataFrame
+    names: tuple[str, ...]
+    index: tuple[str, ...]
+    series: bool
+    series_name: str | None
+
+    def frame(self) -> DataFrame:
+        """The table under its logical names; equal ones can be listed and written, but not referred to."""
+        return self.df.toDF(*self.names)
+
+    def columns(self, name: str) -> list[Column]:
+        """All columns of a logical name, in their order."""
+        return [self.df[f"`{c}`"] for c, n in zip(self.df.columns, self.names, strict=True) if n == name]
+
+    def values(self) -> DataFrame:
+        """The table without its index."""
+        return self.df.drop(*self.index)
+
+
+def read_parquet(spark: SparkSession, path: str) -> Logical:
+    """A table with the logical names, index and series that ``writers.write_parquet`` kept in its metadata.
+
+    Columns without such metadata, as of files that others wrote, keep their names and are values.
+    """
+    df = spark.read.parquet(path)
+    marks = {f.name: f.metadata.get(LOGICAL) or {"name": f.name, "place": len(df.columns) + i, "role": "value", "named": True} for i, f in enumerate(df.schema.fields)}
+    order = sorted(df.columns, key=lambda c: marks[c]["place"])
+    df = df.select(*[f"`{c}`" for c in order])
+    of = lambda role: [c for c in order if marks[c]["role"] == role]
+    series = of("series")
+    name = marks[series[0]]["name"] if series and marks[series[0]]["named"] else None
+    return Logical(df, tuple(marks[c]["name"] for c in order), tuple(of("index")), bool(series), name)
+
+
 def read_bed(spark: SparkSession, path: str) -> DataFrame:
     """The first six of twelve headerless columns."""
     names = "chrom string, start long, end long, name string, score string, strand string, thick_start long, thick_end long, rgb string, blocks int, sizes string, starts string"
@@ -140,14 +182,10 @@ def cached(spark: SparkSession, cache_dir: str, parts: list[str], fetch=None, sc
 
 
 def read_sheet(spark: SparkSession, path: str, sheet: str | int = 0, skip: int = 0, comment: str | None = None, drop: int = 0) -> DataFrame:
-    """One sheet of a workbook on the driver's disk, as text; ``drop`` rows after the header go.
-
-    Workbooks are read by pandas, which needs an engine for them; without one this raises its error.
-    """
-    import pandas as pd
+    """One sheet of a workbook, or of each in a folder, as text; ``drop`` rows after the header go."""
+    from tarnwick.sources.workbook import read_workbook
 
-    rows = pd.read_excel(path, sheet_name=sheet, skiprows=skip, comment=comment, dtype=str).iloc[drop:]
-    return spark.createDataFrame(rows.astype(object).where(rows.notna(), None), ", ".join(f"`{c}` string" for c in rows.columns))
+    return read_workbook(spark, path, sheet, skip, comment, drop)
 
 
 def read_cif_confidence(spark: SparkSession, path: str, glob: str = "*.cif*") -> DataFrame:

@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from tarnwick.operators.relational import ragged_matrix
 
 
+#: Key of a column's metadata under which its logical form stands.
+LOGICAL = "logical"
+
+
 def unique_names(names: list[str]) -> list[str]:
     """The second and later equal names get ``__dupN``."""
     seen, out = Counter(), []
@@ -19,8 +23,25 @@ def unique_names(names: list[str]) -> list[str]:
     return out
 
 
-def write_parquet(df: DataFrame, path: str, compression: str = "snappy", partition_by: list[str] | None = None, mode: str = "error") -> None:
-    df.toDF(*unique_names(df.columns)).write.mode(mode).parquet(path, compression=compression, partitionBy=partition_by)
+def write_parquet(df: DataFrame, path: str, compression: str = "snappy", partition_by: list[str] | None = None, mode: str = "error", index: list[str] | None = None, series: bool = False, named: bool = True) -> None:
+    """Write a table whose logical form comes back with ``readers.read_parquet``.
+
+    Equal names are kept apart, and every column carries in its metadata its own name, its place
+    and its role: an ``index`` column or a value. A ``series`` has one value column, whose name is
+    only a stand-in unless it is ``named``. Parquet keeps the metadata with the schema, so a lost
+    or added file loses nothing; columns of ``partition_by`` lie in folder names and have none.
+    """
+    index = index or []
+    if unknown := [c for c in index if c not in df.columns]:
+        raise ValueError(f"no index columns {unknown}")
+    if series and len(df.columns) - len(index) != 1:
+        raise ValueError(f"a series has one column beside its index, not {len(df.columns) - len(index)}")
+    names = unique_names(df.columns)
+    fields = []
+    for place, (name, logical) in enumerate(zip(names, df.columns, strict=True)):
+        role = "index" if name in index else "series" if series else "value"
+        fields.append(F.col(name).alias(name, metadata={LOGICAL: {"name": logical, "place": place, "role": role, "named": named}}))
+    df.toDF(*names).select(*fields).write.mode(mode).parquet(path, compression=compression, partitionBy=partition_by)
 
 
 def write_text_table(df: DataFrame, path: str, sep: str = "\t", digits: int | None = None, mode: str = "error") -> None:
@@ -31,7 +52,7 @@ def write_text_table(df: DataFrame, path: str, sep: str = "\t", digits: int | No
 
 
 def write_sheets(df: DataFrame, path: str, sheet: str, mode: str = "error") -> None:
-    """One folder per sheet, the names cut to 31 characters."""
+    """One folder per sheet, the names cut to 31 characters; for more rows than a workbook holds (``workbook.write_workbook``)."""
     df.withColumn(sheet, F.substring(sheet, 1, 31)).write.mode(mode).partitionBy(sheet).parquet(path)
 
 
