@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
@@ -69,28 +69,42 @@ def ch_db(df: DataFrame, by: str, x: str = "x", y: str = "y") -> DataFrame:
 def silhouette(df: DataFrame, key: str, by: str, x: str = "x", y: str = "y", block: int = 2048) -> DataFrame:
     """Mean silhouette of Euclidean distances (quadratic in the rows, as its definition is).
 
-    Points are dealt to blocks of about ``block``; a task takes two blocks at a time and gives one
-    sum per point of the first and label of the second, so distances are never rows of a plan. Keys
-    are unique; a point alone in its label has 0.
+    Points are packed into blocks of about ``block``, coordinates as bytes; a task takes two blocks
+    at a time, each two once, and gives a sum per point and label of the other block for both, so
+    distances are never rows of a plan. Keys are unique; a point alone in its label has 0.
     """
     kinds = {c: df.schema[c].dataType.simpleString() for c in (key, by)}
     n_blocks = max(1, -(-df.count() // block))
-    dealt = df.where(F.col(by).isNotNull()).select(F.col(key).alias("k"), F.col(by).alias("l"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), F.pmod(F.xxhash64(key), F.lit(n_blocks)).alias("b"))
-    packed = dealt.groupBy("b").agg(F.collect_list(F.struct("k", "l", "x", "y")).alias("p"))
-    ours = packed.select("p", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))).alias("o"))
-    pairs = ours.join(packed.select(F.col("b").alias("o"), F.col("p").alias("q")), "o").select("p", "q")
+    dealt = df.where(F.col(by).isNotNull()).select(F.col(key).alias("k"), F.col(by).alias("l"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), F.pmod(F.xxhash64(key), F.lit(n_blocks)).cast("int").alias("b"))
+
+    def pack(t: pa.Table) -> pa.Table:
+        lists = {c + "s": pa.ListArray.from_arrays(pa.array([0, t.num_rows], pa.int32()), t.column(c).combine_chunks()) for c in ("k", "l")}
+        return pa.table({"b": t.column("b").slice(0, 1)} | lists | {f"{c}s": pa.array([t.column(c).to_numpy().tobytes()], pa.binary()) for c in ("x", "y")})
+
+    packed = dealt.groupBy("b").applyInArrow(pack, f"b int, ks array<{kinds[key]}>, ls array<{kinds[by]}>, xs binary, ys binary")
+    other = packed.toDF("o", "oks", "ols", "oxs", "oys")
+    pairs = packed.select("*", F.explode(F.sequence(F.col("b"), F.lit(n_blocks - 1))).alias("o")).join(other, "o")
+
+    def per_label(d: np.ndarray, keys: pa.Array, labels: pa.Array, others: pa.Array) -> pa.RecordBatch:
+        codes = others.dictionary_encode()
+        at = codes.indices.to_numpy()
+        order = np.argsort(at, kind="stable")
+        n = np.bincount(at)
+        sums = np.add.reduceat(d[:, order], np.r_[0, np.cumsum(n)[:-1]], axis=1)
+        rows, cols = pa.array(np.repeat(np.arange(len(keys)), len(n))), pa.array(np.tile(np.arange(len(n)), len(keys)))
+        return pa.RecordBatch.from_arrays([keys.take(rows), labels.take(rows), codes.dictionary.take(cols), pa.array(sums.ravel()), pa.array(np.tile(n, len(keys)))], ["k", "l", "ol", "s", "n"])
 
     def sums(batches):
-        for pdf in batches:
-            for p, q in zip(pdf["p"], pdf["q"], strict=True):
-                mine, other = pd.DataFrame.from_records(list(p)), pd.DataFrame.from_records(list(q))
-                labels, at = np.unique(other["l"].to_numpy(), return_inverse=True)
-                d = np.hypot(mine["x"].to_numpy()[:, None] - other["x"].to_numpy()[None], mine["y"].to_numpy()[:, None] - other["y"].to_numpy()[None])
-                order = np.argsort(at, kind="stable")
-                per = np.add.reduceat(d[:, order], np.searchsorted(at[order], np.arange(len(labels))), axis=1)
-                yield pd.DataFrame({"k": np.repeat(mine["k"].to_numpy(), len(labels)), "l": np.repeat(mine["l"].to_numpy(), len(labels)), "ol": np.tile(labels, len(mine)), "s": per.ravel(), "n": np.tile(np.bincount(at), len(mine))})
-
-    found = pairs.mapInPandas(sums, f"k {kinds[key]}, l {kinds[by]}, ol {kinds[by]}, s double, n long").groupBy("k", "l", "ol").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+        for batch in batches:
+            for i in range(batch.num_rows):  # a row is a pair of blocks
+                c = {name: batch.column(name)[i] for name in batch.schema.names}
+                px, py, qx, qy = (np.frombuffer(c[name].as_py()) for name in ("xs", "ys", "oxs", "oys"))
+                d = np.hypot(px[:, None] - qx[None], py[:, None] - qy[None])
+                yield per_label(d, c["ks"].values, c["ls"].values, c["ols"].values)
+                if c["b"].as_py() != c["o"].as_py():
+                    yield per_label(d.T, c["oks"].values, c["ols"].values, c["ls"].values)
+
+    found = pairs.mapInArrow(sums, f"k {kinds[key]}, l {kinds[by]}, ol {kinds[by]}, s double, n long").groupBy("k", "l", "ol").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
     own = F.col("l") == F.col("ol")
     ab = found.groupBy("k").agg(F.min(F.when(own, F.try_divide("s", F.col("n") - 1))).alias("a"), F.min(F.when(~own, F.col("s") / F.col("n"))).alias("b"))
     s = F.when(F.col("a").isNull(), 0.0).otherwise(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")))

@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from tarnwick.operators.nearest import nearest_distances
 from tarnwick.operators.pairs import pair_stats
-from tarnwick.session import ensure_checkpoints
+from tarnwick.operators.relational import numbered
 
 
 def size_window(df: DataFrame, group: str, low: int, high: int) -> DataFrame:
@@ -122,12 +122,7 @@ def random_prefixes(background: DataFrame, key: str, sizes: list[int], measure:
 
         return draws.mapInArrow(from_all, names_schema)
 
-    # Dense numbers in the order of the key: rows number themselves within ranges of the key.
-    ensure_checkpoints(spark)
-    ranged = rows.repartitionByRange("key", "x", "y").withColumn("p", F.spark_partition_id()).checkpoint()
-    before = ranged.groupBy("p").agg(F.count(F.lit(1)).alias("c")).withColumn("base", F.coalesce(F.sum("c").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    place = F.row_number().over(Window.partitionBy("p").orderBy("key", "x", "y")) - 1
-    numbered = ranged.withColumn("at", place).join(before, "p").select((F.col("at") + F.col("base")).alias("i"), "x", "y")
+    placed = numbered(rows, [F.col("key"), F.col("x"), F.col("y")], "i").select("i", "x", "y")
 
     def indexes(batches):
         for batch in batches:
@@ -138,7 +133,7 @@ def random_prefixes(background: DataFrame, key: str, sizes: list[int], measure:
         t = t.sort_by("place")
         return laid(t.column("draw")[0].as_py(), np.c_[t.column("x").to_numpy(), t.column("y").to_numpy()])
 
-    return draws.mapInArrow(indexes, "draw long, place long, i long").join(numbered, "i").groupBy("draw").applyInArrow(from_joined, names_schema)
+    return draws.mapInArrow(indexes, "draw long, place long, i long").join(placed, "i").groupBy("draw").applyInArrow(from_joined, names_schema)
 
 
 def permutation_test(df: DataFrame, background: DataFrame, group: str, key: str, x: str = "x", y: str = "y", times: int = 1000, seed: int = 42, most: int = 2_000_000) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tarnwick.session import ensure_checkpoints
+
 from tarnwick.functions.strings import any_keyword
 
 LEGACY = {"um": "DR", "lam": "DL"}
@@ -144,6 +146,20 @@ def quartiles(df: DataFrame, key: list[str], value: str) -> DataFrame:
         *key, F.col("q")[0].alias("q25"), F.col("q")[1].alias("q50"), F.col("q")[2].alias("q75"), "mean", "n")
 
 
+def numbered(df: DataFrame, order: list[Column], out: str) -> DataFrame:
+    """Rows with their place from 0 in a total order, in ranges of it: no task holds all.
+
+    Rows are dealt to ranges and written; each range numbers its own rows behind the rows of the
+    ranges before it, of which there is one count each.
+    """
+    ensure_checkpoints(df.sparkSession)
+    held = df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()).checkpoint()
+    base = held.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
+    base = base.select("__p", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__b"))
+    own = F.row_number().over(Window.partitionBy("__p").orderBy(*order))
+    return held.withColumn("__r", own).join(F.broadcast(base), "__p").withColumn(out, F.col("__r") - 1 + F.col("__b")).drop("__p", "__r", "__b")
+
+
 def require_unique(df: DataFrame, key: list[str]) -> DataFrame:
     """``df`` itself, or an error if a key occurs twice."""
     if twice := df.groupBy(*key).count().where("count > 1").limit(1).collect():

@@ -15,6 +15,10 @@ from tarnwick.operators import genome, relational
 FIRST_ISOFORM_LOCI = ("SPBC119.04", "SPBC17A3.07", "SPAC212.11", "SPAC2E12.05", "SPAC977.01", "SPMIT.03", "SPMIT.06", "SPMIT.08")
 
 
+#: Column of the insertion density. Fixed value.
+DENSITY = "Integration density, in-vivo (integrations/kb/million inserts)"
+
+
 def primary_candidate(gene: Column, transcript: Column, length: Column, primary_length: Column) -> Column:
     """Whether a transcript is the gene's primary one: by the known peptide length, or isoform .1 for some loci."""
     return F.when(gene.isin(*FIRST_ISOFORM_LOCI), transcript.endswith(".1")).otherwise(length == primary_length)
@@ -233,6 +237,38 @@ def phenotype_level(library: DataFrame, verified: DataFrame, others: list[DataFr
     return relational.merge_outer(tables, [key]).join(coding.select(key).distinct(), key, "left_semi")
 
 
+def phenotype_tables(viability: DataFrame, library: DataFrame, verification: DataFrame, barseq: DataFrame, density: DataFrame, divergence: DataFrame, crispri: DataFrame, meta: DataFrame, order: str = "row_no") -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """The named sources of the phenotype level, as ``phenotype_level`` takes them: library, verified and the five others, by Gene_id.
+
+    Every source has its own column names and a number ``order`` of its rows. Ids of bar-seq,
+    density, divergence and CRISPRi rows are brought up to date by ``meta``. Bar-seq and CRISPRi
+    rows count only with both of their values, and the first CRISPRi row, its units, goes; a
+    density row stands under the first of its names in the order of the alphabet. Of rows of one
+    gene the first stays, of verifications the last.
+    """
+    def renamed(df: DataFrame, key: Column, columns: dict[str, str], resolve: bool = True, last: bool = False) -> DataFrame:
+        rows = df.select(F.col(order), key.alias("Gene_id"), *[F.col(f"`{c}`").alias(name) for c, name in columns.items()])
+        if resolve:
+            rows = relational.resolve_ids(rows, "Gene_id", meta).drop("Gene_id").withColumnRenamed("resolved", "Gene_id")
+        return relational.keep_first(rows.where("Gene_id is not null"), ["Gene_id"], [F.col(order).desc() if last else F.col(order)]).drop(order)
+
+    systematic = F.col("`Systematic ID`")
+    held = renamed(library, systematic, {"Gene dispensability. This study": "DeletionLibrary_essentiality", "Category": "DeletionLibrary_category", "Sub_category": "Sub_category", "Growth_tier": "Growth_tier"}, False)
+    verified = renamed(verification, F.col("systematic_id"), {"verification_essentiality": "verified"}, False, last=True)
+    both = {"yes": "Barseq_from_dulab", "SM fitness defect from Koch et al": "Barseq_from_koch"}
+    growth = {c: c for c in ("Max Growth Rate", "Colony Formation")}
+    complete = lambda df, columns: df.where(" and ".join(f"`{c}` is not null" for c in columns))
+    units = crispri.agg(F.min(order).alias("units"))
+    others = [
+        renamed(viability, F.col("gene_systematic_id"), {"FYPOviability": "FYPOviability"}, False),
+        renamed(complete(barseq, both), F.col("gene"), both),
+        renamed(density, F.array_min(F.split(F.trim("`Gene name`"), " ")), {DENSITY: DENSITY}),
+        renamed(divergence, F.col("gene"), {"ipkm": "ipkm", "uipkm": "uipkm", "Malecki2016.KO.colony.size": "colony_size_Malecki2016"}),
+        renamed(complete(crispri.join(F.broadcast(units), F.col(order) > F.col("units")), growth), systematic, growth),
+    ]
+    return held, verified, others
+
+
 def curves(points: DataFrame, times: list[str], key: str = "Gene_id") -> DataFrame:
     """Long (key, time, observed, fitted) of wide columns t and t_fitted; of a repeated key the row of the least values stays."""
     one = relational.keep_first(points, [key], [F.col(t) for t in times])

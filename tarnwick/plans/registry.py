@@ -40,7 +40,7 @@ def six(c: Column | str) -> Column:
 
 
 def _load() -> None:
-    from tarnwick.plans import cluster_queries, feature_queries, genome_queries, level_queries, outcome_queries, relational_queries, sequence_queries, stats_queries  # noqa: F401
+    from tarnwick.plans import cluster_queries, feature_queries, genome_queries, level_queries, outcome_queries, relational_queries, report_queries, sequence_queries, stats_queries  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

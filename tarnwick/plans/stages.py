@@ -201,9 +201,14 @@ def enrichment_stage(clusters: DataFrame, associations: DataFrame, namespaces: D
 
 
 def merge_features(levels: dict[str, DataFrame], meta: DataFrame, key: str = "Gene_id") -> DataFrame:
-    """All levels of primary transcripts outer-joined, kept for the genes of ``meta``, gaps filled."""
+    """All levels of primary transcripts outer-joined, kept for the genes of ``meta``, gaps filled.
+
+    A gene that a level, or ``meta``, lists twice raises: it would multiply rows.
+    """
     dna = levels["dna"].where("Primary_candidate")
-    merged = relational.merge_outer([dna, *[df for k, df in levels.items() if k != "dna"]], [key])
+    each = [relational.require_unique(df, [key]) for df in (dna, *[df for k, df in levels.items() if k != "dna"])]
+    merged = relational.merge_outer(each, [key])
+    meta = relational.require_unique(meta, [key])
     out = merged.join(meta, key, "right")
     return out.na.fill("Not_determined", [c for c in ("essentiality", "category") if c in out.columns])
 

@@ -160,6 +160,15 @@ def read_grouped_files(spark: SparkSession, path: str, pattern: str, glob: str =
     return rows.select(F.regexp_extract(F.input_file_name(), pattern, 1).alias("group"), F.trim("value").alias("value")).where("value <> ''")
 
 
+def read_sentinel(spark: SparkSession, path: str) -> tuple[str, dict[str, int]] | None:
+    """What ``writers.write_sentinel`` wrote, or None where there is none."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return None
+    head, *lines = spark.read.text(path, wholetext=True).first()[0].splitlines()
+    return head.removesuffix(" complete"), {k: int(v) for k, _, v in (x.rpartition("\t") for x in lines)}
+
+
 def read_yaml(path: str) -> dict:
     import yaml
 

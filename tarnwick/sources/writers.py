@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections import Counter
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnwick.operators.relational import ragged_matrix
@@ -69,3 +69,22 @@ def write_gaf(df: DataFrame, path: str, date: str, mode: str = "error") -> None:
     head = df.sparkSession.createDataFrame([(0, "!gaf-version: 2.2"), (1, f"!date-generated: {date}")], "o int, value string")
     body = df.select(F.lit(2).alias("o"), F.concat_ws("\t", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns]).alias("value"))
     head.unionByName(body).repartition(1).sortWithinPartitions("o").select("value").write.mode(mode).text(path)
+
+
+def write_sentinel(spark: SparkSession, path: str, done: str, counts: dict[str, int]) -> None:
+    """A small text file that says that a step is done, with one line of name and number each; written over an older one.
+
+    It is written beside its place first and moved there, so a reader sees the whole of it or none.
+    """
+    text = "\n".join([f"{done} complete", *(f"{k}\t{v}" for k, v in counts.items())]) + "\n"
+    jvm = spark._jvm.org.apache.hadoop.fs
+    at, part = jvm.Path(path), jvm.Path(f"{path}.part")
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    stream = fs.create(part, True)
+    try:
+        stream.write(text.encode())
+    finally:
+        stream.close()
+    fs.delete(at, False)
+    if not fs.rename(part, at):
+        raise OSError(f"can't move {part} to {path}")

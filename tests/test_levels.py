@@ -139,3 +139,26 @@ def test_registry_and_landmarks(spark, tmp_path):
     marks.write_text("chromosome_end: {left: {I: 10}, right: {I: 90}}\ncentromere_positions: {I: [40, 50]}\n")
     rows = datasets.landmarks(spark, str(marks), {"I": 100, "M": 20}).collect()
     assert [tuple(r) for r in rows] == [("I", 100, 10, 90, 40, 50), ("M", 20, None, None, None, None)]
+
+
+def test_phenotype_sources_by_their_own_columns(spark):
+    def table(schema, rows):
+        return spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "row_no int, " + schema)
+
+    meta = spark.createDataFrame([("g1", "one", "old1"), ("g2", "two", None), ("g3", "three", None)], "id string, name string, synonyms string")
+    sources = {
+        "viability": table("gene_systematic_id string, FYPOviability string", [("g1", "viable"), ("g4", "inviable")]),
+        "library": table("`Systematic ID` string, `Gene dispensability. This study` string, Category string, Sub_category string, Growth_tier string", [("g1", "E", "c", "s", "t"), ("g2", "V", None, None, None)]),
+        "verification": table("systematic_id string, verification_essentiality string", [("g1", "E"), ("g1", "V")]),
+        "barseq": table("gene string, yes double, `SM fitness defect from Koch et al` double", [("old1", 0.5, 0.1), ("two", 0.7, None)]),
+        "density": table(f"`Gene name` string, `{L.DENSITY}` double", [(" zzz two ", 3.0), ("g3", 4.0), ("g3", 5.0)]),
+        "divergence": table("gene string, ipkm double, uipkm double, `Malecki2016.KO.colony.size` double", [("three", 1.0, 2.0, 3.0)]),
+        "crispri": table("`Systematic ID` string, `Max Growth Rate` string, `Colony Formation` string", [("units", "1/h", "-"), ("g2", "0.3", "yes"), ("g3", None, "no")]),
+    }
+    library, verified, others = L.phenotype_tables(**sources, meta=meta)
+    coding = spark.createDataFrame([("g1",), ("g2",), ("g3",)], "Gene_id string")
+    got = {r.Gene_id: r.asDict() for r in L.phenotype_level(library, verified, others, coding, "DeletionLibrary_essentiality").collect()}
+    assert set(got) == {"g1", "g2", "g3"} and len(got["g1"]) == 14
+    assert (got["g1"]["DeletionLibrary_essentiality"], got["g1"]["revised_DeletionLibrary_essentiality"], got["g1"]["Barseq_from_dulab"], got["g1"]["FYPOviability"]) == ("E", "V", 0.5, "viable")
+    assert (got["g2"]["revised_DeletionLibrary_essentiality"], got["g2"]["Barseq_from_dulab"], got["g2"][L.DENSITY], got["g2"]["Max Growth Rate"]) == ("V", None, 3.0, "0.3")
+    assert (got["g3"][L.DENSITY], got["g3"]["colony_size_Malecki2016"], got["g3"]["Max Growth Rate"]) == (4.0, 3.0, None)
