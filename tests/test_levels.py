@@ -158,7 +158,7 @@ def test_phenotype_sources_by_their_own_columns(spark):
     library, verified, others = L.phenotype_tables(**sources, meta=meta)
     coding = spark.createDataFrame([("g1",), ("g2",), ("g3",)], "Gene_id string")
     got = {r.Gene_id: r.asDict() for r in L.phenotype_level(library, verified, others, coding, "DeletionLibrary_essentiality").collect()}
-    assert set(got) == {"g1", "g2", "g3"} and len(got["g1"]) == 14
+    assert set(got) == {"g1", "g2", "g3"} and len(got["g1"]) == 15
     assert (got["g1"]["DeletionLibrary_essentiality"], got["g1"]["revised_DeletionLibrary_essentiality"], got["g1"]["Barseq_from_dulab"], got["g1"]["FYPOviability"]) == ("E", "V", 0.5, "viable")
     assert (got["g2"]["revised_DeletionLibrary_essentiality"], got["g2"]["Barseq_from_dulab"], got["g2"][L.DENSITY], got["g2"]["Max Growth Rate"]) == ("V", None, 3.0, "0.3")
     assert (got["g3"][L.DENSITY], got["g3"]["colony_size_Malecki2016"], got["g3"]["Max Growth Rate"]) == (4.0, 3.0, None)
