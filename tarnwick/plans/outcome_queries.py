@@ -127,3 +127,24 @@ def disease_associations(t: Tables) -> DataFrame:
     date = F.when(F.col("l_linenumber") != 1, F.date_format("l_shipdate", "yyyy-MM-dd"))
     rows = t.lineitem.select(F.lit("G").alias("#gene_systematic_id"), F.lit("g").alias("gene_name"), F.concat(F.lit("T:"), "l_suppkey").alias("mondo_id"), F.concat_ws("/", "l_orderkey", "l_linenumber").alias("reference"), date.alias("date"))
     return ontology.disease_gaf(rows, _terms(t)).select("Reference", "DB_Object_Name", "Date", "DB", "Assigned_By")
+
+
+def _in_order(rows: DataFrame) -> DataFrame:
+    """Rows with their place in the order that they come in: ids of rows grow along sorted partitions."""
+    return relational.numbered(rows.withColumn("__o", F.monotonically_increasing_id()), [F.col("__o")], "place")
+
+
+@query(f"with {_LABELS}, n as (select gene, r2, case outcome when 'flip_V2E' then 0 when 'concordant_E' then 1 when 'flip_E2V' then 2 else 9 end as priority from o where left(gene_name, 3) in ('SPA', 'SPB') and r2 >= 0.98 and not doubt) "
+       "select gene, row_number() over (order by priority, r2 desc, gene) - 1 as place from n")
+def novel_genes_in_order(t: Tables) -> DataFrame:
+    return _in_order(outcomes.novel_genes(outcomes.outcome_table(_genes(t)))).select("gene", "place")
+
+
+@query(f"with g as ({_OUTLIERS}), v as (select distinct l_partkey, case l_linenumber when 1 then 'spores' when 2 then 'E' when 3 then 'WT' else 'odd' end as res from lineitem where l_quantity > 48), "
+       "r as (select p_partkey, dr, res, case when res is null then 1 when res = 'spores' then 2 when res = 'E' then 5 else 9 end as no from g left join v on p_partkey = l_partkey where cat in ('spores', 'germinated', 'microcolonies') and dr < 0.35 and coalesce(res, '') <> 'odd') "
+       "select p_partkey as gene, coalesce(res, 'Not verified') as bucket, row_number() over (order by no, dr, p_partkey) - 1 as place from r")
+def outlier_review_in_order(t: Tables) -> DataFrame:
+    line = F.col("l_linenumber")
+    verified = t.lineitem.where("l_quantity > 48").select(F.col("l_partkey").alias("Systematic_ID"), S.label([(line == 1, "spores"), (line == 2, "E"), (line == 3, "WT")], "odd").alias("result"))
+    rows = _in_order(stages.outlier_review(_outlier_genes(t), verified, "E2V"))
+    return rows.select(F.col("Systematic_ID").alias("gene"), "bucket", "place")

@@ -312,3 +312,11 @@ def ext_sessions(t: Tables) -> DataFrame:
     from tarnwick.streaming.events import sessions
 
     return sessions(t.events, "30 minutes").select("user_id", "start", "n")
+
+
+@query("with e as (select *, case event_type when 'purchase' then 0 when 'click' then 1 else 2 end as p from events), r as (select *, row_number() over (partition by user_id, date_trunc('day', ts) order by p, ts, event_id) as n from e) select date_trunc('day', ts)::timestamp as start, user_id, event_id, event_type from r where n = 1")
+def ext_best_rows(t: Tables) -> DataFrame:
+    from tarnwick.streaming.events import best_rows
+
+    order = F.when(F.col("event_type") == "purchase", 0).when(F.col("event_type") == "click", 1).otherwise(2)
+    return best_rows(t.events.select("ts", "user_id", "event_id", "event_type"), ["user_id"], [order, F.col("ts"), F.col("event_id")]).select("start", "user_id", "event_id", "event_type")
