@@ -40,12 +40,13 @@ def flanked(points: DataFrame, intervals: DataFrame, carried: list[str], chrom:
 
     cells = events.groupBy("c", "cell").agg(F.max("left").alias("l"), F.min("right").alias("r"), F.max("inner").alias("i"))
     before = Window.partitionBy("c").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    behind = Window.partitionBy("c").orderBy("cell").rowsBetween(1, Window.unboundedFollowing)
+    behind = Window.partitionBy("c").orderBy(F.desc("cell")).rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.select("c", "cell", F.max("l").over(before).alias("l"), F.min("r").over(behind).alias("r"), F.max("i").over(before).alias("i"))
 
     # Ends at p come behind the points at p and starts before them: both hold p.
     back = Window.partitionBy("c", "cell").orderBy("p", "o", "eid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ahead = Window.partitionBy("c", "cell").orderBy("p", "o", "eid").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    # What follows is met from behind: a frame that starts anew at each row would cost the square.
+    ahead = Window.partitionBy("c", "cell").orderBy(F.desc("p"), F.desc("o"), F.desc("eid")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     found = events.select("*", F.max("left").over(back).alias("wl"), F.min("right").over(ahead).alias("wr"), F.max("inner").over(back).alias("wi")).where("eid is not null").select("c", "cell", "p", "eid", "wl", "wr", "wi")
     found = found.join(cells, ["c", "cell"])
     left, right, inner = F.greatest("wl", "l"), F.least("wr", "r"), F.greatest("wi", "i")
