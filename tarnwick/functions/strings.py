@@ -41,6 +41,23 @@ def any_keyword(c: Column, words: list[str]) -> Column:
     return F.exists(F.array(*[F.lit(w.lower()) for w in words]), lambda w: low.contains(w))
 
 
+#: Words of a role's description by the kind of role, in the order in which kinds are asked. Fixed values.
+ROLE_WORDS = (
+    ("shared", ("shared with", "shared ", "TAF module", "HSA-module", "heterohexamer")),
+    ("peripheral", ("peripheral", "non-essential", "regulator", "TBP-interaction")),
+    ("core", ("essential", "core", "scaffold", "structural", "catalytic", "specific")),
+)
+
+
+def first_kind(c: Column, kinds: tuple[tuple[str, tuple[str, ...]], ...] = ROLE_WORDS, otherwise: str = "unclear") -> Column:
+    """The first kind any of whose words a text has, whatever the case; a missing text has none and is ``otherwise``."""
+    out = None
+    for name, words in kinds:
+        hit = F.coalesce(any_keyword(c, list(words)), F.lit(False))
+        out = F.when(hit, name) if out is None else out.when(hit, name)
+    return out.otherwise(otherwise)
+
+
 def cache_key(*parts: Column) -> Column:
     """First 16 digits of the SHA-1 of the parts joined by two pipes; order matters."""
     return F.substring(F.sha1(F.concat_ws("||", *parts)), 1, 16)

@@ -237,6 +237,21 @@ def phenotype_level(library: DataFrame, verified: DataFrame, others: list[DataFr
     return relational.merge_outer(tables, [key]).join(coding.select(key).distinct(), key, "left_semi")
 
 
+#: Columns of the deletion library that go with the gene names. Fixed values.
+LIBRARY_COLUMNS = ("Gene dispensability. This study", "Deletion mutant phenotype description", "Phenotypic classification used for analysis", "Category")
+
+
+def gene_metadata(genes: DataFrame, library: DataFrame) -> DataFrame:
+    """Gene names and products with the library's calls: every gene stays, one without a name has its id as name.
+
+    ``genes`` has gene_systematic_id and gene_name, ``library`` "Systematic ID"; a gene that the
+    library lists several times has a row for each.
+    """
+    named = genes.withColumn("gene_name", F.coalesce("gene_name", "gene_systematic_id"))
+    held = library.select(F.col("Systematic ID").alias("gene_systematic_id"), *[F.col(f"`{c}`") for c in LIBRARY_COLUMNS])
+    return named.join(held, "gene_systematic_id", "left")
+
+
 def phenotype_tables(viability: DataFrame, library: DataFrame, verification: DataFrame, barseq: DataFrame, density: DataFrame, divergence: DataFrame, crispri: DataFrame, meta: DataFrame, order: str = "row_no") -> tuple[DataFrame, DataFrame, list[DataFrame]]:
     """The named sources of the phenotype level, as ``phenotype_level`` takes them: library, verified and the five others, by Gene_id.
 

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tarnwick.functions.strings import first_kind
 from tarnwick.operators import intervals, ontology, similarity
-from tarnwick.plans import closed_loop, figures
+from tarnwick.plans import closed_loop, figures, stages
+from tarnwick.plans import features as L
 from tarnwick.plans.level_queries import _members
 from tarnwick.plans.registry import Tables, query, six
 from tarnwick.plans.stats_queries import _EDGES, _edges
@@ -92,3 +94,24 @@ def reduced_terms(t: Tables) -> DataFrame:
     terms = t.customer.groupBy(F.col("c_mktsegment").alias("grp"), F.concat(F.lit("N"), "c_nationkey").alias("term")).agg((1 / F.count(F.lit(1))).alias("p_fdr"))
     info = similarity.information(closed, _members(t), closed.select("term", F.lit("all").alias("namespace")).distinct())
     return similarity.reduced(terms, closed, info, [0.4, 0.7]).toDF("grp", "namespace", "term", "dispensability_4", "eliminated_4", "representative_4", "dispensability_7", "eliminated_7", "representative_7")
+
+
+@query("select p_partkey, case when regexp_matches(lower(p_name), 'red|blue') then 'shared' when regexp_matches(lower(p_name), 'small|gr') then 'peripheral' when regexp_matches(lower(p_name), 'a') then 'core' else 'unclear' end as kind from part")
+def first_kinds(t: Tables) -> DataFrame:
+    kinds = (("shared", ("RED", "blue")), ("peripheral", ("Small", "gr")), ("core", ("a",)))
+    return t.part.select("p_partkey", first_kind(F.col("p_name"), kinds).alias("kind"))
+
+
+@query("with m as (select distinct concat_ws('-', l_suppkey, l_returnflag, l_linestatus) as grp, l_partkey as gene from lineitem), j as (select m.* from m join part on p_partkey = gene and p_size > 10), s as (select grp from j group by 1 having count(*) between 3 and 300) select grp, gene, round(p_size / 50.0, 6) as x from j join s using (grp) join part on p_partkey = gene")
+def group_members(t: Tables) -> DataFrame:
+    annotation = t.lineitem.select(F.concat_ws("-", "l_suppkey", "l_returnflag", "l_linestatus").alias("GO_term_name"), F.col("l_partkey").alias("Systematic_ID"))
+    background = t.part.where("p_size > 10").select(F.col("p_partkey").alias("Systematic_ID"), (F.col("p_size") / 50).alias("x"), F.col("p_retailprice").alias("y"))
+    return stages.group_members(annotation, background).select("grp", "gene", six("x").alias("x"))
+
+
+@query("select o_orderkey::varchar as gene, coalesce(case when o_orderkey % 3 > 0 then o_orderpriority end, o_orderkey::varchar) as name, p_type as call, p_brand as category from orders left join part on o_orderkey = p_partkey")
+def gene_metadata(t: Tables) -> DataFrame:
+    genes = t.orders.select(F.col("o_orderkey").cast("string").alias("gene_systematic_id"), F.when(F.col("o_orderkey") % 3 > 0, F.col("o_orderpriority")).alias("gene_name"))
+    library = t.part.select(F.col("p_partkey").cast("string").alias("Systematic ID"), F.col("p_type").alias(L.LIBRARY_COLUMNS[0]), F.lit("d").alias(L.LIBRARY_COLUMNS[1]), F.lit("c").alias(L.LIBRARY_COLUMNS[2]), F.col("p_brand").alias("Category"))
+    rows = L.gene_metadata(genes, library)
+    return rows.select(F.col("gene_systematic_id").alias("gene"), F.col("gene_name").alias("name"), F.col(f"`{L.LIBRARY_COLUMNS[0]}`").alias("call"), F.col("Category").alias("category"))

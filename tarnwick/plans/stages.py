@@ -173,6 +173,16 @@ def comparison_stage(df: DataFrame, densities: list[str], others: list[str], top
     return stats.pairwise_correlation(capped, stats.usable_columns(capped, densities + others))
 
 
+def group_members(annotation: DataFrame, background: DataFrame, low: int = 3, high: int = 300, by: str = "GO_term_name", gene: str = "Systematic_ID") -> DataFrame:
+    """(grp, gene, x, y) of the groups of an annotation: members that the background has, each gene once a group, groups of ``low`` to ``high``.
+
+    ``background`` has the gene with x and y, once each; a gene annotated twice to a group counts once.
+    """
+    members = annotation.where(F.col(by).isNotNull()).select(F.col(by).alias("grp"), F.col(gene).alias("gene")).distinct()
+    points = relational.require_unique(background.select(F.col(gene).alias("gene"), "x", "y"), ["gene"])
+    return coherence.size_window(members.join(points, "gene"), "grp", low, high).select("grp", "gene", "x", "y")
+
+
 def coherence_stage(members: DataFrame, background: DataFrame, low: int = 3, high: int = 300, times: int = 1000) -> DataFrame:
     """Distances, medians and permutation scores of groups (grp, gene, x, y), tightest first."""
     rows = coherence.size_window(members, "grp", low, high)

@@ -15,12 +15,16 @@ KINDS = (("tsv", "\t"), ("bed", "\t"), ("csv", ","))
 
 
 def read_table(spark: SparkSession, path: str, schema: str | None = None, **options) -> DataFrame:
-    """Read by what the file's name contains: tsv, bed, csv, xlsx, then parquet."""
+    """Read by what the file's name contains: tsv, bed, csv, xlsx, then parquet.
+
+    A gz file can't be split: it is one task to read, and its rows are dealt out behind that.
+    """
     name = path.rsplit("/", 1)[-1]
     for kind, sep in KINDS:
         if kind in name:
             reader = spark.read.options(sep=sep, header=True, **options)
-            return (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(path)
+            rows = (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(path)
+            return rows.repartition(spark.sparkContext.defaultParallelism) if name.endswith(".gz") else rows
     if "xlsx" in name:
         from tarnwick.sources.workbook import inferred, read_workbook
 

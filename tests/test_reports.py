@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tarnwick.operators import intervals, relational, similarity
 from tarnwick.plans import closed_loop, figures, stages
@@ -145,3 +146,19 @@ def test_sentinels_and_unique_levels(spark, tmp_path):
     assert stages.merge_features({"dna": dna, "rna": twice.where("v = 1")}, meta).collect()[0].essentiality == "Not_determined"
     with pytest.raises(ValueError, match="repeated"):
         stages.merge_features({"dna": dna, "rna": twice}, meta)
+
+
+def test_p_values_of_many_correlations():
+    from tarnwick.operators.stats import betainc, betainc_half
+
+    rng = np.random.default_rng(1)
+    a, x = rng.integers(1, 500, 300) / 2, np.r_[rng.random(296), 0.0, 1.0, 1e-12, 1 - 1e-12]
+    assert betainc_half(a, x) == pytest.approx([betainc(float(p), 0.5, float(y)) for p, y in zip(a, x, strict=True)], rel=1e-9, abs=1e-300)
+
+
+def test_roles_by_the_first_kind_of_words(spark):
+    from tarnwick.functions.strings import first_kind
+
+    texts = ["Shared with the core", "a non-essential part", "an essential one", "CATALYTIC", "nothing of the kind", None]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(first_kind(F.col("t")).alias("k")).collect()
+    assert [r.k for r in got] == ["shared", "peripheral", "core", "core", "unclear", "unclear"]
