@@ -67,9 +67,9 @@ def gc3(c: Column) -> Column:
 
 def codons(c: Column) -> Column:
     """Whole codons in order; a trailing part is dropped."""
-    n = F.floor(F.length(c) / 3).cast("int")
-    places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(places, lambda i: F.substr(c, i * 3 + 1, F.lit(3)))
+    # A match walks the text once, a substring per codon would walk it from its start each time.
+    found = F.regexp_extract_all(c, F.lit("(?s).{3}"), F.lit(0))
+    return F.coalesce(found, F.array().cast("array<string>"))
 
 
 def reverse_complement(c: Column) -> Column:
@@ -133,7 +133,8 @@ def peptide_measures(df: DataFrame, key: str, seq: str) -> DataFrame:
 def effective_codons(df: DataFrame, key: str, seq: str) -> DataFrame:
     """Effective number of codons by amino-acid degeneracy class (Wright 1990), at most 61.
 
-    A class without data takes the mean of its neighbours, classes of one count two.
+    The whole codons of all sequences of a key are counted together, each in its own frame. A class
+    without data takes the mean of its neighbours, classes of one count two.
     """
     table = df.sparkSession.createDataFrame([(k, a, sum(x == a for x in CODONS.values())) for k, a in CODONS.items() if a != "*"], "codon string, aa string, degree int")
     each = df.select(key, F.explode(codons(F.upper(F.col(seq)))).alias("codon")).join(F.broadcast(table), "codon")

@@ -72,9 +72,7 @@ def anticodons(t: Tables) -> DataFrame:
        "m as (select p_brand, avg(f) filter (degree = 2) as f2, avg(f) filter (degree = 3) as f3, avg(f) filter (degree = 4) as f4, avg(f) filter (degree = 6) as f6 from f where f > 0 group by 1) "
        "select p_brand, round(case when f2 + f4 + f6 is not null then least(61, 2 + 9 / f2 + 1 / coalesce(f3, (f2 + f4) / 2) + 5 / f4 + 3 / f6) else 61 end, 6)::double as effective_codons from m")
 def effective_codons(t: Tables) -> DataFrame:
-    # Part names are cut to whole codons, so that joined names keep their frames.
-    whole = F.substring(dna(), F.lit(1), F.floor(F.length(dna()) / 3).cast("int") * 3)
-    rows = t.part.groupBy("p_brand").agg(F.array_join(F.array_sort(F.collect_list(whole)), "").alias("s"))
+    rows = t.part.select("p_brand", dna().alias("s"))
     return Q.effective_codons(rows, "p_brand", "s").withColumn("effective_codons", six("effective_codons"))
 
 

@@ -303,3 +303,13 @@ def test_coherence_by_kind(spark):
     df = back.where("id < 12").withColumn("grp", F.col("id") % 2).withColumn("kind", F.when(F.col("id") % 2 == 0, "a").otherwise("b"))
     got = coherence.permutation_by_kind(df, {"a": back, "b": back}, "kind", "grp", "id", times=50).collect()
     assert sorted((r.kind, r.grp) for r in got) == [("a", 0), ("b", 1)]
+
+
+def test_effective_codons_gathers_no_group_in_one_row(spark):
+    from tarnwick.plans import registry
+
+    plan = registry.queries()["effective_codons"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan
+    rows = [("a", "TTTTTCCTTC"), ("a", "TTTTT"), ("a", None), ("b", "GGGGGAGGTGGT")]
+    df = spark.createDataFrame(rows, "k string, s string").select("k", F.explode(Q.codons(F.col("s"))).alias("c"))
+    assert sorted((r.k, r.c) for r in df.collect()) == [("a", "CTT"), ("a", "TTC"), ("a", "TTT"), ("a", "TTT"), ("b", "GGA"), ("b", "GGG"), ("b", "GGT"), ("b", "GGT")]
