@@ -57,8 +57,7 @@ def gc_known(c: Column) -> Column:
 
 def every_third(c: Column, first: int = 3) -> Column:
     """Letters first, first+3, ... as a string."""
-    places = F.sequence(F.lit(first), F.greatest(F.length(c), F.lit(first)), F.lit(3))
-    return F.array_join(F.transform(places, lambda i: F.substr(c, i, F.lit(1))), "")
+    return F.coalesce(F.regexp_replace(F.substring(c, first, 2**31 - 1), "(?s)(.).{0,2}", "$1"), F.lit(""))
 
 
 def gc3(c: Column) -> Column:
@@ -185,26 +184,49 @@ def instability(c: Column, weights: dict[str, float], otherwise: float = 1.0) ->
     return F.try_divide(10.0 * F.aggregate(F.transform(places, weight), F.lit(0.0), lambda a, x: a + x), F.length(p))
 
 
-def charge_at(c: Column, ph: Column) -> Column:
-    """Net charge of a peptide at a pH, by the dissociation constants in PKA."""
-    p = clean_peptide(F.upper(c))
+#: Letters that carry a charge inside a peptide, with their constants.
+_CHARGED = (*PKA["+"].items(), *PKA["-"].items())
+
+
+def _charges(p: Column) -> Column:
+    """What the charge of a clean peptide depends on: its ends' constants and the numbers of its charged letters."""
     first, last = (F.create_map(*[F.lit(x) for pair in t.items() for x in pair]) for t in (PKA_FIRST, PKA_LAST))
-    up = lambda pk: 1 / (1 + F.pow(F.lit(10.0), ph - pk))
-    down = lambda pk: 1 / (1 + F.pow(F.lit(10.0), pk - ph))
     start = F.coalesce(F.try_element_at(first, F.substring(p, 1, 1)), F.lit(7.5))
     end = F.coalesce(F.try_element_at(last, F.substring(p, -1, 1)), F.lit(3.55))
-    plus = sum((count_of(p, a) * up(k) for a, k in PKA["+"].items()), up(start))
-    minus = sum((count_of(p, a) * down(k) for a, k in PKA["-"].items()), down(end))
-    return F.when(F.length(p) > 0, plus - minus)
+    return F.struct(start.alias("start"), end.alias("end"), F.length(p).alias("n"), *[count_of(p, a).alias("n" + a) for a, _ in _CHARGED])
+
+
+def _net_charge(s: Column, ph: Column) -> Column:
+    up = lambda pk: 1 / (1 + F.pow(F.lit(10.0), ph - pk))
+    down = lambda pk: 1 / (1 + F.pow(F.lit(10.0), pk - ph))
+    plus = sum((s["n" + a] * up(k) for a, k in PKA["+"].items()), up(s["start"]))
+    minus = sum((s["n" + a] * down(k) for a, k in PKA["-"].items()), down(s["end"]))
+    return F.when(s["n"] > 0, plus - minus)
+
+
+def _with(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def charge_at(c: Column, ph: Column) -> Column:
+    """Net charge of a peptide at a pH, by the dissociation constants in PKA."""
+    charges = lambda p: _with(_charges(p), lambda s: _net_charge(s, ph))
+    return _with(clean_peptide(F.upper(c)), charges)
 
 
 def isoelectric_point(c: Column, steps: int = 24) -> Column:
-    """The pH from 0 to 14 at which the net charge vanishes, by bisection."""
-    start = F.named_struct(F.lit("low"), F.lit(0.0), F.lit("high"), F.lit(14.0))
+    """The pH from 0 to 14 at which the net charge vanishes, by bisection.
+
+    Letters are counted once; a step halves the width above the lower bound.
+    """
+    def found(s: Column) -> Column:
+        start = F.named_struct(F.lit("low"), F.lit(0.0), F.lit("width"), F.lit(14.0))
+
+        def half(a: Column, _: Column) -> Column:
+            width = a["width"] / 2
+            return F.named_struct(F.lit("low"), F.when(_net_charge(s, a["low"] + width) > 0, a["low"] + width).otherwise(a["low"]), F.lit("width"), width)
 
-    def half(a: Column, _: Column) -> Column:
-        middle = (a["low"] + a["high"]) / 2
-        above = charge_at(c, middle) > 0
-        return F.named_struct(F.lit("low"), F.when(above, middle).otherwise(a["low"]), F.lit("high"), F.when(above, a["high"]).otherwise(middle))
+        return F.when(s["n"] > 0, F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, half, lambda a: a["low"] + a["width"] / 2))
 
-    return F.when(F.length(clean_peptide(c)) > 0, F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, half, lambda a: (a["low"] + a["high"]) / 2))
+    return _with(clean_peptide(F.upper(c)), lambda p: _with(_charges(p), found))

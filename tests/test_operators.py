@@ -313,3 +313,11 @@ def test_effective_codons_gathers_no_group_in_one_row(spark):
     rows = [("a", "TTTTTCCTTC"), ("a", "TTTTT"), ("a", None), ("b", "GGGGGAGGTGGT")]
     df = spark.createDataFrame(rows, "k string, s string").select("k", F.explode(Q.codons(F.col("s"))).alias("c"))
     assert sorted((r.k, r.c) for r in df.collect()) == [("a", "CTT"), ("a", "TTC"), ("a", "TTT"), ("a", "TTT"), ("b", "GGA"), ("b", "GGG"), ("b", "GGT"), ("b", "GGT")]
+
+
+def test_charge_counts_letters_once_and_third_letters_walk_once(spark):
+    plan = spark.range(1).select(Q.isoelectric_point(F.lit("MKDE")).alias("a"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("translate(") <= 2 * sum(map(len, Q.PKA.values()))
+    for text in ("", "ab", "abc", "abcdefgh", "a\nbc\nef"):
+        assert one(spark, Q.every_third(F.col("p")), p=text) == text[2::3]
+        assert one(spark, Q.every_third(F.col("p"), 1), p=text) == text[::3]
