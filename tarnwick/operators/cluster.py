@@ -69,46 +69,61 @@ def ch_db(df: DataFrame, by: str, x: str = "x", y: str = "y") -> DataFrame:
 def silhouette(df: DataFrame, key: str, by: str, x: str = "x", y: str = "y", block: int = 2048) -> DataFrame:
     """Mean silhouette of Euclidean distances (quadratic in the rows, as its definition is).
 
-    Points are packed into blocks of about ``block``, coordinates as bytes; a task takes two blocks
-    at a time, each two once, and gives a sum per point and label of the other block for both, so
-    distances are never rows of a plan. Keys are unique; a point alone in its label has 0.
+    Equal points of a label stand once with their number. Points are packed into blocks of about
+    ``block``, coordinates as bytes; a task takes two blocks at a time, each two once, and gives a
+    sum per point and label of the other block for both, so distances are never rows of a plan. The
+    pairs of blocks are dealt out evenly. Keys are unique; a point alone in its label has 0.
     """
+    spark = df.sparkSession
     kinds = {c: df.schema[c].dataType.simpleString() for c in (key, by)}
-    n_blocks = max(1, -(-df.count() // block))
-    dealt = df.where(F.col(by).isNotNull()).select(F.col(key).alias("k"), F.col(by).alias("l"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), F.pmod(F.xxhash64(key), F.lit(n_blocks)).cast("int").alias("b"))
+    points = df.where(F.col(by).isNotNull()).groupBy(F.col(by).alias("l"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).agg(F.min(key).alias("k"), F.count(F.lit(1)).alias("w"))
+    n_blocks = max(1, -(-points.count() // block))
+    dealt = points.select("k", "l", "x", "y", "w", F.pmod(F.xxhash64("k"), F.lit(n_blocks)).cast("int").alias("b"))
 
     def pack(t: pa.Table) -> pa.Table:
         lists = {c + "s": pa.ListArray.from_arrays(pa.array([0, t.num_rows], pa.int32()), t.column(c).combine_chunks()) for c in ("k", "l")}
-        return pa.table({"b": t.column("b").slice(0, 1)} | lists | {f"{c}s": pa.array([t.column(c).to_numpy().tobytes()], pa.binary()) for c in ("x", "y")})
+        return pa.table({"b": t.column("b").slice(0, 1)} | lists | {f"{c}s": pa.array([t.column(c).to_numpy().tobytes()], pa.binary()) for c in ("x", "y", "w")})
 
-    packed = dealt.groupBy("b").applyInArrow(pack, f"b int, ks array<{kinds[key]}>, ls array<{kinds[by]}>, xs binary, ys binary")
-    other = packed.toDF("o", "oks", "ols", "oxs", "oys")
-    pairs = packed.select("*", F.explode(F.sequence(F.col("b"), F.lit(n_blocks - 1))).alias("o")).join(other, "o")
+    packed = dealt.groupBy("b").applyInArrow(pack, f"b int, ks array<{kinds[key]}>, ls array<{kinds[by]}>, xs binary, ys binary, ws binary")
+    other = packed.toDF("o", "oks", "ols", "oxs", "oys", "ows")
+    n_pairs = n_blocks * (n_blocks + 1) // 2
+    tasks = min(n_pairs, max(4 * spark.sparkContext.defaultParallelism, n_pairs // 64))
+    met = spark.range(n_blocks).select(F.col("id").cast("int").alias("b")).select("b", F.explode(F.sequence(F.col("b"), F.lit(n_blocks - 1))).alias("o")).repartition(tasks)
+    pairs = met.join(packed, "b").join(other, "o")
 
-    def per_label(d: np.ndarray, keys: pa.Array, labels: pa.Array, others: pa.Array) -> pa.RecordBatch:
+    def per_label(d: np.ndarray, keys: pa.Array, labels: pa.Array, mine: np.ndarray, others: pa.Array, w: np.ndarray) -> pa.RecordBatch:
         codes = others.dictionary_encode()
         at = codes.indices.to_numpy()
-        order = np.argsort(at, kind="stable")
-        n = np.bincount(at)
-        sums = np.add.reduceat(d[:, order], np.r_[0, np.cumsum(n)[:-1]], axis=1)
+        n = np.bincount(at, w).astype(np.int64)
+        if len(n) <= 64:
+            shares = np.zeros((len(at), len(n)))
+            shares[np.arange(len(at)), at] = w
+            sums = d @ shares
+        else:
+            order = np.argsort(at, kind="stable")
+            sums = np.add.reduceat(d[:, order] * w[order], np.r_[0, np.cumsum(np.bincount(at))[:-1]], axis=1)
         rows, cols = pa.array(np.repeat(np.arange(len(keys)), len(n))), pa.array(np.tile(np.arange(len(n)), len(keys)))
-        return pa.RecordBatch.from_arrays([keys.take(rows), labels.take(rows), codes.dictionary.take(cols), pa.array(sums.ravel()), pa.array(np.tile(n, len(keys)))], ["k", "l", "ol", "s", "n"])
+        return pa.RecordBatch.from_arrays([keys.take(rows), labels.take(rows), pa.array(np.repeat(mine, len(n))), codes.dictionary.take(cols), pa.array(sums.ravel()), pa.array(np.tile(n, len(keys)))], ["k", "l", "w", "ol", "s", "n"])
 
     def sums(batches):
         for batch in batches:
             for i in range(batch.num_rows):  # a row is a pair of blocks
                 c = {name: batch.column(name)[i] for name in batch.schema.names}
                 px, py, qx, qy = (np.frombuffer(c[name].as_py()) for name in ("xs", "ys", "oxs", "oys"))
-                d = np.hypot(px[:, None] - qx[None], py[:, None] - qy[None])
-                yield per_label(d, c["ks"].values, c["ls"].values, c["ols"].values)
+                pw, qw = (np.frombuffer(c[name].as_py(), dtype=np.int64) for name in ("ws", "ows"))
+                dx, dy = px[:, None] - qx[None], py[:, None] - qy[None]
+                np.multiply(dx, dx, out=dx)
+                np.multiply(dy, dy, out=dy)
+                d = np.sqrt(np.add(dx, dy, out=dx), out=dx)
+                yield per_label(d, c["ks"].values, c["ls"].values, pw, c["ols"].values, qw)
                 if c["b"].as_py() != c["o"].as_py():
-                    yield per_label(d.T, c["oks"].values, c["ols"].values, c["ls"].values)
+                    yield per_label(d.T, c["oks"].values, c["ols"].values, qw, c["ls"].values, pw)
 
-    found = pairs.mapInArrow(sums, f"k {kinds[key]}, l {kinds[by]}, ol {kinds[by]}, s double, n long").groupBy("k", "l", "ol").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    found = pairs.mapInArrow(sums, f"k {kinds[key]}, l {kinds[by]}, w long, ol {kinds[by]}, s double, n long").groupBy("k", "l", "w", "ol").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
     own = F.col("l") == F.col("ol")
-    ab = found.groupBy("k").agg(F.min(F.when(own, F.try_divide("s", F.col("n") - 1))).alias("a"), F.min(F.when(~own, F.col("s") / F.col("n"))).alias("b"))
+    ab = found.groupBy("k", "w").agg(F.min(F.when(own, F.try_divide("s", F.col("n") - 1))).alias("a"), F.min(F.when(~own, F.col("s") / F.col("n"))).alias("b"))
     s = F.when(F.col("a").isNull(), 0.0).otherwise(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")))
-    return ab.agg(F.avg(s).alias("silhouette"))
+    return ab.agg((F.sum(s * F.col("w")) / F.sum(F.when(s.isNotNull(), F.col("w")))).alias("silhouette"))
 
 
 def kmeans(df: DataFrame, k: int, x: str = "x", y: str = "y", seed: int = 42, tries: int = 10) -> DataFrame:

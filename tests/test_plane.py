@@ -78,3 +78,25 @@ def test_pair_stats_equal_all_distances(spark, block):
         q = sets[g]
         d = np.sqrt(((q[:, None] - q[None]) ** 2).sum(axis=2))[np.triu_indices(len(q), 1)]
         assert (r.mean, r.median, r.max, r.std, r.pairs) == (pytest.approx(d.mean()), pytest.approx(np.median(d), abs=1e-12), pytest.approx(d.max()), pytest.approx(d.std(), abs=1e-7), len(d))
+
+
+def test_silhouette_of_copies_is_that_of_weighted_points(spark):
+    import numpy as np
+
+    from tarnwick.operators import cluster
+
+    rng = np.random.default_rng(4)
+    base = [(float(a), float(b), int(g)) for a, b, g in zip(rng.integers(0, 9, 70), rng.integers(0, 9, 70), rng.integers(0, 3, 70), strict=True)]
+    rows = [(i, *p) for i, p in enumerate(base * 4 + [(50.0, 50.0, 7)])]
+    p, label = np.array([r[1:3] for r in rows]), np.array([r[3] for r in rows])
+    d = np.sqrt(((p[:, None] - p[None]) ** 2).sum(axis=2))
+    s = []
+    for i in range(len(rows)):
+        mean = {g: d[i, label == g].sum() / ((label == g).sum() - (g == label[i])) for g in set(label.tolist()) if (label == g).sum() > (g == label[i])}
+        a, b = mean.get(label[i]), min(v for g, v in mean.items() if g != label[i])
+        s.append(0.0 if a is None else (b - a) / max(a, b))
+    df = spark.createDataFrame(rows, "k long, x double, y double, g int")
+    for block in (16, 2048):
+        assert abs(cluster.silhouette(df, "k", "g", block=block).first()[0] - np.mean(s)) < 1e-9
+    plan = cluster.silhouette(df, "k", "g")._jdf.queryExecution().optimizedPlan().toString()
+    assert "ows#" in plan
