@@ -1,4 +1,8 @@
-"""Near copies by the Jaccard similarity of word shingles, for the pipeline's stage.
+"""Near copies by SimHash and the Jaccard similarity of word shingles, for the pipeline's stage.
+
+SimHash fingerprints as op1 has them come first: texts whose fingerprints differ in at most two bits
+are compared by their whole sets. Similar texts may be further apart than that, so the others are
+found as follows.
 
 A text is the set of its shingles of five words. MinHash signatures of 128 places are cut into 32
 bands of four; texts that agree in a whole band share a bucket; a pair of similarity 0.8 shares no
@@ -19,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tarnwick.llm import simhash
 from tarnwick.llm.common import TMP, discard, each, materialize, shuffle_partitions
 from tarnwick.llm.graph import connected_components
 
@@ -86,15 +91,17 @@ def _lists(parts: list[np.ndarray], kind=np.int64) -> pa.Array:
 
 
 def _signed(texts: pa.Array) -> pa.Array:
-    """(n, bands, sketch) of each text: the size of its set of shingles, its buckets and a byte of each place of its signature."""
-    sizes, keys, sketches = [], [], []
+    """(n, bands, sketch, fingerprint) of each text: the size of its set of shingles, its buckets, a byte of each place of its signature and its SimHash."""
+    sizes, keys, sketches, prints = [], [], [], []
     for t in each(texts.cast(pa.binary())):
         s = shingle_set(t or b"")
         sizes.append(len(s))
         least = least_hashes(s)
         keys.append(bands(least) if len(s) else s)
         sketches.append((least * np.uint32(0x9E3779B1) >> np.uint32(24)).astype(np.uint8))
-    return pa.StructArray.from_arrays([pa.array(sizes, pa.int32()), _lists(keys), _lists(sketches, np.int8)], ["n", "bands", "sketch"])
+        prints.append(simhash.fingerprint_bytes(t or b""))
+    hashed = pa.array(np.array(prints, dtype=np.uint64).view(np.int64))
+    return pa.StructArray.from_arrays([pa.array(sizes, pa.int32()), _lists(keys), _lists(sketches, np.int8), hashed], ["n", "bands", "sketch", "fingerprint"])
 
 
 def _shingles(texts: pa.Array) -> pa.Array:
@@ -282,9 +289,26 @@ def _all_left(placed: DataFrame, known: DataFrame, sets: DataFrame, threshold: f
     return out
 
 
-def links(nodes: DataFrame, sets_of, threshold: float = 0.8, rounds: int = 2) -> DataFrame:
+def fingerprint_pairs(nodes: DataFrame, radius: int = 2) -> DataFrame:
+    """Pairs (a, b) that join all nodes (node, fingerprint) whose SimHash fingerprints differ in at most ``radius`` bits.
+
+    Nodes of one fingerprint meet the least of them, and those stand for their fingerprints.
+    """
+    prints = materialize(nodes.groupBy("fingerprint").agg(F.min("node").alias("least")), "fingerprints")
+    same = nodes.join(prints, "fingerprint").where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    at = {k: prints.select(F.col("fingerprint").alias(k), F.col("least").alias("x" + k)) for k in ("a", "b")}
+    near = simhash.links(prints.select("fingerprint"), radius).distinct().join(at["a"], "a").join(at["b"], "b")
+    near = near.select(F.least("xa", "xb").alias("a"), F.greatest("xa", "xb").alias("b"))
+    out = materialize(same.unionByName(near), "fingerprint_pairs")
+    discard(prints)
+    return out
+
+
+def links(nodes: DataFrame, sets_of, threshold: float = 0.8, rounds: int = 2, first: DataFrame | None = None) -> DataFrame:
     """(node, root) of all nodes (node, n, bands, sketch) that similar pairs link to another.
 
+    Pairs (a, b) of ``first``, such as those of ``fingerprint_pairs``, are compared before all others.
+
     In the first round each bucket's nodes meet the bucket's least by a hash of the node, the same
     leader in all buckets of the same copies; in each further round every bucket has another leader
     by a hash of its own, so that a node meets as many new ones as it has buckets. After ``rounds``
@@ -295,9 +319,12 @@ def links(nodes: DataFrame, sets_of, threshold: float = 0.8, rounds: int = 2) ->
     level = _shared(nodes.select("node", "n", F.posexplode("bands").alias("band", "bucket")), threshold)
     # 31 bits of a band tell which bands two signatures share but for a chance of 10^-8.
     short = F.transform("bands", lambda b: b.bitwiseAND(F.lit(2**31 - 1)).cast("int")).alias("bands")
-    known = materialize(nodes.select("node", "sketch", short).join(level.select("node").distinct(), "node", "left_semi"), "sketches")
+    met = level.select("node")
+    if first is not None:
+        met = met.union(first.select("a")).union(first.select("b"))
+    known = materialize(nodes.select("node", "sketch", short).join(met.distinct(), "node", "left_semi"), "sketches")
     sets = materialize(sets_of(known.select("node")), "shingles")
-    edges: list[DataFrame] = []
+    edges = [] if first is None else [_similar(_likely(first, known, threshold), sets, threshold)]
     fits = (F.col("n") >= threshold * F.col("m")) & (F.col("m") >= threshold * F.col("n"))
 
     now = level.withColumn("root", F.col("node"))
@@ -338,14 +365,16 @@ def keep_one_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     named = docs.select(F.struct(*docs.columns).alias(TMP + "row"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.arrow_udf(_node, "long")(F.col(text_col)).alias("node"))
     order = Window.partitionBy("node").orderBy(F.col("id").asc_nulls_last(), "h")
     one = named.withColumn("r", F.row_number().over(order)).where("r = 1").drop("r", "h")
-    signed = F.arrow_udf(_signed, "struct<n: int, bands: array<long>, sketch: array<tinyint>>")(row[text_col])
+    signed = F.arrow_udf(_signed, "struct<n: int, bands: array<long>, sketch: array<tinyint>, fingerprint: long>")(row[text_col])
     texts = materialize(one.withColumn("t", signed).select(TMP + "row", "node", "id", "t.*"), "texts")
 
     def sets_of(wanted: DataFrame) -> DataFrame:
         asked = texts.select("node", row[text_col].alias("text")).join(wanted, "node", "left_semi")
         return asked.select("node", F.arrow_udf(_shingles, "array<int>")("text").alias("s"))
 
-    roots = links(texts.select("node", "n", "bands", "sketch"), sets_of, threshold)
+    near = fingerprint_pairs(texts.select("node", "fingerprint"))
+    roots = links(texts.select("node", "n", "bands", "sketch"), sets_of, threshold, first=near)
+    discard(near)
     involved = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
     members = materialize(texts.select("node", "id").join(involved, "node"), "members")
     lowest = members.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "node")).alias("l"))

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnwick.llm.common import TMP, each, materialize, shuffle_partitions
+from tarnwick.llm.common import TMP, discard, each, materialize, shuffle_partitions
 from tarnwick.llm.graph import connected_components
 
 SEED = 42
@@ -183,7 +183,8 @@ def links(distinct: DataFrame, radius: int = 2, bucket_rows: int = 4096, group_r
     cut = _bucketed(hot, ["fingerprint", "bucket"], 8, 4, 2, 0)
     alive = cut.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
     cut = cut.join(alive, "bucket").select("bucket", "fingerprint")
-    level = materialize(small.unionByName(cut), "buckets2")
+    before, level = level, materialize(small.unionByName(cut), "buckets2")
+    discard(before)
     groups = max(4 * shuffle_partitions(spark), level.count() // group_rows + 1)
 
     def compare(table: pa.Table) -> pa.Table:

@@ -148,3 +148,20 @@ def test_rows_that_need_their_sets_are_those_of_likely_pairs_of_the_band():
     for l, pairs in ((np.ones(60, bool), [(i, j) for i in range(60) for j in range(i)]), (left, [(i, j) for i in range(25) for j in range(25, 60)])):
         want = {k for i, j in pairs if likely(i, j) for k in (i, j)}
         assert set(np.flatnonzero(near_texts.likely_rows(n, root, l, sketch, keys, 2, 0.8)).tolist()) == want and want
+
+
+def test_simhash_fingerprints_join_copies_by_themselves(spark, monkeypatch):
+    """Texts within two bits are compared without any bucket of signatures, and only similar ones are joined."""
+    from tarnwick.llm import simhash
+
+    r = random.Random(5)
+    texts = []
+    for _ in range(12):
+        base = [f"w{r.randrange(5000)}" for _ in range(1500)]
+        texts += [" ".join(base), " ".join(base[:-1] + ["changed"])]
+    bits = [simhash.fingerprint_bytes(t.encode()) for t in texts]
+    close = [k for k in range(0, 24, 2) if (bits[k] ^ bits[k + 1]).bit_count() <= 2]
+    assert close
+    monkeypatch.setattr(near_texts, "_shared", lambda dealt, threshold: near_texts.materialize(dealt.limit(0), "shared"))
+    kept = near_texts.keep_one_text(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert sorted(r.doc_id for r in kept) == [k for k in range(24) if k - 1 not in close]
