@@ -6,9 +6,8 @@ n-grams with their probabilities and back-off weights. A text goes to the langua
 cross-entropy per symbol; the margin to the second, scaled by the text's length, is calibrated to
 the probability of being right, below which the choice counts as rejected.
 
-N-grams are counted in Spark over all texts. A model keeps the ``most`` most frequent trigrams of
-its language, 500,000 unless told otherwise: 6 MB a language, and more than alphabetic languages
-have; of Chinese it leaves out rare ones, whose probabilities then come from pairs.
+N-grams are counted in Spark over all texts, and a model keeps every trigram of its language that
+they hold, 12 bytes each; an alphabetic language has some ten thousand.
 """
 
 from __future__ import annotations
@@ -19,7 +18,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tarnwick.llm.common import crc_mod
 from tarnwick.llm.models import Isotonic
@@ -195,7 +193,7 @@ def margin(h: np.ndarray, n: np.ndarray) -> np.ndarray:
     return (low[:, 1] - low[:, 0]) * np.sqrt(np.maximum(n, 0))
 
 
-def fit_languages(docs: DataFrame, folds: int = 3, held_out: int = 1, calibrate_on: int = 4000, reject_below: float = 0.5, most: int = 500_000,
+def fit_languages(docs: DataFrame, folds: int = 3, held_out: int = 1, calibrate_on: int = 4000, reject_below: float = 0.5,
                   id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
     """Count the trigrams of every text of known language outside the held-out fold, and fit.
 
@@ -247,11 +245,6 @@ def fit_languages(docs: DataFrame, folds: int = 3, held_out: int = 1, calibrate_
 
     counts = known.select("lang", "text", "aside").mapInArrow(count, "lang string, aside boolean, key long, n long")
     counts = counts.groupBy("lang", "key").agg(F.sum("n").alias("n"), F.sum(F.when(~F.col("aside"), F.col("n")).otherwise(0)).alias("part"))
-    salt = F.pmod(F.col("key"), F.lit(64))
-    often = [F.col("n").desc(), F.col("key")]
-    first = F.row_number().over(Window.partitionBy("lang", salt).orderBy(*often))
-    counts = counts.withColumn("r", first).where(F.col("r") <= most)
-    counts = counts.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(*often))).where(F.col("r") <= most)
     got = counts.select("lang", "key", "n", "part").orderBy("lang", "key").toArrow()
     langs, keys, n, part = (got.column(c).to_numpy() for c in ("lang", "key", "n", "part"))
     names = sorted(set(langs.tolist()))

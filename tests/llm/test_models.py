@@ -1,4 +1,5 @@
 import math
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -251,3 +252,12 @@ def test_toxic_features_of_any_length_and_script():
         toxicity.features(word, {})
     assert time.perf_counter() - began < 10
     assert toxicity.features("a.b" * 100_000, {})[at] > 0
+
+
+def test_language_models_keep_every_trigram(spark):
+    rng = np.random.default_rng(6)
+    rows = [(k, "".join(map(chr, rng.integers(0x4E00, 0x9F00, 90_000))), "zh") for k in range(14)]
+    model = langid.fit_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    taught = [t for k, t, _ in rows if zlib.crc32(str(k).encode()) % 3 != 1]
+    want = np.unique(np.concatenate([langid.trigrams(langid.symbols_of([t])[0]) for t in taught]))
+    assert len(want) > 500_000 and (model.models[0].triples.get(want, -1.0) > 0).all()
