@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tarnwick.operators.nearest import nearest_distances
+from tarnwick.operators.pair_sums import prefix_sums
 from tarnwick.operators.pairs import pair_stats
 from tarnwick.operators.relational import numbered
 
@@ -70,20 +71,8 @@ def mean_pairwise(p: np.ndarray, block: int = 256) -> float:
 
 
 def prefix_means(p: np.ndarray, sizes: np.ndarray, block: int = 256) -> np.ndarray:
-    """Mean distance of all pairs among the first n rows, for every n in ``sizes``.
-
-    The sum of the pairs grows by one row at a time: by its distances to the rows before it.
-    """
-    x, y = (np.ascontiguousarray(p[:, c]) for c in (0, 1))
-    added = np.empty(len(p))
-    for lo in range(0, len(p), block):
-        hi = min(len(p), lo + block)
-        dx, dy = x[lo:hi, None] - x[None, :hi], y[lo:hi, None] - y[None, :hi]
-        np.multiply(dx, dx, out=dx)
-        np.multiply(dy, dy, out=dy)
-        d = np.sqrt(np.add(dx, dy, out=dx), out=dx)
-        added[lo:hi] = d[:, :lo].sum(axis=1) + np.tril(d[:, lo:], -1).sum(axis=1)
-    return np.cumsum(added)[sizes - 1] / (sizes * (sizes - 1) / 2)
+    """Mean distance of all pairs among the first n rows, for every n in ``sizes``, ascending."""
+    return prefix_sums(p, sizes, block) / (sizes * (sizes - 1) / 2)
 
 
 def random_prefixes(background: DataFrame, key: str, sizes: list[int], measure: Callable[[np.ndarray, np.ndarray], np.ndarray], names: tuple[str, ...], x: str, y: str, times: int, seed: int, most: int) -> DataFrame:
@@ -140,8 +129,8 @@ def permutation_test(df: DataFrame, background: DataFrame, group: str, key: str,
     """z and p of each group's mean pairwise distance against random sets of its size.
 
     Every draw is one random order of the background that serves all sizes (``random_prefixes``),
-    and its sums of pairs grow row by row: its work is the square of the largest group and its
-    memory that group. z uses the population deviation; a lone member or a flat null gives (0, 1).
+    and its sums of pairs come from a grid (``pair_sums``): its work is less than the square of the
+    largest group and its memory that group. z uses the population deviation; a lone member or a flat null gives (0, 1).
     """
     sized = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
     sizes = [r.n for r in sized.select("n").distinct().collect()]
