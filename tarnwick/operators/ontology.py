@@ -121,14 +121,28 @@ def term_levels(edges: DataFrame, max_depth: int = 64) -> DataFrame:
     raise ValueError("the ontology is deeper than max_depth or has a cycle")
 
 
+def gene_lists(genes: DataFrame, known: DataFrame, by: list[str], out: str) -> DataFrame:
+    """``by`` and the genes of each group as one text, in the order of their texts, parted by commas.
+
+    The genes of ``known``, which has all of them, are cut into ranges of that order. A range of a
+    group is glued by itself, so no task holds a large group gene by gene: only its text, range by
+    range.
+    """
+    ranges = 4 * int(genes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    text = F.col("gene").cast("string")
+    placed = known.select(text.alias("gene")).distinct().repartitionByRange(ranges, "gene").select("gene", F.spark_partition_id().alias("range"))
+    each = genes.select(*by, text.alias("gene")).join(placed, "gene").groupBy(*by, "range").agg(F.array_join(F.array_sort(F.collect_list("gene")), ",").alias("some"))
+    return each.groupBy(*by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("range", "some"))), lambda r: r["some"]), ",").alias(out))
+
+
 def enrichment_report(found: DataFrame, background: DataFrame, associations: DataFrame, info: DataFrame) -> DataFrame:
     """Significant terms with name, level, depth and definition of ``info`` and the background's genes of the term.
 
-    Shares are rounded half-even to two digits. Genes are gathered for the reported terms alone.
+    Shares are rounded half-even to two digits. Genes are gathered for the reported terms alone (``gene_lists``).
     """
     terms = found.select("term").distinct()
     genes = associations.select("gene", "term").distinct().join(background.select("gene").distinct(), "gene", "left_semi").join(terms, "term", "left_semi")
-    items = genes.groupBy("term").agg(F.array_join(F.array_sort(F.collect_list(F.col("gene").cast("string"))), ",").alias("pop_items"))
+    items = gene_lists(genes, background, ["term"], "pop_items")
     rows = found.join(items, "term", "left").join(info.select("term", "name", "level", "depth", "definition"), "term", "left")
     extra = [c for c in ("grp", "variant", "background") if c in found.columns]
     return rows.select(
