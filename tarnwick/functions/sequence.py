@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from itertools import product
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,8 +47,14 @@ def gc_fraction(c: Column) -> Column:
 
 def gc_counts(c: Column) -> tuple[Column, Column]:
     """Letters that are G or C, and letters that are known to be or not to be; unknown ones are in neither."""
-    gc = count_of(c, "GCSgcs")
-    return gc, gc + count_of(c, "ATUWatuw")
+    # Letter by letter, as a translation looks each letter up as a string of its own.
+    def without(x: Column, letters: str) -> Column:
+        for a in letters:
+            x = F.replace(x, F.lit(a), F.lit(""))
+        return x
+
+    others = without(c, "GCSgcs")
+    return F.length(c) - F.length(others), F.length(c) - F.length(without(others, "ATUWatuw"))
 
 
 def gc_known(c: Column) -> Column:
@@ -146,6 +154,70 @@ def effective_codons(df: DataFrame, key: str, seq: str) -> DataFrame:
     return mean.select(key, F.least(F.lit(61.0), 2 + F.try_divide(F.lit(9.0), f2) + F.try_divide(F.lit(1.0), f3) + F.try_divide(F.lit(5.0), f4) + F.try_divide(F.lit(3.0), f6)).alias("effective_codons"))
 
 
+#: Base letters as they are numbered; all others are the last.
+_BASES = "TCAGR"
+_NUMBERS = np.full(256, len(_BASES), dtype=np.int64)
+for _i, _b in enumerate(_BASES):
+    _NUMBERS[[ord(_b), ord(_b.lower())]] = _i
+#: Codons that are stops, and the place of all others in the genetic code, by the numbers of their letters.
+_TRIPLES = ["".join(x) for x in product(_BASES + "?", repeat=3)]
+_STOPS = np.array([CODONS.get(x) == "*" or x in ("TAR", "TRA") for x in _TRIPLES])
+_PLACES = np.array([list(CODONS).index(x) if CODONS.get(x, "*") != "*" else len(CODONS) for x in _TRIPLES])
+#: Bytes that are G or C, and those that are known to be or not to be.
+_GC, _KNOWN = (np.isin(np.arange(256), [ord(x) for x in letters]).astype(np.int64) for letters in ("GCSgcs", "GCSgcsATUWatuw"))
+#: Codons (rows) of each amino acid, by degree.
+_DEGREES = {d: np.array([[x == a for a in AMINO if CODE.count(a) == d] for x in CODONS.values()], dtype=np.float64) for d in (2, 3, 4, 6)}
+
+
+def _codon_measures(sequences: pa.Array) -> pa.Array:
+    data = sequences.cast(pa.large_binary())
+    if np.frombuffer(data.buffers()[2] or b"", dtype=np.uint8).max(initial=0) > 127:
+        data = pa.array([None if x is None else x.encode("ascii", "replace") for x in sequences.to_pylist()], pa.large_binary())
+    rows, there = len(data), data.is_valid().to_numpy(zero_copy_only=False)
+    ends = np.frombuffer(data.buffers()[1], dtype=np.int64)[data.offset : data.offset + rows + 1]
+    letters = np.frombuffer(data.buffers()[2] or b"", dtype=np.uint8)
+    n = np.where(there, np.diff(ends), 0) // 3
+    row = np.repeat(np.arange(rows), n)
+    within = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    at = ends[:-1][row] + 3 * within
+    side = len(_BASES) + 1
+    third = _NUMBERS[letters[at + 2]]
+    codon = (_NUMBERS[letters[at]] * side + _NUMBERS[letters[at + 1]]) * side + third
+
+    def share(gc: np.ndarray, known: np.ndarray) -> pa.Array:
+        return pa.array(np.divide(gc, known, out=np.zeros(rows), where=known > 0), mask=~there)
+
+    counted = [np.diff(np.r_[0, np.cumsum(of[letters])][ends]) for of in (_GC, _KNOWN)]
+    thirds = [np.bincount(row, weights=x, minlength=rows) for x in ((third == 1) | (third == 3), third < 4)]
+
+    peptide, stops = n.copy(), np.flatnonzero(_STOPS[codon])
+    np.minimum.at(peptide, row[stops], within[stops])
+
+    width = len(CODONS) + 1
+    counts = np.bincount(row * width + _PLACES[codon], minlength=rows * width).reshape(rows, width)[:, :-1].astype(np.float64)
+    mean = {}
+    with np.errstate(divide="ignore", invalid="ignore"):
+        for d, members in _DEGREES.items():
+            of, squares = counts @ members, (counts * counts) @ members
+            f = (squares / of - 1) / (of - 1)
+            good = (of > 1) & (f > 0)
+            mean[d] = np.where(good, f, 0.0).sum(axis=1) / good.sum(axis=1)
+        some = ~np.isnan(np.stack(list(mean.values()))).all(axis=0)
+        f3 = np.where(np.isnan(mean[3]), (mean[2] + mean[4]) / 2, mean[3])
+        effective = np.fmin(61.0, 2 + 9.0 / mean[2] + 1.0 / f3 + 5.0 / mean[4] + 3.0 / mean[6])
+    return pa.StructArray.from_arrays([share(*counted), share(*thirds), pa.array(peptide.astype(np.int32), mask=~there), pa.array(effective, mask=~some)], ["gc", "gc3", "peptide_length", "effective_codons"])
+
+
+def codon_measures(c: Column) -> Column:
+    """(gc, gc3, peptide_length, effective_codons) of each sequence by itself.
+
+    They are ``gc_known``, the share of G and C among the letters A, C, G and T that are third of a codon, the length of ``translated``
+    and ``effective_codons``. A sequence's codons are counted in its own row, so none of them is a row of a plan. Without
+    a class that has data there is no effective number.
+    """
+    return F.arrow_udf(_codon_measures, "struct<gc: double, gc3: double, peptide_length: int, effective_codons: double>")(c)
+
+
 def plddt_measures(df: DataFrame, key: str, value: str) -> DataFrame:
     """Mean, spread, variation and share under 50 of per-residue confidence."""
     x, mean, std = F.col(value), F.avg(value), F.stddev_pop(value)

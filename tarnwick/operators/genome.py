@@ -116,6 +116,54 @@ def with_sequences(ranges: DataFrame, chunks: DataFrame, size: int = CHUNK) -> D
     return cut_ranges(ranges, chunks, ["mRNA_id", "start", "end"], size)
 
 
+def transcript_parts(features: DataFrame, chunks: DataFrame, size: int = CHUNK) -> DataFrame:
+    """(mRNA_id, up, introns, gc) of every id that has coding parts with letters.
+
+    ``up`` and ``introns`` hold the pieces (start, end, Strand, at, piece) of coding parts and introns in the order of their
+    starts, each piece turned by its part's strand and in its part's order of reading; without introns they are null.
+    ``gc`` is ``range_gc`` of the transcript from behind the first base of its coding region to its
+    end, null without a transcript. All ranges meet the chunks in one join, and the pieces of an id are
+    sent and gathered once.
+    """
+    every = features.where(F.col("type").isin("CDS", "intron"))
+    every = every.select(F.explode(F.split("parent", ",")).alias("mRNA_id"), F.col("seqid").alias("Chromosome"), "start", "end", F.col("strand").alias("Strand"), "type")
+    bounds = every.where("type = 'CDS'").groupBy("mRNA_id").agg((F.min("start") + 1).alias("start"), F.max("end").alias("end"))
+    spans = transcripts(features).drop("Gene_id").join(bounds, "mRNA_id").withColumn("type", F.lit("span")).select(*every.columns)
+    span, back = F.col("type") == "span", F.coalesce(F.col("Strand") == "-", F.lit(False))
+    gc, known = gc_counts(F.col("piece"))
+    turned = F.when(back, other_strand(F.col("piece"))).otherwise(F.col("piece"))
+    piece = F.struct("start", "end", "Strand", F.when(back, -F.col("chunk")).otherwise(F.col("chunk")).alias("at"), turned.alias("piece"))
+    pieces = _touched(every.unionByName(spans), chunks, size)
+    pieces = pieces.select("mRNA_id", "type", F.when(~span, piece).alias("piece"), F.when(span, gc).alias("gc"), F.when(span, known).alias("known"))
+
+    def gathered(kind: str) -> Column:
+        found = F.sort_array(F.collect_list(F.when(F.col("type") == kind, F.col("piece"))))
+        return F.when(F.size(found) > 0, found)
+
+    share = F.when(F.count_if(span) > 0, F.coalesce(F.try_divide(F.sum("gc").cast("double"), F.sum("known")), F.lit(0.0)))
+    # Few pieces of an id meet before they are sent, so they are gathered behind the shuffle only.
+    return pieces.repartition("mRNA_id").groupBy("mRNA_id").agg(gathered("CDS").alias("up"), gathered("intron").alias("introns"), share.alias("gc")).where("up is not null")
+
+
+def glued(pieces: Column, backward: Column | None = None) -> Column:
+    """The letters of the pieces of ``transcript_parts``, the last part first where it is read ``backward``."""
+    if backward is not None:
+        last_first = F.transform(pieces, lambda x: F.struct((-x["start"]).alias("start"), (-x["end"]).alias("end"), x["Strand"].alias("Strand"), x["at"].alias("at"), x["piece"].alias("piece")))
+        pieces = F.when(backward, F.sort_array(last_first)).otherwise(pieces)
+    return F.array_join(F.transform(pieces, lambda x: x["piece"]), "")
+
+
+def n_parts(pieces: Column) -> Column:
+    """Number of parts that the pieces of ``transcript_parts`` belong to."""
+    return F.size(F.array_distinct(F.transform(pieces, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["Strand"].alias("Strand")))))
+
+
+def first_part(pieces: Column) -> Column:
+    """The letters of the part of the least start."""
+    first = F.get(pieces, F.lit(0))
+    return glued(F.filter(pieces, lambda x: (x["start"] == first["start"]) & (x["end"] == first["end"]) & x["Strand"].eqNullSafe(first["Strand"])))
+
+
 def coding_sequences(features: DataFrame, chunks: DataFrame, size: int = CHUNK) -> DataFrame:
     """(mRNA_id, sequence): the coding parts of every transcript, glued in the order of reading."""
     strands = transcripts(features).select("mRNA_id", "Strand")

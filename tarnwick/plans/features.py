@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tarnwick.functions.semantics import neg_log10
-from tarnwick.functions.sequence import effective_codons, every_third, gc_fraction, gc_known, translated
+from tarnwick.functions.sequence import codon_measures, gc_fraction, gc_known
 from tarnwick.operators import genome, relational
 
 
@@ -69,49 +69,56 @@ def dna_record(transcripts: DataFrame, cds: DataFrame, introns: DataFrame, chrom
     def joined(parts: Column) -> Column:
         return F.array_join(F.transform(parts, lambda x: x["sequence"]), "")
 
-    rows = transcripts.join(gathered(cds, "up"), "mRNA_id").join(gathered(introns, "introns"), "mRNA_id", "left")
-    rows = rows.join(chromosomes, "Chromosome", "left").join(primary, "Gene_id", "left")
+    placed = transcripts.join(chromosomes, "Chromosome", "left").join(primary, "Gene_id", "left")
+    rows = placed.join(gathered(cds, "up"), "mRNA_id").join(gathered(introns, "introns"), "mRNA_id", "left")
+    return _measured(rows.withColumns({
+        "cds": joined(F.when(F.col("Strand") == "+", F.col("up")).otherwise(F.reverse("up"))), "CDS_number": F.size("up"),
+        "intron": joined(F.col("introns")), "Intron_number": F.array_size("introns"), "first_intron": F.get("introns", F.lit(0))["sequence"]}))
+
+
+def _measured(rows: DataFrame) -> DataFrame:
+    """``dna_record`` of transcripts with their place and primary length, their ordered parts ``up``, and the glued ``cds``, ``intron`` and ``first_intron``."""
     forward, first, last = F.col("Strand") == "+", F.element_at("up", 1), F.element_at("up", -1)
     rows = rows.withColumns({"Start": F.when(forward, first["start"]).otherwise(last["end"]), "End": F.when(forward, last["end"]).otherwise(first["start"])})
     rows = rows.withColumns({
-        "cds": joined(F.when(forward, F.col("up")).otherwise(F.reverse("up"))), "intron": F.coalesce(joined(F.col("introns")), F.lit("")), "Intron_number": F.coalesce(F.array_size("introns"), F.lit(0)),
+        "intron": F.coalesce("intron", F.lit("")), "first_intron": F.coalesce("first_intron", F.lit("")), "Intron_number": F.coalesce("Intron_number", F.lit(0)), "codon": codon_measures(F.col("cds")),
         "middle": F.floor((F.col("Start") + F.col("End")) / 2), "Gene_length": F.abs(F.col("End") - F.col("Start")) + 1})
-    whole, n, middle = F.coalesce(F.length("intron"), F.lit(0)), F.col("Intron_number"), F.col("middle")
-    first_intron = F.coalesce(F.get("introns", F.lit(0))["sequence"], F.lit(""))
+    whole, n, middle = F.length("intron"), F.col("Intron_number"), F.col("middle")
+    first_intron = F.col("first_intron")
     left, right = F.abs(middle - F.col("left")), F.abs(middle - F.col("right"))
     to_end = F.when(left.isNotNull() & right.isNotNull(), F.least(left, right))
     to_centre = F.abs(middle - (F.col("centromere_start") + F.col("centromere_end")) / 2)
-    peptide = F.length(translated(F.col("cds")))
+    codon = F.col("codon")
 
     def gc(c: Column) -> Column:
         return F.coalesce(F.bround(gc_known(c), 3), F.lit(0.0))
 
-    gene_gc = F.coalesce(F.bround("gene_gc", 3), F.lit(0.0)) if "gene_gc" in transcripts.columns else gc(F.col("gene_sequence"))
+    gene_gc = F.coalesce(F.bround("gene_gc", 3), F.lit(0.0)) if "gene_gc" in rows.columns else gc(F.col("gene_sequence"))
     out = rows.select(
-        "Gene_id", "mRNA_id", "Chromosome", "Start", "End", "Strand", to_end.alias("Abs_distance_from_telomere"), F.bround(to_end / F.col("length"), 3).alias("Relative_distance_from_telomere"),
+        "mRNA_id", "Gene_id", "Chromosome", "Start", "End", "Strand", to_end.alias("Abs_distance_from_telomere"), F.bround(to_end / F.col("length"), 3).alias("Relative_distance_from_telomere"),
         to_centre.alias("Abs_distance_from_centromere"), F.bround(to_centre / F.col("length"), 3).alias("Relative_distance_from_centromere"), "Gene_length", gene_gc.alias("GC_content_of_gene"),
-        F.size("up").alias("CDS_number"), gc(F.col("cds")).alias("GC_content_of_CDS"), F.bround(F.length("cds") / F.col("Gene_length"), 3).alias("Fraction_of_CDS"), F.bround(gc_known(F.translate(every_third(F.col("cds")), "SWUswu", "")) * 100, 3).alias("GC3"),
+        "CDS_number", F.bround(codon["gc"], 3).alias("GC_content_of_CDS"), F.bround(F.length("cds") / F.col("Gene_length"), 3).alias("Fraction_of_CDS"), F.bround(codon["gc3"] * 100, 3).alias("GC3"),
         (n > 0).alias("Containing_intron"), "Intron_number", gc(F.col("intron")).alias("GC_content_of_intron"), whole.alias("Total_intron_length"), F.coalesce(F.try_divide(whole.cast("double"), n), F.lit(0.0)).alias("Average_intron_length"),
-        F.length(first_intron).alias("Length_of_first_intron"), gc(first_intron).alias("GC_contents_of_first_intron"), peptide.alias("Peptide_length"), "Primary_peptide_length", "cds")
-    out = out.withColumn("Primary_candidate", primary_candidate(F.col("Gene_id"), F.col("mRNA_id"), F.col("Peptide_length"), F.col("Primary_peptide_length")))
-    enc = effective_codons(out, "mRNA_id", "cds").select("mRNA_id", F.bround("effective_codons", 2).alias("ENC"))
-    return out.drop("cds").join(enc, "mRNA_id", "left")
+        F.length(first_intron).alias("Length_of_first_intron"), gc(first_intron).alias("GC_contents_of_first_intron"), codon["peptide_length"].alias("Peptide_length"), "Primary_peptide_length", F.bround(codon["effective_codons"], 2).alias("enc"))
+    first = primary_candidate(F.col("Gene_id"), F.col("mRNA_id"), F.col("Peptide_length"), F.col("Primary_peptide_length"))
+    return out.select(*[c for c in out.columns if c != "enc"], first.alias("Primary_candidate"), F.col("enc").alias("ENC"))
 
 
-def dna_records(features: DataFrame, chunks: DataFrame, marks: DataFrame, primary: DataFrame, size: int = genome.CHUNK) -> DataFrame:
+def dna_records(features: DataFrame, chunks: DataFrame, marks: DataFrame, primary: DataFrame, size: int = genome.CHUNK, lengths: DataFrame | None = None) -> DataFrame:
     """The 27 columns of ``dna_record`` from GFF3 features and a genome in chunks of ``size`` letters.
 
     ``marks`` has left, right, centromere_start and centromere_end by Chromosome; ``primary`` as in
     ``dna_record``. Transcripts without coding parts have no row. The share of G and C of a gene
     is counted from behind the first base of its coding region to its end, piece by piece; coding
-    parts and introns are cut, turned and glued.
+    parts and introns are cut, turned and glued. ``lengths`` (Chromosome, length) saves counting the letters of the chunks.
     """
-    cds, introns = genome.parts(features, "CDS"), genome.parts(features, "intron")
-    spans = cds.groupBy("mRNA_id").agg((F.min("start") + 1).alias("start"), F.max("end").alias("end"))
-    spans = genome.transcripts(features).join(spans, "mRNA_id")
-    known = spans.join(genome.range_gc(spans, chunks, ["mRNA_id"], size), "mRNA_id", "left").withColumnRenamed("gc", "gene_gc")
-    places = genome.lengths(chunks).join(marks.drop("length"), "Chromosome", "left")
-    return dna_record(known.drop("start", "end"), genome.with_sequences(cds, chunks, size), genome.with_sequences(introns, chunks, size), places, primary)
+    places = (genome.lengths(chunks) if lengths is None else lengths).join(marks.drop("length"), "Chromosome", "left")
+    placed = genome.transcripts(features).join(places, "Chromosome", "left").join(primary, "Gene_id", "left")
+    rows = placed.join(genome.transcript_parts(features, chunks, size).withColumnRenamed("gc", "gene_gc"), "mRNA_id")
+    introns = F.col("introns")
+    return _measured(rows.withColumns({
+        "cds": genome.glued(F.col("up"), ~F.coalesce(F.col("Strand") == "+", F.lit(False))), "CDS_number": genome.n_parts(F.col("up")),
+        "intron": genome.glued(introns), "Intron_number": F.when(introns.isNotNull(), genome.n_parts(introns)), "first_intron": genome.first_part(introns)}))
 
 
 def half_lives(table: DataFrame, meta: DataFrame | None = None, order: str = "row_no") -> DataFrame:
